@@ -160,3 +160,10 @@ def exact_percentiles(
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def attach_measured(rows: DataFrame, facts: DataFrame, on, how: str = "inner", most: int = 20000) -> DataFrame:
+    """Join with materialised ``facts``: broadcast up to ``most`` counted rows, salted shuffle beyond."""
+    if facts.count() <= most:
+        return rows.join(F.broadcast(facts), names(on), how)
+    return attach(rows, facts, on, how)
