@@ -296,16 +296,16 @@ def _(spark, sf):
 
 
 @check("a03_class_percentages", """
-    select image_id, round(100.0*count(*) filter(code=1)/count(*),2) ore, round(100.0*count(*) filter(code=2)/count(*),2) matrix,
-        round(100.0*count(*) filter(code=3)/count(*),2) talc, 0.0::double damage from v_mosaic group by 1""")
+    select image_id, round_even(count(*) filter(code=1)/count(*)*100.0,2) ore, round_even(count(*) filter(code=2)/count(*)*100.0,2) matrix,
+        round_even(count(*) filter(code=3)/count(*)*100.0,2) talc, 0.0::double damage from v_mosaic group by 1""")
 def _(spark, sf):
     return stats.class_percentages(Tables(spark, sf).mosaic(), "image_id", s.class_name(F.col("code")))
 
 
 @check("a04_masked_percentages", """
-    select image_id, coalesce(round(100.0*count(*) filter(code=1 and v>0.13)/nullif(count(*) filter(v>0.13),0),2),0) ore,
-        coalesce(round(100.0*count(*) filter(code=2 and v>0.13)/nullif(count(*) filter(v>0.13),0),2),0) matrix,
-        coalesce(round(100.0*count(*) filter(code=3 and v>0.13)/nullif(count(*) filter(v>0.13),0),2),0) talc, 0.0::double damage from v_mosaic group by 1""")
+    select image_id, coalesce(round_even(count(*) filter(code=1 and v>0.13)/nullif(count(*) filter(v>0.13),0)*100.0,2),0) ore,
+        coalesce(round_even(count(*) filter(code=2 and v>0.13)/nullif(count(*) filter(v>0.13),0)*100.0,2),0) matrix,
+        coalesce(round_even(count(*) filter(code=3 and v>0.13)/nullif(count(*) filter(v>0.13),0)*100.0,2),0) talc, 0.0::double damage from v_mosaic group by 1""")
 def _(spark, sf):
     return stats.class_percentages(Tables(spark, sf).mosaic(), "image_id", s.class_name(F.col("code")), F.col("v") > 0.13)
 

@@ -29,7 +29,7 @@ SQL_VIEWS: dict[str, str] = {
         from documents d join labels l on d.doc_id=l.doc_id""",
     "v_history": """
         select l_suppkey run_id, l_returnflag stage,
-               row_number() over (partition by l_suppkey,l_returnflag order by l_orderkey,l_linenumber) epoch,
+               row_number() over (partition by l_suppkey,l_returnflag order by l_orderkey,l_linenumber,l_partkey,l_extendedprice,l_quantity,l_discount,l_tax) epoch,
                l_tax drift, l_discount*10 val_f1, l_quantity/50.0 val_auc, l_extendedprice/100000.0 val_loss
         from lineitem""",
     "v_samples": """
@@ -112,7 +112,8 @@ class Tables:
     def history(self) -> DataFrame:
         from pyspark.sql.window import Window
 
-        order = Window.partitionBy("l_suppkey", "l_returnflag").orderBy("l_orderkey", "l_linenumber")
+        order = Window.partitionBy("l_suppkey", "l_returnflag").orderBy(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
         return self.raw("lineitem").select(
             F.col("l_suppkey").alias("run_id"), F.col("l_returnflag").alias("stage"),
             F.row_number().over(order).alias("epoch"), F.col("l_tax").alias("drift"),

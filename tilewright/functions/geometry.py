@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 GLOBAL_SIDE = 512  # fixed value: side of the global view
 
 
+def round2(value: Column) -> Column:
+    """Two decimals, halves to even."""
+    return F.rint(value * 100.0) / 100.0
+
+
 def window_starts(length: Column, window: int, stride: int) -> Column:
     """Starts of sliding windows; the last one is flush with the end, short inputs give one window."""
     last = length - window
@@ -135,8 +140,8 @@ def polyline_midpoint(points: Column) -> Column:
         part = (half - state["done"]) / s["d"]
         return F.struct(
             (state["done"] + s["d"]).alias("done"),
-            F.when(reached, F.round(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * part, 2)).otherwise(state["x"]).alias("x"),
-            F.when(reached, F.round(s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * part, 2)).otherwise(state["y"]).alias("y"))
+            F.when(reached, round2(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * part)).otherwise(state["x"]).alias("x"),
+            F.when(reached, round2(s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * part)).otherwise(state["y"]).alias("y"))
 
     found = F.aggregate(_segments(points), start, step)
     first, last = F.get(points, F.lit(0)), F.element_at(points, -1)
@@ -148,7 +153,7 @@ def polyline_midpoint(points: Column) -> Column:
 
 def without_repeats(points: Column) -> Column:
     """Points at two decimals with consecutive repeats removed."""
-    rounded = F.transform(points, lambda p: F.struct(F.round(p["x"], 2).alias("x"), F.round(p["y"], 2).alias("y")))
+    rounded = F.transform(points, lambda p: F.struct(round2(p["x"]).alias("x"), round2(p["y"]).alias("y")))
     return F.filter(rounded, lambda p, i: (i == 0) | (
         (F.abs(p["x"] - F.get(rounded, i - 1)["x"]) > 1e-6) | (F.abs(p["y"] - F.get(rounded, i - 1)["y"]) > 1e-6)))
 
@@ -210,7 +215,7 @@ def midpoint_curve(a: Column, middle: Column, tangent: Column, b: Column, steps:
     def at(t: Column, axis: str) -> Column:
         first, second = handles[axis]
         u = F.lit(1.0) - t
-        return F.round(u * u * u * a[axis] + u * u * t * 3.0 * first + u * t * t * 3.0 * second + t * t * t * b[axis], 2)
+        return round2(u * u * u * a[axis] + u * u * t * 3.0 * first + u * t * t * 3.0 * second + t * t * t * b[axis])
 
     return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct(
         at(i / float(steps), "x").alias("x"), at(i / float(steps), "y").alias("y")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.functions.geometry import hypot
+from tilewright.functions.geometry import hypot, round2
 from tilewright.operators.scale import attach, rank_rows
 
 # Endpoint tables: image_id, endpoint_id, x, y, seq (order inside the image).
@@ -110,7 +110,7 @@ def connection_candidates(
         F.min_by(F.struct("a", "b", "ax", "ay", "bx", "by"), "found").alias("p"),
         F.array_join(F.array_sort(F.collect_set("reason")), "+").alias("reason"))
     saved = existing.select("image_id", pair_key(F.col("a"), F.col("b")).alias("id")).distinct()
-    distance = F.round(hypot(F.col("p.ax") - F.col("p.bx"), F.col("p.ay") - F.col("p.by")), 2)
+    distance = round2(hypot(F.col("p.ax") - F.col("p.bx"), F.col("p.ay") - F.col("p.by")))
     return merged.join(saved, ["image_id", "id"], "left_anti").select(
         "image_id", "id", F.col("p.a").alias("a"), F.col("p.b").alias("b"), distance.alias("distance"), "reason",
         F.col("p.ax").alias("ax"), F.col("p.ay").alias("ay"), F.col("p.bx").alias("bx"), F.col("p.by").alias("by"))
@@ -124,5 +124,5 @@ def valid_connections(saved: DataFrame, points: DataFrame) -> DataFrame:
     kept = saved.where((F.col("route_type") == "curve") & F.col("control").isNotNull() & F.col("tangent").isNotNull())
     end = lambda s: points.select("image_id", F.col("endpoint_id").alias(s), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
     joined = kept.join(end("a"), ["image_id", "a"]).join(end("b"), ["image_id", "b"])
-    rounded = F.struct(F.round("tangent.x", 2).alias("x"), F.round("tangent.y", 2).alias("y"))
+    rounded = F.struct(round2(F.col("tangent.x")).alias("x"), round2(F.col("tangent.y")).alias("y"))
     return joined.withColumn("tangent", rounded)

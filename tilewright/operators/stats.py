@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.geometry import round2
 from tilewright.functions.scalar import CLASS_NAMES
 from tilewright.operators.scale import attach, names
 
@@ -14,7 +15,7 @@ def class_percentages(pixels: DataFrame, by, name: Column, mask: Column | None =
     counted = F.lit(True) if mask is None else mask
     total = F.sum(F.when(counted, 1))
     share = lambda c: F.coalesce(
-        F.round(F.sum(F.when(counted & (name == c), 1)) * 100.0 / total, 2), F.lit(0.0))
+        round2(F.sum(F.when(counted & (name == c), 1)) / total * 100.0), F.lit(0.0))
     return pixels.groupBy(*names(by)).agg(*[share(c).alias(c) for c in CLASS_NAMES])
 
 
