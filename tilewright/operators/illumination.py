@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.components import CHUNK, drop_small
 from tilewright.operators.morphology import dilate, disk, erode, robust_normalise, sweep
-from tilewright.operators.scale import attach, exact_percentiles, names
+from tilewright.operators.scale import attach, cut_lineage, exact_percentiles, names
 from tilewright.operators.tiling import reflect_pad
 
 
@@ -52,6 +52,7 @@ def correct_illumination(pixels: DataFrame, settings, image: str = "image_id") -
     rows = pixels.join(ore, [image, "y", "x"], "left").withColumn("_ore", F.coalesce("_ore", F.lit(0)))
     if settings.illumination_ore_erosion_radius > 0:
         rows = erode(rows, "_ore", disk(settings.illumination_ore_erosion_radius), by=image)
+    rows = cut_lineage(rows)
     core = rows.where(F.col("_ore") == 1).select(image, "y", "x", "h", "w", "lab_l")
     trim = settings.illumination_outlier_quantile
     sizes = core.groupBy(image).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= settings.illumination_min_ore_area)
@@ -64,7 +65,7 @@ def correct_illumination(pixels: DataFrame, settings, image: str = "image_id") -
     placed = attach(rows, fitted, image, "left")
     basis = _design(F.col("y"), F.col("x"), F.col("h"), F.col("w"))
     value = sum((basis[i] * F.col("coefficients")[i] for i in range(1, 6)), basis[0] * F.col("coefficients")[0])
-    placed = placed.withColumn("_fit", value).drop("coefficients")
+    placed = cut_lineage(placed.withColumn("_fit", value).drop("coefficients"))
     centre = exact_percentiles(placed.where(F.col("_ore") == 1), image, "_fit", {"_median": 0.5})
     placed = attach(placed, centre, image, "left")
     delta = F.greatest(F.lit(-float(most)), F.least(F.lit(float(most)), F.col("_fit") - F.col("_median")))
@@ -144,7 +145,7 @@ def boundary_barrier(pixels: DataFrame, settings, radius: int, image: str = "ima
         wanted[f"_{c}_hi"], wanted[f"_{c}_lo"] = (f"lab_{c}", "max"), (f"lab_{c}", "min")
     rows = sweep(pixels, wanted, disk(max(1, radius)), image)
     span = lambda c: F.col(f"_{c}_hi") - F.col(f"_{c}_lo")
-    rows = rows.withColumns({"_gl": span("l"), "_gc": F.sqrt(span("a") ** 2 + span("b") ** 2)}).drop(*wanted)
+    rows = cut_lineage(rows.withColumns({"_gl": span("l"), "_gc": F.sqrt(span("a") ** 2 + span("b") ** 2)}).drop(*wanted))
     rows = robust_normalise(robust_normalise(rows, "_gl", "_nl", image), "_gc", "_nc", image)
     mixed = F.col("_nl") * settings.local_shadow_lightness_barrier + F.col("_nc") * settings.local_shadow_chroma_barrier
     rows = rows.withColumn("barrier", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed))).drop("_gl", "_gc", "_nl", "_nc")
@@ -163,7 +164,7 @@ def correct_shadows(pixels: DataFrame, settings, image: str = "image_id") -> Dat
     smooth = bilateral(work, "lab_l", reach, max(4.0, most * 1.5), float(reach), "_around", image)
     edged = boundary_barrier(smooth, settings, max(1, int(round(settings.edge_gradient_radius * scale))), image)
     lift = F.greatest(F.col("_around") - F.col("lab_l"), F.lit(0.0)) * (F.lit(1.0) - F.col("barrier"))
-    lifted = edged.withColumn("_lift", F.greatest(F.lit(0.0), F.least(F.lit(float(most)), lift))).select(image, "y", "x", "h", "w", "_lift")
+    lifted = cut_lineage(edged.withColumn("_lift", F.greatest(F.lit(0.0), F.least(F.lit(float(most)), lift))).select(image, "y", "x", "h", "w", "_lift"))
     moved = lifted.groupBy(image).agg((F.max("_lift") > 1e-6).alias("applied"))
     full = lifted.drop("h", "w") if scale >= 1.0 else enlarge_linear(lifted, pixels, "_lift", image)
     joined = attach(pixels.join(full, [image, "y", "x"]), moved, image)

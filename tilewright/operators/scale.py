@@ -131,7 +131,7 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles per group; linear interpolation, or the smallest value of rank ceil(q*n)."""
     keys = names(by)
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = cut_lineage(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     binned = counted.withColumn("_bin", value_bins(counted, value, bins))
     ranked = running_totals(binned, keys, value, ["_n"], "_bin")
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))

@@ -79,3 +79,18 @@ def zscores(rows: DataFrame, by, features) -> DataFrame:
         f: (F.col(f) - F.col(f"_{f}_m")) / F.when(F.col(f"_{f}_s") < 1e-6, F.lit(1.0)).otherwise(F.col(f"_{f}_s"))
         for f in features}
     return placed.withColumns(scaled).drop(*[f"_{f}_{k}" for f in features for k in "ms"])
+
+
+def box_counts(pixels: DataFrame, boxes: DataFrame, by, sums: dict[str, Column], image: str = "image_id") -> DataFrame:
+    """Pixels (and sums of values) inside half-open boxes x0, y0, x1, y1.
+
+    Boxes of an image are gathered on one row (a few per image), so each pixel
+    visits only the boxes that hold it and counts combine before the shuffle.
+    """
+    keys = names(by)
+    gathered = boxes.groupBy(image).agg(F.collect_list(F.struct(*keys, "x0", "y0", "x1", "y1")).alias("_boxes"))
+    holds = lambda b: (F.col("x") >= b["x0"]) & (F.col("x") < b["x1"]) & (F.col("y") >= b["y0"]) & (F.col("y") < b["y1"])
+    hit = attach(pixels, gathered, image).select(
+        image, *[c.alias(f"_{n}") for n, c in sums.items()], F.explode(F.filter("_boxes", holds)).alias("_b"))
+    return hit.groupBy(image, *[F.col(f"_b.{k}").alias(k) for k in keys]).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"_{n}").alias(n) for n in sums])

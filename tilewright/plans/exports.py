@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions import color
+from tilewright.functions.scalar import class_name
 from tilewright.functions.settings import with_settings
 
 
@@ -15,3 +17,10 @@ def with_image_settings(images: DataFrame, saved: DataFrame, key: str, document:
     """
     joined = images.join(saved.select(key, F.col(document).alias("_doc")), key, "left")
     return with_settings(joined, "_doc").drop("_doc")
+
+
+def preview_pixels(pixels: DataFrame, corrected: bool = False) -> DataFrame:
+    """Overlay colours of a class mask (``code`` with r, g, b), clipped to 8 bits."""
+    colors = color.CORRECTED_COLORS if corrected else color.OVERLAY_COLORS
+    mixed = color.class_overlay((F.col("r"), F.col("g"), F.col("b")), class_name(F.col("code")), colors)
+    return pixels.withColumns({n: color.to_byte(v) for n, v in zip("rgb", mixed)})
