@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.scale import attach, cut_lineage, names
+from tilewright.operators.scale import attach, cut_lineage, names, spread_for_python
 
 CHUNK = 256
 FOUR = ((0, 1), (1, 0))
@@ -101,7 +101,7 @@ def label_components(pixels: DataFrame, by="image_id", diagonal: bool = True, ch
 
     cells = pixels.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).withColumns(
         {"_cy": F.floor(F.col("y") / chunk), "_cx": F.floor(F.col("x") / chunk)})
-    labelled = cut_lineage(cells.groupBy(*keys, "_cy", "_cx").applyInPandas(local, schema))
+    labelled = cut_lineage(spread_for_python(cells, *keys, "_cy", "_cx").groupBy(*keys, "_cy", "_cx").applyInPandas(local, schema))
     edge = lambda c: (F.col(c) % chunk).isin(0, chunk - 1)
     border = labelled.where(edge("y") | edge("x"))
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.components import CHUNK, drop_small
 from tilewright.operators.morphology import dilate, disk, erode, robust_normalise, sweep
-from tilewright.operators.scale import attach, cut_lineage, exact_percentiles, names
+from tilewright.operators.scale import attach, cut_lineage, exact_percentiles, names, spread_for_python
 from tilewright.operators.tiling import reflect_pad
 
 
@@ -85,9 +85,16 @@ def bilateral(pixels: DataFrame, value: str, radius: int, sigma_color: float, si
     side = F.lit(radius)
     padded = reflect_pad(pixels.select(image, "y", "x", "h", "w", F.col(value).cast("double").alias("v")), side, side, side, side)
     at = {"y": F.col("y") - radius, "x": F.col("x") - radius}
-    padded = padded.withColumns(at).select(image, "y", "x", "v")
-    reach = lambda c: F.sequence(F.floor((F.col(c) - radius) / chunk), F.floor((F.col(c) + radius) / chunk))
-    spread = padded.select("*", F.explode(reach("y")).alias("_cy")).select("*", F.explode(reach("x")).alias("_cx"))
+    padded = padded.withColumns(at)
+
+    def homes(position: str, size: str) -> Column:
+        """Chunks of the image itself whose halo holds the pixel."""
+        first = F.greatest(F.floor((F.col(position) - radius) / chunk), F.lit(0))
+        last = F.least(F.floor((F.col(position) + radius) / chunk), F.floor((F.col(size) - 2 * radius - 1) / chunk))
+        return F.when(first <= last, F.sequence(first, last))
+
+    spread = padded.select(image, "y", "x", "v", "w", F.explode(homes("y", "h")).alias("_cy")).select(
+        image, "y", "x", "v", "_cy", F.explode(homes("x", "w")).alias("_cx"))
     types = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
     offsets = [(dy, dx) for dy, half in disk(radius).items() for dx in range(-half, half + 1)]
 
@@ -95,12 +102,15 @@ def bilateral(pixels: DataFrame, value: str, radius: int, sigma_color: float, si
         top, left = int(key[1]) * chunk, int(key[2]) * chunk
         y = frame["y"].to_numpy() - top + radius
         x = frame["x"].to_numpy() - left + radius
-        block = np.full((chunk + 2 * radius, chunk + 2 * radius), np.nan)
+        side = min(chunk, int(max(y.max(), x.max())) + 1 - radius)
+        block = np.full((side + 2 * radius, side + 2 * radius), np.nan)
+        held = (y < side + 2 * radius) & (x < side + 2 * radius)
+        frame, y, x = frame[held], y[held], x[held]
         block[y, x] = frame["v"].to_numpy()
         core = block[radius:-radius, radius:-radius]
         total, weight = np.zeros_like(core), np.zeros_like(core)
         for dy, dx in offsets:
-            moved = block[radius + dy:radius + dy + chunk, radius + dx:radius + dx + chunk]
+            moved = block[radius + dy:radius + dy + side, radius + dx:radius + dx + side]
             w = np.exp(-(dy * dy + dx * dx) / (2 * sigma_space**2) - (moved - core) ** 2 / (2 * sigma_color**2))
             usable = np.isfinite(w)
             total[usable] += (w * moved)[usable]
@@ -108,7 +118,7 @@ def bilateral(pixels: DataFrame, value: str, radius: int, sigma_color: float, si
         ys, xs = np.nonzero(np.isfinite(core) & (weight > 0))
         return pd.DataFrame({image: key[0], "y": (ys + top).astype("int32"), "x": (xs + left).astype("int32"), name: total[ys, xs] / weight[ys, xs]})
 
-    smoothed = spread.groupBy(image, "_cy", "_cx").applyInPandas(smooth, f"`{image}` {types[image]}, y int, x int, `{name}` double")
+    smoothed = spread_for_python(spread, image, "_cy", "_cx").groupBy(image, "_cy", "_cx").applyInPandas(smooth, f"`{image}` {types[image]}, y int, x int, `{name}` double")
     return pixels.join(smoothed, [image, "y", "x"])
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.operators.components import CHUNK, drop_small
-from tilewright.operators.scale import attach, exact_percentiles, names
+from tilewright.operators.scale import attach, exact_percentiles, names, spread_for_python
 
 
 def disk(radius: float) -> dict[int, int]:
@@ -167,7 +167,7 @@ def squared_distances(pixels: DataFrame, mask: str, by="image_id") -> DataFrame:
         out["d2"] = np.where(np.isfinite(best), best, np.nan)
         return out
 
-    return reach.groupBy(*keys, "y").applyInPandas(along_row, schema).withColumn("d2", F.nanvl("d2", F.lit(None).cast("double")))
+    return spread_for_python(reach, *keys, "y").groupBy(*keys, "y").applyInPandas(along_row, schema).withColumn("d2", F.nanvl("d2", F.lit(None).cast("double")))
 
 
 def max_erosion_radius(pixels: DataFrame, mask: str, by="image_id") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.components import CHUNK
-from tilewright.operators.scale import cut_lineage, names
+from tilewright.operators.scale import cut_lineage, names, spread_for_python
 
 FOUR = ((0, 1), (1, 0), (0, -1), (-1, 0))
 EIGHT = FOUR + ((1, 1), (1, -1), (-1, 1), (-1, -1))
@@ -83,7 +83,8 @@ def spread_labels(pixels: DataFrame, seed: str, weight: str | None, by="image_id
         given = state.select(*keys, "y", "x", "w", "fixed", "label", "cost", F.explode(homes).alias("home"))
         own = (F.col("home.cy") == F.floor(F.col("y") / chunk)) & (F.col("home.cx") == F.floor(F.col("x") / chunk))
         given = given.withColumns({"own": own, "_cy": F.col("home.cy"), "_cx": F.col("home.cx")}).drop("home")
-        state = cut_lineage(given.groupBy(*keys, "_cy", "_cx").applyInPandas(settle, schema))
+        groups = spread_for_python(given, *keys, "_cy", "_cx").groupBy(*keys, "_cy", "_cx")
+        state = cut_lineage(groups.applyInPandas(settle, schema))
         if state.where("moved").isEmpty():
             break
     return state.where(F.col("label") != none).select(*keys, "y", "x", "label", "cost", "fixed")

@@ -158,6 +158,15 @@ def exact_percentiles(
     return placed.groupBy(*keys).agg(*picks).select(*keys, *finals)
 
 
+def spread_for_python(rows: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's full number of shuffle partitions.
+
+    AQE merges partitions by bytes; Python work is bounded by CPU, so the count is
+    fixed here.  A following ``groupBy`` on the same keys needs no further shuffle.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

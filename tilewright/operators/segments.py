@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.components import CHUNK, label_components
 from tilewright.operators.relax import spread_labels
-from tilewright.operators.scale import attach, cut_lineage
+from tilewright.operators.scale import attach, cut_lineage, spread_for_python
 from tilewright.operators.stats import component_stats, zscores
 
 # Feature weightings and sweep sizes.
@@ -225,7 +225,7 @@ def density_sweep(variants: DataFrame, cluster: ClusterFunction = density_labels
                         order += 1
             yield pd.DataFrame(out, columns=[image, "variant", "variant_order", "ids", "labels", "set_order", "min_cluster_size", "min_samples"])
 
-    swept = packed.repartition(image, "variant").mapInPandas(run, schema)
+    swept = spread_for_python(packed, image, "variant").mapInPandas(run, schema)
     return swept.withColumn("sweep_order", F.col("variant_order") * 1000 + F.col("set_order")).select(
         image, "variant", "sweep_order", "min_cluster_size", "min_samples", F.explode(F.arrays_zip("ids", "labels")).alias("_z")).select(
         image, "variant", "sweep_order", "min_cluster_size", "min_samples", F.col("_z.ids").alias(segment), F.col("_z.labels").alias("label"))

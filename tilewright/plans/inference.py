@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import standard_gray
 from tilewright.operators import blending as b
-from tilewright.operators.scale import attach
+from tilewright.operators.scale import attach, spread_for_python
 from tilewright.operators.tiling import covering_tiles, pad_for_tiles
 
 
@@ -32,7 +32,7 @@ def infer(gray: DataFrame, tile: int, stride: int, factor: float, score: b.Score
     context = values.groupBy("image_id").agg(
         F.avg("v").alias("context"), F.first("h").alias("ih"), F.first("w").alias("iw"))
     spread = covering_tiles(pad_for_tiles(values, tile), tile, stride)
-    arrays = b.tile_arrays(spread, ["image_id", "ty", "tx"], tile, "v")
+    arrays = b.tile_arrays(spread_for_python(spread, "image_id", "ty", "tx"), ["image_id", "ty", "tx"], tile, "v")
     scored = b.score_tiles(attach(arrays, context.select("image_id", "context"), "image_id"), tile, score)
     pixels = attach(b.explode_tiles(scored, tile), context.select("image_id", "ih", "iw"), "image_id")
     y, x = F.col("y") - pad, F.col("x") - pad
