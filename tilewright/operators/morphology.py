@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.operators.components import CHUNK, drop_small
-from tilewright.operators.scale import attach, exact_percentiles, names, spread_for_python
+from tilewright.operators.scale import attach, cut_lineage, exact_percentiles, names, spread_for_python
 
 
 def disk(radius: float) -> dict[int, int]:
@@ -111,7 +111,7 @@ def postprocess(pixels: DataFrame, code: str, minimum: int, radius: int, by="ima
     keys = names(by)
     rows = pixels
     for value in (1, 3, 4):
-        masked = open_close(rows.withColumn("_in", (F.col(code) == value).cast("int")), "_in", radius, "_mask", keys)
+        masked = cut_lineage(open_close(rows.withColumn("_in", (F.col(code) == value).cast("int")), "_in", radius, "_mask", keys))
         if minimum > 0:
             kept = drop_small(masked.where(F.col("_mask") == 1), minimum, keys, chunk).withColumn("_keep", F.lit(True))
             masked = masked.join(kept, [*keys, "y", "x"], "left")
