@@ -41,8 +41,7 @@ _LAB = """
 
 
 def lab_pixels(tables: Tables):
-    lightness, a, bb = c.rgb_to_lab(*RGB)
-    return tables.rgb().withColumns({"lab_l": lightness, "lab_a": a, "lab_b": bb})
+    return c.with_lab(tables.rgb())
 
 
 @check("f16_rgb_to_lab", f"with {_LAB} select image_id, y, x, round(lab_l,4) l, round(lab_a,4) a, round(lab_b,4) b from lab")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Palettes, overlay strengths and colour constants.
@@ -24,8 +24,12 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return F.shiftright((r * 4899 + g * 9617 + b * 1868 + 8192).cast("int"), 14)
 
 
-def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """CIELab (D65) of 8-bit sRGB."""
+def with_lab(pixels: DataFrame, channels=("r", "g", "b"), names=("lab_l", "lab_a", "lab_b")) -> DataFrame:
+    """Adds CIELab (D65) of 8-bit sRGB.
+
+    Each stage is a projection of its own: values used several times are computed
+    once, and the generated code stays small.
+    """
     def linear(channel: Column) -> Column:
         c = channel / 255.0
         return F.when(c > 0.04045, F.pow((c + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 12.92)
@@ -33,9 +37,14 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
     def bent(t: Column) -> Column:
         return F.when(t > 0.008856, F.pow(t, F.lit(1.0 / 3.0))).otherwise(t * 7.787 + 16.0 / 116.0)
 
-    lr, lg, lb = linear(r), linear(g), linear(b)
-    x, y, z = (bent((lr * m[0] + lg * m[1] + lb * m[2]) / w) for m, w in zip(RGB_TO_XYZ, WHITE_D65))
-    return y * 116.0 - 16.0, (x - y) * 500.0, (y - z) * 200.0
+    light = pixels.withColumns({f"_lin{i}": linear(F.col(c)) for i, c in enumerate(channels)})
+    xyz = light.withColumns({
+        f"_xyz{i}": (F.col("_lin0") * m[0] + F.col("_lin1") * m[1] + F.col("_lin2") * m[2]) / w
+        for i, (m, w) in enumerate(zip(RGB_TO_XYZ, WHITE_D65))})
+    curved = xyz.withColumns({f"_f{i}": bent(F.col(f"_xyz{i}")) for i in range(3)})
+    x, y, z = (F.col(f"_f{i}") for i in range(3))
+    lab = dict(zip(names, (y * 116.0 - 16.0, (x - y) * 500.0, (y - z) * 200.0)))
+    return curved.withColumns(lab).drop(*[f"{s}{i}" for s in ("_lin", "_xyz", "_f") for i in range(3)])
 
 
 def lab_to_rgb(lightness: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:

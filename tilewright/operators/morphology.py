@@ -86,21 +86,57 @@ def robust_normalise(pixels: DataFrame, value: str, name: str, by="image_id") ->
     return placed.withColumn(name, F.when(F.col("_p95") > 1e-6, ratio).otherwise(F.lit(0.0))).drop("_p95")
 
 
-def open_close(pixels: DataFrame, value: str, radius: int, name: str, by="image_id") -> DataFrame:
+def chain(pixels: DataFrame, value: str, name: str, steps, footprint: dict[int, int], by="image_id", chunk: int = CHUNK) -> DataFrame:
+    """Several erosions ("min") and dilations ("max") in a row with a single shuffle.
+
+    Each pixel goes to its chunk and, as a halo as deep as all steps reach, to the
+    chunks around it; a bounded block is then swept with numpy.  Other columns
+    pass through unchanged.
+    """
+    keys, steps = names(by), list(steps)
+    halo = max(max(map(abs, footprint)), max(footprint.values())) * len(steps)
+    shifts = [(dy, dx) for dy, half in footprint.items() for dx in range(-half, half + 1)]
+    columns = [c for c in pixels.columns if c != name]
+    near = lambda c: F.sequence(F.floor((F.col(c) - halo) / chunk), F.floor((F.col(c) + halo) / chunk))
+    spread = pixels.select(*columns, F.col(value).cast("double").alias("_v"), F.explode(near("y")).alias("_cy")).select("*", F.explode(near("x")).alias("_cx"))
+    own = (F.col("_cy") == F.floor(F.col("y") / chunk)) & (F.col("_cx") == F.floor(F.col("x") / chunk))
+    types = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + f", `{name}` int"
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        mine = frame["_own"].to_numpy()
+        if not mine.any():
+            return pd.DataFrame(columns=[*columns, name]).astype({name: "int32"})
+        top, left = frame["y"].min() - halo, frame["x"].min() - halo
+        y, x = (frame["y"] - top).to_numpy(), (frame["x"] - left).to_numpy()
+        block = np.full((y.max() + halo + 1, x.max() + halo + 1), np.nan)
+        block[y, x] = frame["_v"].to_numpy()
+        absent = np.isnan(block)
+        for step in steps:
+            pick, moved = (np.fmin if step == "min" else np.fmax), np.full_like(block, np.nan)
+            padded = np.pad(block, halo, constant_values=np.nan)
+            for dy, dx in shifts:
+                moved = pick(moved, padded[halo + dy:halo + dy + block.shape[0], halo + dx:halo + dx + block.shape[1]])
+            moved[absent] = np.nan
+            block = moved
+        out = frame.loc[mine, columns].copy()
+        out[name] = block[y, x][mine].astype("int32")
+        return out
+
+    grouped = spread_for_python(spread.withColumn("_own", own), *keys, "_cy", "_cx").groupBy(*keys, "_cy", "_cx")
+    return grouped.applyInPandas(run, schema)
+
+
+def open_close(pixels: DataFrame, value: str, radius: int, name: str, by="image_id", chunk: int = CHUNK) -> DataFrame:
     """Opening, then closing of a 0/1 column."""
     if radius <= 0:
-        return pixels.withColumn(name, F.col(value))
-    shape = disk(radius)
-    out = pixels.withColumn(name, F.col(value).cast("int"))
-    for how in ("min", "max", "max", "min"):
-        out = sweep(out, {name: (name, how)}, shape, by)
-    return out
+        return pixels.withColumn(name, F.col(value).cast("int"))
+    return chain(pixels, value, name, ("min", "max", "max", "min"), disk(radius), by, chunk)
 
 
-def close_square(pixels: DataFrame, value: str, name: str, by="image_id") -> DataFrame:
+def close_square(pixels: DataFrame, value: str, name: str, by="image_id", chunk: int = CHUNK) -> DataFrame:
     """3 x 3 closing used for sketch lines."""
-    out = pixels.withColumn(name, F.col(value).cast("int"))
-    return erode(dilate(out, name, SQUARE, by=by), name, SQUARE, by=by)
+    return chain(pixels, value, name, ("max", "min"), SQUARE, by, chunk)
 
 
 def postprocess(pixels: DataFrame, code: str, minimum: int, radius: int, by="image_id", chunk: int = CHUNK) -> DataFrame:
@@ -111,7 +147,7 @@ def postprocess(pixels: DataFrame, code: str, minimum: int, radius: int, by="ima
     keys = names(by)
     rows = pixels
     for value in (1, 3, 4):
-        masked = cut_lineage(open_close(rows.withColumn("_in", (F.col(code) == value).cast("int")), "_in", radius, "_mask", keys))
+        masked = cut_lineage(open_close(rows.withColumn("_in", (F.col(code) == value).cast("int")), "_in", radius, "_mask", keys, chunk))
         if minimum > 0:
             kept = drop_small(masked.where(F.col("_mask") == 1), minimum, keys, chunk).withColumn("_keep", F.lit(True))
             masked = masked.join(kept, [*keys, "y", "x"], "left")
