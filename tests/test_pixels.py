@@ -106,18 +106,20 @@ def test_components_do_not_depend_on_chunks(spark, diagonal, chunk):
 
 
 def minimax(grad, seeds, mask):
-    cost, label = np.full(grad.shape, np.inf), np.full(grad.shape, np.iinfo(np.int64).max)
-    cost[seeds > 0], label[seeds > 0] = grad[seeds > 0], seeds[seeds > 0]
-    moved = True
-    while moved:
-        moved = False
-        for y, x in zip(*np.nonzero(mask & (seeds == 0))):
-            for spot in neighbours(y, x, False):
-                if mask[spot] and np.isfinite(cost[spot]):
-                    offer = (max(cost[spot], grad[y, x]), label[spot])
-                    if offer < (cost[y, x], label[y, x]):
-                        cost[y, x], label[y, x] = offer
-                        moved = True
+    cost = np.where(seeds > 0, grad, np.inf)
+    label = np.where(seeds > 0, seeds, np.iinfo(np.int64).max)
+    free = list(zip(*np.nonzero(mask & (seeds == 0))))
+    for phase in ("cost", "label"):
+        moved = True
+        while moved:
+            moved = False
+            for p in free:
+                for q in neighbours(*p, False):
+                    offer = max(cost[q], grad[p]) if mask[q] else np.inf
+                    if phase == "cost" and offer < cost[p]:
+                        cost[p], moved = offer, True
+                    if phase == "label" and np.isfinite(offer) and offer == cost[p] and label[q] < label[p]:
+                        label[p], moved = label[q], True
     return cost, label
 
 

@@ -1,13 +1,17 @@
 """Label spreading over pixels: seeded flooding and ring-by-ring region growth.
 
-Every pixel keeps the lexicographically smallest (cost, label) offered by its
-neighbours.  Chunks run to their own rest in one task, then borders exchange one
+Growth keeps the smallest (steps, label) per pixel.  Flooding first settles the
+cheapest cost of every pixel (the lowest possible largest weight on a path from
+a seed), then passes labels along the links that attain it; two phases, because
+a neighbour that gets cheaper may change to a larger label.  Chunks run to their own rest in one task, then borders exchange one
 ring of pixels; rounds end when no border pixel changes, so their number follows
 the chunks a path crosses, not its pixels.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,8 +24,11 @@ FOUR = ((0, 1), (1, 0), (0, -1), (-1, 0))
 EIGHT = FOUR + ((1, 1), (1, -1), (-1, 1), (-1, -1))
 
 
-def _settle(y, x, own, cost, label, weight, offsets, minimax: bool):
-    """Smallest (cost, label) per pixel of a chunk; ring pixels of neighbours only give."""
+def _settle(y, x, own, cost, label, weight, offsets, phase: str):
+    """Relaxes one chunk to rest; ring pixels of neighbours only give.
+
+    Phases: ``cost`` (minimax, labels untouched), ``label`` (costs fixed), ``steps`` (both).
+    """
     keys = (y.astype(np.int64) << 32) + x
     order = np.argsort(keys)
     sorted_keys = keys[order]
@@ -35,11 +42,16 @@ def _settle(y, x, own, cost, label, weight, offsets, minimax: bool):
     while changed:
         changed = False
         for mine, theirs in links:
-            offer = np.maximum(cost[theirs], weight[mine]) if minimax else cost[theirs] + 1.0
-            better = np.isfinite(offer) & ((offer < cost[mine]) | ((offer == cost[mine]) & (label[theirs] < label[mine])))
+            offer = cost[theirs] + 1.0 if phase == "steps" else np.maximum(cost[theirs], weight[mine])
+            lower = label[theirs] < label[mine]
+            better = {"cost": offer < cost[mine], "label": (offer == cost[mine]) & lower, "steps": (offer < cost[mine]) | ((offer == cost[mine]) & lower)}[phase]
+            better &= np.isfinite(offer)
             if better.any():
                 take = mine[better]
-                cost[take], label[take] = offer[better], label[theirs[better]]
+                if phase != "label":
+                    cost[take] = offer[better]
+                if phase != "cost":
+                    label[take] = label[theirs[better]]
                 changed = True
     return cost, label
 
@@ -63,13 +75,13 @@ def spread_labels(pixels: DataFrame, seed: str, weight: str | None, by="image_id
         F.when(F.col(seed).isNotNull(), height).otherwise(F.lit(float("inf"))).alias("cost"))
     schema = key_schema + ", y int, x int, w double, fixed boolean, label bigint, cost double, moved boolean"
 
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+    def settle(frame: pd.DataFrame, phase: str) -> pd.DataFrame:
         y, x = frame["y"].to_numpy(), frame["x"].to_numpy()
         own = frame["own"].to_numpy()
         cost, label = frame["cost"].to_numpy(dtype=float).copy(), frame["label"].to_numpy(dtype=np.int64).copy()
         before_cost, before_label = cost.copy(), label.copy()
         free = own & ~frame["fixed"].to_numpy()
-        _settle(y, x, free, cost, label, frame["w"].to_numpy(dtype=float), offsets, minimax)
+        _settle(y, x, free, cost, label, frame["w"].to_numpy(dtype=float), offsets, phase)
         rim = ((y % chunk) == 0) | ((y % chunk) == chunk - 1) | ((x % chunk) == 0) | ((x % chunk) == chunk - 1)
         out = frame[[*keys, "y", "x", "w", "fixed"]].copy()
         out["label"], out["cost"] = label, cost
@@ -79,14 +91,15 @@ def spread_labels(pixels: DataFrame, seed: str, weight: str | None, by="image_id
     homes = F.array_distinct(F.array(*[
         F.struct(F.floor((F.col("y") + dy) / chunk).alias("cy"), F.floor((F.col("x") + dx) / chunk).alias("cx"))
         for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    while True:
-        given = state.select(*keys, "y", "x", "w", "fixed", "label", "cost", F.explode(homes).alias("home"))
-        own = (F.col("home.cy") == F.floor(F.col("y") / chunk)) & (F.col("home.cx") == F.floor(F.col("x") / chunk))
-        given = given.withColumns({"own": own, "_cy": F.col("home.cy"), "_cx": F.col("home.cx")}).drop("home")
-        groups = spread_for_python(given, *keys, "_cy", "_cx").groupBy(*keys, "_cy", "_cx")
-        state = cut_lineage(groups.applyInPandas(settle, schema))
-        if state.where("moved").isEmpty():
-            break
+    for phase in ("cost", "label") if minimax else ("steps",):
+        while True:
+            given = state.select(*keys, "y", "x", "w", "fixed", "label", "cost", F.explode(homes).alias("home"))
+            own = (F.col("home.cy") == F.floor(F.col("y") / chunk)) & (F.col("home.cx") == F.floor(F.col("x") / chunk))
+            given = given.withColumns({"own": own, "_cy": F.col("home.cy"), "_cx": F.col("home.cx")}).drop("home")
+            groups = spread_for_python(given, *keys, "_cy", "_cx").groupBy(*keys, "_cy", "_cx")
+            state = cut_lineage(groups.applyInPandas(partial(settle, phase=phase), schema))
+            if state.where("moved").isEmpty():
+                break
     return state.where(F.col("label") != none).select(*keys, "y", "x", "label", "cost", "fixed")
 
 
