@@ -32,10 +32,10 @@ def chains(skeleton: DataFrame, image: str = "image_id") -> DataFrame:
     return labelled.join(simple, [image, "y", "x"])
 
 
-def spur_chains(skeleton: DataFrame, protected: DataFrame | None = None, image: str = "image_id") -> DataFrame:
+def spur_chains(skeleton: DataFrame, protected: DataFrame | None = None, image: str = "image_id", runs: DataFrame | None = None) -> DataFrame:
     """Length and ends of each chain: endpoints it holds, whether it meets a junction, protection."""
     nodes = cut_lineage(skeleton_nodes(skeleton, image))
-    runs = cut_lineage(chains(skeleton, image))
+    runs = cut_lineage(chains(skeleton, image)) if runs is None else runs
     junctions = nodes.where(F.col("role") == "junction").select(image, "y", "x", F.lit(True).alias("meets"))
     touching = pixel_links(runs, junctions, image, "chain", "meets").select(image, "chain").distinct().withColumn("meets", F.lit(True))
     stats = runs.groupBy(image, "chain").agg(
@@ -56,9 +56,10 @@ def prune_spurs(skeleton: DataFrame, minimum: int, protected: DataFrame | None =
     pixels = skeleton.select(image, "y", "x")
     if minimum <= 0:
         return pixels
-    short = spur_chains(skeleton, protected, image).where(
+    runs = cut_lineage(chains(skeleton, image))
+    short = spur_chains(skeleton, protected, image, runs).where(
         (F.col("ends") >= 1) & F.col("meets") & (F.col("length") < minimum) & ~F.col("protected")).select(image, "chain")
-    doomed = attach(chains(skeleton, image).select(image, "y", "x", "chain"), short, [image, "chain"]).select(image, "y", "x")
+    doomed = attach(runs.select(image, "y", "x", "chain"), short, [image, "chain"]).select(image, "y", "x")
     left = cut_lineage(pixels.join(doomed, [image, "y", "x"], "left_anti"))
     emptied = pixels.select(image).distinct().join(left.select(image).distinct(), image, "left_anti")
     return left.unionByName(attach(pixels, emptied, image))
