@@ -168,10 +168,10 @@ def deeper_than(pixels: DataFrame, mask: str, radius: float, name: str, by="imag
     keys = names(by)
     if radius <= 0:
         return pixels.withColumn(name, F.col(mask))
-    eroded = erode(pixels, mask, disk(radius), "_deep", keys)
-    any_left = eroded.groupBy(*keys).agg(F.max("_deep").alias("_any"))
+    eroded = erode(pixels, mask, disk(radius), "_survives", keys)
+    any_left = eroded.groupBy(*keys).agg(F.max("_survives").alias("_any"))
     return attach(eroded, any_left, keys).withColumn(
-        name, F.when(F.col("_any") > 0, F.col("_deep")).otherwise(F.col(mask))).drop("_deep", "_any")
+        name, F.when(F.col("_any") > 0, F.col("_survives")).otherwise(F.col(mask))).drop("_survives", "_any")
 
 
 def squared_distances(pixels: DataFrame, mask: str, by="image_id") -> DataFrame:

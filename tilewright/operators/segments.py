@@ -256,9 +256,11 @@ def score_candidates(
     they miss are added.  Sets that take no cluster give no rows.
     """
     keys = [image, *by]
-    joined = labels.join(segments.select(image, segment, "area", "cx", "cy", "inside", "intersects"), [image, segment])
+    sized = segments.select(image, segment, "area", "cx", "cy", "inside", "intersects", width.alias("_w"), height.alias("_h"))
+    joined = labels.join(sized, [image, segment])
     clustered = joined.where(F.col("label") >= 0)
-    taken = centres_in_mask(cluster_centres(clustered, [*keys, "label"]), mask, width, height, image).select(*keys, "label")
+    centres = cluster_centres(clustered, [*keys, "label", "_w", "_h"])
+    taken = centres_in_mask(centres, mask, F.col("_w"), F.col("_h"), image).select(*keys, "label")
     sizes = taken.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clusters"))
     flagged = joined.join(taken.withColumn("_in", F.lit(True)), [*keys, "label"], "left").join(sizes, keys)
     hit = F.coalesce("_in", F.lit(False))
