@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.components import CHUNK, drop_small
 from tilewright.operators.morphology import dilate, disk, erode, robust_normalise, sweep
-from tilewright.operators.scale import attach, cut_lineage, exact_percentiles, names, spread_for_python
+from tilewright.operators.scale import attach, attach_measured, cut_lineage, exact_percentiles, names, spread_for_python
 from tilewright.operators.tiling import reflect_pad
 
 
@@ -58,21 +58,21 @@ def correct_illumination(pixels: DataFrame, settings, image: str = "image_id") -
     sizes = core.groupBy(image).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= settings.illumination_min_ore_area)
     core = attach(core, sizes, image)
     if trim > 0:
-        limits = exact_percentiles(core, image, "lab_l", {"_lo": trim, "_hi": 1.0 - trim})
-        core = attach(core, limits, image).where((F.col("_n") < 20) | F.col("lab_l").between(F.col("_lo"), F.col("_hi")))
+        limits = cut_lineage(exact_percentiles(core, image, "lab_l", {"_lo": trim, "_hi": 1.0 - trim}))
+        core = attach_measured(core, limits, image).where((F.col("_n") < 20) | F.col("lab_l").between(F.col("_lo"), F.col("_hi")))
     left = core.groupBy(image).agg(F.count(F.lit(1)).alias("_kept")).where(F.col("_kept") >= max(settings.illumination_min_ore_area, 6)).select(image)
     fitted = surface_coefficients(attach(core, left, image), "lab_l", image)
     placed = attach(rows, fitted, image, "left")
     basis = _design(F.col("y"), F.col("x"), F.col("h"), F.col("w"))
     value = sum((basis[i] * F.col("coefficients")[i] for i in range(1, 6)), basis[0] * F.col("coefficients")[0])
     placed = cut_lineage(placed.withColumn("_fit", value).drop("coefficients"))
-    centre = exact_percentiles(placed.where(F.col("_ore") == 1), image, "_fit", {"_median": 0.5})
-    placed = attach(placed, centre, image, "left")
+    centre = cut_lineage(exact_percentiles(placed.where(F.col("_ore") == 1), image, "_fit", {"_median": 0.5}))
+    placed = attach_measured(placed, centre, image, "left")
     delta = F.greatest(F.lit(-float(most)), F.least(F.lit(float(most)), F.col("_fit") - F.col("_median")))
     placed = placed.withColumn("_delta", F.coalesce(delta, F.lit(0.0)))
     moved = placed.groupBy(image).agg((F.max(F.abs("_delta")) > 1e-6).alias("applied"))
     lightness = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("lab_l") - F.lit(float(strength)) * F.col("_delta")))
-    return attach(placed, moved, image).withColumn(
+    return attach_measured(placed, cut_lineage(moved), image).withColumn(
         "lab_l", F.when(F.col("_median").isNull(), F.col("lab_l")).otherwise(lightness)).drop("_ore", "_fit", "_median", "_delta")
 
 
@@ -171,7 +171,7 @@ def correct_shadows(pixels: DataFrame, settings, image: str = "image_id") -> Dat
     scale = min(1.0, 32.0 / radius)
     work = pixels.select(image, "y", "x", "h", "w", "lab_l", "lab_a", "lab_b") if scale >= 1.0 else shrink_lab(pixels, scale, image)
     reach = max(3, int(round(radius * scale)))
-    smooth = bilateral(work, "lab_l", reach, max(4.0, most * 1.5), float(reach), "_around", image)
+    smooth = bilateral(cut_lineage(work), "lab_l", reach, max(4.0, most * 1.5), float(reach), "_around", image)
     edged = boundary_barrier(smooth, settings, max(1, int(round(settings.edge_gradient_radius * scale))), image)
     lift = F.greatest(F.col("_around") - F.col("lab_l"), F.lit(0.0)) * (F.lit(1.0) - F.col("barrier"))
     lifted = cut_lineage(edged.withColumn("_lift", F.greatest(F.lit(0.0), F.least(F.lit(float(most)), lift))).select(image, "y", "x", "h", "w", "_lift"))
