@@ -17,11 +17,12 @@ strings in a text are encoded the way the tokenizer file says.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-CACHED_WORDS = 300_000
+KEPT_WORDS = 800_000
 
 
 @dataclass(frozen=True)
@@ -57,27 +58,42 @@ class Piece:
 
 
 class Encoder:
-    """Token ids of texts.  The tokenizer never joins across white space, so ids are cached by word."""
+    """Token ids of texts.  The tokenizer never joins across white space, so the ids' bytes are kept by word."""
 
     def __init__(self, name: str, end_id: int):
-        self.tokenizer, self.end, self.known = _tokenizer(name), (end_id,), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.end, self.known = array("I", [end_id]).tobytes(), {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().split()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > KEPT_WORDS:
             self.known.clear()
-            new = list(dict.fromkeys(words))
-        for at in range(0, len(new), 1000):
-            some = new[at:at + 1000]
-            found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, tuple(e.ids)) for w, e in zip(some, found))
-        return np.fromiter(chain(chain.from_iterable(map(self.known.__getitem__, words)), self.end), dtype="<u4")
+            new = set(words)
+        if new:
+            self._learn(new)
+        return np.frombuffer(b"".join([*map(self.known.__getitem__, words), self.end]), dtype="<u4")
+
+    def _learn(self, new: set[bytes]) -> None:
+        """The tokenizer lower-cases and parts letters from marks, so words share the ids of their lower-case stems."""
+        parts = {w: stem_and_marks(w.lower()) for w in new}
+        todo = list({part for pair in parts.values() for part in pair}.difference(self.known))
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in todo], add_special_tokens=False)
+        self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(todo, found))
+        self.known.update((w, self.known[stem] + self.known[marks]) for w, (stem, marks) in parts.items())
+
+
+def stem_and_marks(word: bytes) -> tuple[bytes, bytes]:
+    """Cuts trailing full stops and commas off where a letter or digit of ASCII stands before them."""
+    stem = word.rstrip(b".,")
+    return (stem, word[len(stem):]) if stem[-1:].isalnum() else (word, b"")
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(name: str) -> Tokenizer:
-    return Tokenizer.from_file(public_tokenizers.path(name))
+def encoder(name: str, end_id: int) -> Encoder:
+    """One for each worker process, so that its words serve all of the process's tasks."""
+    return Encoder(name, end_id)
 
 
 def pack(pieces: list[Piece], how: Packing) -> tuple[list[list[Piece]], list[Piece]]:
@@ -152,7 +168,7 @@ def pack_documents(docs: DataFrame, how: Packing = Packing(), with_ids: bool = F
     ``sequence_id`` is the partition number times 2^32 plus the sequence's number in that partition.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, next_id = Encoder(how.tokenizer, how.end_id), TaskContext.get().partitionId() << 32
+        encode, next_id = encoder(how.tokenizer, how.end_id), TaskContext.get().partitionId() << 32
         waiting: list[Piece] = []
         held = 0
         for batch in batches:
