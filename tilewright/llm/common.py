@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tilewright.operators.scale import cut_lineage
-
 # Fixed value: what separates words is ASCII white space (space, tab, line feed, vertical tab, form feed, carriage return).
 # ``bytes.split()`` without arguments splits at exactly these bytes.
 WHITE = "[\\x20\\x09-\\x0D]+"
@@ -47,6 +46,20 @@ def in_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]]
     return df.mapInArrow(run, struct)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it; a private one only where a local session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes a narrow table to the cluster's shared checkpoint folder and reads it from there on."""
-    return cut_lineage(df)
+    """Writes a table to the shared folder now and reads it from there on; it outlives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import contamination, language, packing, pages, quality, secrets, sharding, simhash
+from tilewright.llm import contamination, language, licenses, packing, pages, preferences, quality, secrets, sharding, simhash
 from tilewright.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_preferences(preferences.contrasted(table(spark, sf_dir, "conversations")))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -47,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": licenses.license_sql()}
