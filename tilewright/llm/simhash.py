@@ -20,7 +20,7 @@ never becomes a component id unless the component has no other.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import xxhash
@@ -35,8 +35,8 @@ AT_ONCE = 1 << 16
 BITS = 64
 
 
-def fingerprint(text: str | None, size: int = 4, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+def fingerprint(text: str | None, size: int = 4, seed: int = SEED, distinct: bool = False) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles, repeats included unless ``distinct``; 0 without words."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
@@ -44,23 +44,26 @@ def fingerprint(text: str | None, size: int = 4, seed: int = SEED) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     size = min(size, len(words))
-    starts, ends = starts[: len(words) - size + 1], ends[size - 1:]
-    digest, ones = xxhash.xxh64_digest, np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(starts), AT_ONCE):
-        pairs = zip(starts[at:at + AT_ONCE].tolist(), ends[at:at + AT_ONCE].tolist())
-        raw = b"".join([digest(joined[s:e], seed) for s, e in pairs])
-        ones += np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
+    shingles = map(slice, starts[: len(words) - size + 1].tolist(), ends[size - 1:].tolist())
+    shingles = map(joined.__getitem__, shingles)
+    if distinct:
+        shingles = iter(set(shingles))
+    digest, ones, n = xxhash.xxh64_digest, np.zeros(BITS, dtype=np.int64), 0
+    while some := [digest(x, seed) for x in islice(shingles, AT_ONCE)]:
+        bits = np.unpackbits(np.frombuffer(b"".join(some), dtype=np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(some)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 4, distinct: bool = False) -> DataFrame:
     """doc_id, text_hash, fp (signed 64-bit) of every row, checkpointed: it is narrow and read several times."""
     def work(rows):
-        return {"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "fp": [_signed(fingerprint(t, size)) for t in rows["text"]]}
+        return {"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "fp": [_signed(fingerprint(t, size, distinct=distinct)) for t in rows["text"]]}
 
     narrow = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return checkpointed(in_batches(narrow, work, "doc_id long, text_hash long, fp long"))
@@ -136,12 +139,14 @@ def simhash_groups(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 1, radius: int = 4, distinct: bool = True) -> DataFrame:
     """One row of every component, the one with the smallest doc_id (then text hash), columns unchanged.
 
+    The default fingerprint is that of the set of words: an edited word changes one of its features, not ``size`` of
+    them, so copies that share four fifths of their five-word shingles mostly stay within four bits.
     Equal rows are merged before the shuffle, so a group of repeated rows costs one row a task.
     """
-    found = fingerprints(docs, size)
+    found = fingerprints(docs, size, distinct)
     grouped = found.join(components(found, radius), "fp", "left")
     # Components are named by a doc_id; without one the fingerprint names it.
     name = F.when(F.col("component_id").isNull(), F.col("fp"))
