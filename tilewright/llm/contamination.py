@@ -7,8 +7,9 @@ least ``similarity``.  Fingerprints are cut into blocks; of two within the radiu
 one block differs in at most radius // blocks bits, so items are indexed under all
 such variants of every block and windows look up their own blocks: none is missed.
 
-Windows that share no shingle with any item cannot reach the similarity, so only
-windows aligned to a shared shingle are fingerprinted; this sieve loses nothing.
+With n shingles on either side the similarity s needs 2 n s / (1 + s) shared ones,
+so only windows that hold so many shingles of an item are fingerprinted; this
+sieve loses nothing, and most documents have no such window.
 
 Words are runs of letters and digits, lower-case.  Defined results: items and
 documents with fewer words than a shingle match nothing; null texts are empty; a
@@ -91,17 +92,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows()
         """Broadcast what has been counted to be small; anything larger is joined by shuffle, with the skew split."""
         return F.broadcast(df) if rows <= how.broadcast_rows else df
 
-    # Shared shingles align an item with a window: its start is where the item's first word would be.
-    seeds = items.select("size", F.posexplode("item_shingles").alias("item_pos", "h")).distinct()
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("hashes"))
+    seeds = items.select("item_id", "size", F.explode(F.array_distinct("item_shingles")).alias("h"))
+    texts = docs.select(_key(), F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("hashes"))
     rows = texts.select("key", "text_hash", F.size("hashes").alias("words"), F.posexplode(_zipped("hashes", size)).alias("pos", "w"))
     rows = rows.where(F.col(f"w.w{size - 1}").isNotNull()).select("key", "text_hash", "words", "pos", F.xxhash64(*[f"w.w{i}" for i in range(size)]).alias("h"))
     met = rows.join(sized(seeds, numbers["shingles"]), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("item_pos"), F.col("words") - F.col("size")))
-    wanted = met.select("key", "text_hash", "size", start.alias("start")).distinct()
+    places = met.groupBy("key", "text_hash", "words", "item_id", "size").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    wanted = places.select("key", "text_hash", "size", F.explode(_starts(how)).alias("start")).distinct()
     wanted = checkpointed(wanted.groupBy("key", "text_hash").agg(F.collect_list(F.struct("start", "size")).alias("windows")))
 
-    full = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
+    full = docs.select("doc_id", _key(), F.xxhash64("text").alias("text_hash"), "text")
     hit = full.join(sized(wanted, wanted.count()), ["key", "text_hash"])
     hit = hit.select("doc_id", "key", "text_hash", word_hashes(F.col("text")).alias("hashes"), "windows")
     windows = hit.select("doc_id", "key", "text_hash", "hashes", F.explode("windows").alias("at"))
@@ -120,6 +120,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows()
         (-F.col("b.far")).alias("hamming"), F.col("b.similarity").alias("similarity"))
 
 
+def _key() -> Column:
+    """doc_id as a join key; null has a key of its own."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
+
+
+def _starts(how: Windows) -> Column:
+    """Starts of all windows of ``size`` words that hold enough of ``places``, the sorted places of shared shingles.
+
+    Such a window holds that many consecutive places.  A text shorter than the item is a window itself.
+    """
+    n = F.col("size") - (how.shingle - 1)
+    in_window = F.least(F.col("words"), F.col("size")) - (how.shingle - 1)
+    least = F.ceil((in_window + n) * F.lit(how.similarity / (1 + how.similarity)) - 1e-9).cast("int")
+
+    def around(i: Column) -> Column:
+        first, last = F.get("places", i), F.get("places", i + least - 1)
+        low, high = F.greatest(F.lit(0), last - n + 1), F.least(first, F.greatest(F.lit(0), F.col("words") - F.col("size")))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    runs = F.when(F.size("places") >= least, F.sequence(F.lit(0), F.size("places") - least)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(runs, around)))
+
+
 def _zipped(hashes: str, size: int) -> Column:
     """Array of structs w0.. of consecutive words; the last ones are cut short by nulls."""
     return F.arrays_zip(*[F.slice(hashes, i + 1, F.greatest(F.size(hashes), F.lit(1))).alias(f"w{i}") for i in range(size)])
