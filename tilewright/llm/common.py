@@ -1,4 +1,4 @@
-"""Helpers the corpus operators share: word rules, table access and bounded Python batches."""
+"""Helpers the corpus operators share: table access, bounded Python batches and checkpoints."""
 
 from __future__ import annotations
 
@@ -6,14 +6,10 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Fixed value: what separates words is ASCII white space (space, tab, line feed, vertical tab, form feed, carriage return).
-# ``bytes.split()`` without arguments splits at exactly these bytes.
-WHITE = "[\\x20\\x09-\\x0D]+"
 ROWS_AT_ONCE = 256
 
 
@@ -21,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words_of(text: Column) -> Column:
-    """Array of words of a text; empty for null or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def in_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str | T.StructType) -> DataFrame:

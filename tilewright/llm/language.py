@@ -152,11 +152,11 @@ def train(labelled: DataFrame, how: Training = Training()) -> Model:
 
 def predict_languages(docs: DataFrame, model: Model, *more: Column) -> DataFrame:
     """doc_id, any further columns, lang_pred, score, ambiguous of every row (doc_id, text)."""
-    rows = docs.select("doc_id", *more, F.col("text").alias("__text"))
+    rows = docs.select("doc_id", *more, "text")
     kept = rows.schema.fields[:-1]
 
     def work(values):
-        found = [model.predict(t) for t in values["__text"]]
+        found = [model.predict(t) for t in values["text"]]
         return {f.name: values[f.name] for f in kept} | {n: [f[i] for f in found] for i, n in enumerate(("lang_pred", "score", "ambiguous"))}
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double, ambiguous boolean"])

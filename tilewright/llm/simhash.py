@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import checkpointed, in_batches
+from tilewright.llm.common import checkpointed, in_batches, unused
 from tilewright.operators.components import connect
 
 SEED = 42
@@ -152,8 +152,7 @@ def keep_one(docs: DataFrame, size: int = 1, radius: int = 4, distinct: bool = T
     name = F.when(F.col("component_id").isNull(), F.col("fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     stay = grouped.groupBy("component_id", name.alias("nameless")).agg(first.alias("s"))
-    key = F.coalesce(F.col("s.doc_id").cast("string"), F.lit(""))
-    stay = stay.select(key.alias("__key"), F.col("s.text_hash").alias("__hash"))
-    rows = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__hash": F.xxhash64("text")})
-    rows = rows.dropDuplicates(["__key", "__hash"])
-    return rows.join(stay, ["__key", "__hash"], "left_semi").drop("__key", "__hash").select(*docs.columns)
+    key, digest = unused(docs, "row_key"), unused(docs, "row_hash")
+    stay = stay.select(F.coalesce(F.col("s.doc_id").cast("string"), F.lit("")).alias(key), F.col("s.text_hash").alias(digest))
+    rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest: F.xxhash64("text")})
+    return rows.dropDuplicates([key, digest]).join(stay, [key, digest], "left_semi").select(*docs.columns)
