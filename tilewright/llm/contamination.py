@@ -60,10 +60,10 @@ def simhash(shingles: str) -> Column:
     return F.expr(f"aggregate(sequence(0, {BITS - 1}), 0L, (fp, b) -> fp | shiftleft(if(2 * {ones} > size({shingles}), 1L, 0L), b))")
 
 
-def weighted_similarity(a: str, b: str) -> Column:
-    """Sum of minima over sum of maxima of the counts of two arrays of shingles."""
-    common = F.expr(f"aggregate(array_distinct({a}), 0, (n, x) -> n + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))")
-    return common / (F.size(a) + F.size(b) - common)
+def common_shingles(a: str, b: str) -> Column:
+    """Sum of minima of the counts of two arrays of shingles; counting is only needed where one repeats."""
+    counted = F.expr(f"aggregate(array_distinct({a}), 0, (n, x) -> n + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))")
+    return F.when(F.size(F.array_distinct(a)) == F.size(a), F.size(F.array_intersect(a, b))).otherwise(counted)
 
 
 def _with_blocks(rows: DataFrame, fp: str, how: Windows) -> DataFrame:
@@ -106,15 +106,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows()
     hit = hit.select("doc_id", "key", "text_hash", word_hashes(F.col("text")).alias("hashes"), "windows")
     windows = hit.select("doc_id", "key", "text_hash", "hashes", F.explode("windows").alias("at"))
     windows = windows.select("doc_id", "key", "text_hash", F.col("at.start").alias("start"), F.col("at.size").alias("size"), _shingles(F.slice("hashes", F.col("at.start") + 1, F.col("at.size")), size).alias("shingles"))
-    windows = windows.withColumn("fp", simhash("shingles"))
+    windows = checkpointed(windows.withColumn("fp", simhash("shingles")))
 
-    index = _index(items.select("item_id", "size", "item_fp", "item_shingles"), how)
+    # Narrow rows go through the blocks; only pairs within the radius get their shingles back.
+    index = _index(items.select("item_id", "size", "item_fp"), how)
     variants = numbers["items"] * how.blocks * _ball_size(BITS // how.blocks, how.radius // how.blocks)
-    near = _with_blocks(windows, "fp", how).join(sized(index, variants), ["size", "block", "value"])
-    near = near.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= how.radius)
-    near = near.withColumn("similarity", weighted_similarity("shingles", "item_shingles")).where(F.col("similarity") >= how.similarity)
-    best = near.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("late"), (-F.col("hamming")).alias("far"), F.size("shingles").alias("n"))).alias("b"))
+    place = ["key", "text_hash", "start", "size"]
+    looked_up = _with_blocks(windows.select(*place, "fp"), "fp", how).join(sized(index, variants), ["size", "block", "value"])
+    near = looked_up.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= how.radius)
+    near = near.select(*place, "item_id", "hamming").distinct()
+    pairs = windows.dropDuplicates(place).join(near, place).join(sized(items.select("item_id", "item_shingles"), numbers["shingles"]), "item_id")
+    both = pairs.select("doc_id", "text_hash", "item_id", "start", "hamming", F.size("shingles").alias("n"), F.size("item_shingles").alias("m"), common_shingles("shingles", "item_shingles").alias("common"))
+    alike = both.withColumn("similarity", F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).where(F.col("similarity") >= how.similarity)
+    best = alike.groupBy("doc_id", "text_hash", "item_id").agg(
+        F.max(F.struct("similarity", (-F.col("start")).alias("late"), (-F.col("hamming")).alias("far"), "n")).alias("b"))
     return best.select(
         "doc_id", "text_hash", "item_id", (-F.col("b.late")).alias("start"), (F.col("b.n") + size - 1).alias("n_words"),
         (-F.col("b.far")).alias("hamming"), F.col("b.similarity").alias("similarity"))
