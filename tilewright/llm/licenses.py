@@ -12,7 +12,6 @@ highest coefficient wins, then the smallest name; repeated rows are reported onc
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,28 +27,19 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "))
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct word bigrams of a normalised text."""
-    words = F.split(text, " ")
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
-
-
-def _python_bigrams(text: str) -> list[str]:
-    words = "".join(c if c in LOWER or c in "0123456789" else " " for c in text.lower()).split()
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+def with_bigrams(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Kept columns, ``grams`` (hashes of the distinct word bigrams of a text) and ``n_grams``."""
+    hashed = df.select(*keep, F.transform(F.split(normalised(F.col(text)), " "), lambda w: F.xxhash64(w)).alias("hashes"))
+    pairs = F.zip_with(F.slice("hashes", 1, F.size("hashes") - 1), F.slice("hashes", 2, F.size("hashes")), lambda a, b: F.xxhash64(a, b))
+    return hashed.select(*keep, F.array_distinct(pairs).alias("grams")).withColumn("n_grams", F.size("grams"))
 
 
 def template_index(spark, templates: Sequence[tuple[str, str]], dice: float) -> DataFrame:
-    """license, grams of every template, once for each bigram count that can reach the coefficient."""
-    rows = []
-    for name, text in templates:
-        grams = _python_bigrams(text)
-        low, high = math.ceil(len(grams) * dice / (2 - dice) - 1e-9), math.floor(len(grams) * (2 - dice) / dice + 1e-9)
-        if grams:
-            rows.append(F.struct(F.lit(name).alias("license"), F.lit(grams).alias("template"), F.lit(low).alias("low"), F.lit(high).alias("high")))
-    listed = spark.range(1).select(F.inline(F.array(*rows)))
-    return listed.select("license", "template", F.explode(F.sequence("low", "high")).alias("n_grams"))
+    """license, template (its bigrams), once for each bigram count ``n_grams`` that can reach the coefficient."""
+    listed = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates])))
+    made = with_bigrams(listed, "text", "license").where(F.col("n_grams") > 0)
+    low, high = F.ceil(F.col("n_grams") * F.lit(dice / (2 - dice)) - 1e-9), F.floor(F.col("n_grams") * F.lit((2 - dice) / dice) + 1e-9)
+    return made.select("license", F.col("grams").alias("template"), F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("n_grams"))
 
 
 def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, dice: float = DICE) -> DataFrame:
@@ -59,7 +49,7 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     """
     text = F.coalesce("text", F.lit(""))
     units = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.concat(F.array(text), F.split(text, "\n"))).alias("unit", "part"))
-    sized = units.select("doc_id", "text_hash", "unit", bigrams(normalised(F.col("part"))).alias("grams")).withColumn("n_grams", F.size("grams"))
+    sized = with_bigrams(units, "part", "doc_id", "text_hash", "unit")
     met = sized.join(template_index(docs.sparkSession, templates, dice), "n_grams")
     share = 2 * F.size(F.array_intersect("grams", "template")) / (F.size("grams") + F.size("template"))
     near = met.select("doc_id", "text_hash", "unit", "license", share.alias("dice")).where(F.col("dice") >= dice)
@@ -69,6 +59,11 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
         "doc_id", "text_hash", "unit", F.col("b.license").alias("license"), (-F.col("b.far")).alias("dice"))
 
 
+def _python_bigrams(text: str) -> list[str]:
+    words = "".join(c if c in LOWER or c in "0123456789" else " " for c in text.lower()).split()
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+
+
 def license_sql(templates: Sequence[tuple[str, str]] = TEMPLATES, dice: float = DICE) -> str:
     """The same rows in SQL, without the text hash: only for tables without repeated rows."""
     quoted = ", ".join(f"({i}, '{name}', '{' '.join(g.replace(' ', '_') for g in _python_bigrams(text))}')" for i, (name, text) in enumerate(templates))
