@@ -73,7 +73,7 @@ units AS (
   SELECT doc_id, generate_subscripts(parts, 1) - 1 AS unit, unnest(parts) AS part
   FROM (SELECT doc_id, list_concat([coalesce(text, '')], string_split(coalesce(text, ''), chr(10))) AS parts FROM documents)),
 words AS (SELECT doc_id, unit, string_split(trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
-sets AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), i -> w[i] || '_' || w[i + 1])) AS grams FROM words),
+sets AS (SELECT doc_id, unit, list_distinct([w[i] || '_' || w[i + 1] for i in range(1, len(w))]) AS grams FROM words),
 scored AS (
   SELECT doc_id, unit, name, 2.0::DOUBLE * len(list_intersect(s.grams, t.grams)) / (len(s.grams) + len(t.grams)) AS dice
   FROM sets s JOIN templates t ON len(s.grams) > 0 AND len(s.grams) * (2 - {dice}) + 1e-9 >= len(t.grams) * {dice} AND len(t.grams) * (2 - {dice}) + 1e-9 >= len(s.grams) * {dice})
