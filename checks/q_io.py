@@ -101,11 +101,12 @@ def _(spark, sf):
     return tb.summary_documents(rows, "doc", "key", "seq", "v")
 
 
-@check("s10_history_union", """select run_id, stage, epoch, case when stage='A' then val_auc end val_auc, case when stage='N' then val_loss end val_loss from v_history where stage in ('A','N')""")
+@check("s10_history_union", """select run_id, stage, epoch, case when stage='A' then val_auc end val_auc, case when stage='N' then val_loss end val_loss, case when stage='R' then val_f1 end val_f1 from v_history """)
 def _(spark, sf):
     rows = Tables(spark, sf).history()
     return tb.combine_histories([
-        rows.where("stage = 'A'").select("run_id", "stage", "epoch", "val_auc"), rows.where("stage = 'N'").select("run_id", "stage", "epoch", "val_loss")])
+        rows.where("stage = 'A'").select("run_id", "stage", "epoch", "val_auc"), rows.where("stage = 'N'").select("run_id", "stage", "epoch", "val_loss"),
+        rows.where("stage = 'R'").select("run_id", "stage", "epoch", "val_f1")])
 
 
 _IMAGES = """i as (select concat('img', cast(d.doc_id as varchar), '.png') image, coalesce(l.toxic,0)=1 excluded, coalesce(l.quality,1)=1 applied, case when d.doc_id%17=0 then 'broken' end error from documents d left join labels l on d.doc_id=l.doc_id)"""

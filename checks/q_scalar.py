@@ -207,13 +207,12 @@ def _(spark, sf):
 
 
 @check("f14_percent_done", """
-    select image_id, greatest(0.0, least(100.0, round_even(d, 1))) as percent
-    from (select image_id, case when not isnan(try_cast(raw as double)) then try_cast(raw as double) end d from v_raw_settings)
-    where d is not null""")
+    select image_id, case when d is not null then greatest(0.0, least(100.0, round_even(d, 1))) end as percent
+    from (select image_id, case when not isnan(try_cast(raw as double)) then try_cast(raw as double) end d from v_raw_settings)""")
 def _(spark, sf):
     number = s.parse_number(F.col("raw"))
-    rows = Tables(spark, sf).raw_settings().select("image_id", number.alias("d")).where(F.col("d").isNotNull() & ~F.isnan("d"))
-    return rows.select("image_id", s.percent_done(F.col("d")).alias("percent"))
+    rows = Tables(spark, sf).raw_settings().select("image_id", number.alias("d"))
+    return rows.select("image_id", F.when(F.col("d").isNotNull() & ~F.isnan("d"), s.percent_done(F.col("d"))).alias("percent"))
 
 
 @check("f32_sigmoid_softmax", """

@@ -57,7 +57,7 @@ def _(spark, sf):
     counts = Tables(spark, sf).segments().groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
     grid = F.array(*[
         F.struct(F.lit(name).alias("variant"), F.lit(size).alias("min_cluster_size"), F.lit(m).alias("min_samples"))
-        for name, _ in sg.VARIANTS for size in sg.CLUSTER_SIZES for m in sg.min_samples_for(size)])
+        for name, _ in sg.VARIANTS for size, samples in sg.SAMPLES.items() for m in samples])
     return counts.where("n >= 2").select("image_id", "n", F.explode(grid).alias("g")).where(F.col("g.min_cluster_size") <= F.col("n")).select("image_id", "g.*")
 
 
@@ -177,7 +177,7 @@ def _(spark, sf):
     select image_id, l "left", t top, r "right", b bottom, ea excluded_after, nv=0 and (nr>0 or eb>0) fallback from pk join fr using(image_id,s)""")
 def _(spark, sf):
     settings = cr.CropSettings(0.45, 0.3, 0)
-    return cr.best_crop(_crops(Tables(spark, sf), settings), settings).where("fallback or area_ratio < 2").select(
+    return cr.best_crop(_crops(Tables(spark, sf), settings), settings).select(
         "image_id", "left", "top", "right", "bottom", "excluded_after", "fallback")
 
 

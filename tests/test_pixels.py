@@ -109,7 +109,8 @@ def minimax(grad, seeds, mask):
     cost = np.where(seeds > 0, grad, np.inf)
     label = np.where(seeds > 0, seeds, np.iinfo(np.int64).max)
     free = list(zip(*np.nonzero(mask & (seeds == 0))))
-    for phase in ("cost", "label"):
+    age = np.where(seeds > 0, 0.0, np.inf)
+    for phase in ("cost", "age", "label"):
         moved = True
         while moved:
             moved = False
@@ -118,7 +119,11 @@ def minimax(grad, seeds, mask):
                     offer = max(cost[q], grad[p]) if mask[q] else np.inf
                     if phase == "cost" and offer < cost[p]:
                         cost[p], moved = offer, True
-                    if phase == "label" and np.isfinite(offer) and offer == cost[p] and label[q] < label[p]:
+                    older = age[q] + 1 if cost[q] == cost[p] else 0.0
+                    attained = np.isfinite(offer) and offer == cost[p]
+                    if phase == "age" and attained and older < age[p]:
+                        age[p], moved = older, True
+                    if phase == "label" and attained and older == age[p] and label[q] < label[p]:
                         label[p], moved = label[q], True
     return cost, label
 
@@ -137,6 +142,23 @@ def test_flooding_is_the_minimax_path(spark, chunk):
     assert (to_raster(out, "cost", 0, -1) == np.where(reached, cost, -1)).all()
 
 
+@pytest.mark.parametrize("chunk", [4, 64])
+def test_a_plateau_is_shared_between_its_seeds(spark, chunk):
+    rows = spark.createDataFrame([(0, 0, x, 1, {0: 1, 9: 2}.get(x)) for x in range(10)], "image_id int, y int, x int, g int, seed int")
+    found = {r["x"]: r["label"] for r in relax.flood(rows, "seed", "g", chunk=chunk).collect()}
+    assert found == {x: 1 if x < 5 else 2 for x in range(10)}
+
+
+def test_patches_of_any_shape_turn_whole(spark):
+    from tilewright.operators.tiling import apply_geometry
+
+    for turn in (None, 1.0, 2.0, 3.0):
+        rows = [(y, x, 3, 5, 1.0, 1.0, turn, 5 * y + x) for y in range(3) for x in range(5)]
+        out = apply_geometry(spark.createDataFrame(rows, "y int, x int, h int, w int, flip_x double, flip_y double, turns double, v int")).collect()
+        wanted = np.rot90(np.arange(15).reshape(3, 5)[::-1, ::-1], int(turn or 0))
+        assert {(r["h"], r["w"]) for r in out} == {wanted.shape} and all(wanted[r["y"], r["x"]] == r["v"] for r in out) and len(out) == 15
+
+
 def test_seeds_fall_back_to_the_whole_component(spark):
     mask = np.zeros((SIZE, SIZE), dtype=int)
     mask[1:6, 1:6] = 1

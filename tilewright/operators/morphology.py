@@ -162,13 +162,15 @@ def postprocess(pixels: DataFrame, code: str, minimum: int, radius: int, by="ima
 def deeper_than(pixels: DataFrame, mask: str, radius: float, name: str, by="image_id") -> DataFrame:
     """0/1 column: set pixels farther than ``radius`` from every unset pixel.
 
-    The distance exceeds r exactly when no unset pixel lies in the disk of r.  An
-    image where nothing survives keeps its mask.
+    One plan for every radius, from exact distances.  An image where nothing
+    survives keeps its mask.
     """
     keys = names(by)
     if radius <= 0:
         return pixels.withColumn(name, F.col(mask))
-    eroded = erode(pixels, mask, disk(radius), "_survives", keys)
+    far = squared_distances(pixels, mask, keys)
+    deep = (F.col(mask) == 1) & (F.col("_d2").isNull() | (F.col("_d2") > F.lit(float(radius) ** 2)))
+    eroded = pixels.join(far.withColumnRenamed("d2", "_d2"), [*keys, "y", "x"], "left").withColumn("_survives", F.coalesce(deep, F.lit(False)).cast("int")).drop("_d2")
     any_left = eroded.groupBy(*keys).agg(F.max("_survives").alias("_any"))
     return attach(eroded, any_left, keys).withColumn(
         name, F.when(F.col("_any") > 0, F.col("_survives")).otherwise(F.col(mask))).drop("_survives", "_any")

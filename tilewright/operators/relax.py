@@ -2,16 +2,15 @@
 
 Growth keeps the smallest (steps, label) per pixel.  Flooding first settles the
 cheapest cost of every pixel (the lowest possible largest weight on a path from
-a seed), then passes labels along the links that attain it; two phases, because
-a neighbour that gets cheaper may change to a larger label.  Chunks run to their own rest in one task, then borders exchange one
+a seed), then its age (steps since that cost was entered, so that seeds share a
+plateau), then passes labels along the links that attain both; three phases,
+because a neighbour that gets cheaper may change to a larger label.  Chunks run to their own rest in one task, then borders exchange one
 ring of pixels; rounds end when no border pixel changes, so their number follows
 the chunks a path crosses, not its pixels.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,10 +23,10 @@ FOUR = ((0, 1), (1, 0), (0, -1), (-1, 0))
 EIGHT = FOUR + ((1, 1), (1, -1), (-1, 1), (-1, -1))
 
 
-def _settle(y, x, own, cost, label, weight, offsets, phase: str):
+def _settle(y, x, own, cost, age, label, weight, offsets, phase: str):
     """Relaxes one chunk to rest; ring pixels of neighbours only give.
 
-    Phases: ``cost`` (minimax, labels untouched), ``label`` (costs fixed), ``steps`` (both).
+    Phases: ``cost`` (minimax, labels untouched), ``age`` (costs fixed), ``label`` (both fixed), ``steps`` (cost is steps, with labels).
     """
     keys = (y.astype(np.int64) << 32) + x
     order = np.argsort(keys)
@@ -43,17 +42,26 @@ def _settle(y, x, own, cost, label, weight, offsets, phase: str):
         changed = False
         for mine, theirs in links:
             offer = cost[theirs] + 1.0 if phase == "steps" else np.maximum(cost[theirs], weight[mine])
-            lower = label[theirs] < label[mine]
-            better = {"cost": offer < cost[mine], "label": (offer == cost[mine]) & lower, "steps": (offer < cost[mine]) | ((offer == cost[mine]) & lower)}[phase]
+            offered_age = np.where(cost[theirs] == cost[mine], age[theirs] + 1, 0.0)
+            lower, same = label[theirs] < label[mine], offer == cost[mine]
+            if phase == "cost":
+                better = offer < cost[mine]
+            elif phase == "age":
+                better = same & (offered_age < age[mine])
+            elif phase == "label":
+                better = same & (offered_age == age[mine]) & lower
+            else:
+                better = (offer < cost[mine]) | (same & lower)
             better &= np.isfinite(offer)
             if better.any():
                 take = mine[better]
-                if phase != "label":
+                if phase in ("cost", "steps"):
                     cost[take] = offer[better]
-                if phase != "cost":
+                if phase == "age":
+                    age[take] = offered_age[better]
+                if phase in ("label", "steps"):
                     label[take] = label[theirs[better]]
                 changed = True
-    return cost, label
 
 
 def spread_labels(pixels: DataFrame, seed: str, weight: str | None, by="image_id", diagonal: bool = False, chunk: int = CHUNK) -> DataFrame:
@@ -61,7 +69,8 @@ def spread_labels(pixels: DataFrame, seed: str, weight: str | None, by="image_id
 
     ``seed`` is a label column (NULL where unlabelled).  With ``weight`` the cost
     of a path is its largest weight (flooding); without, its number of steps.
-    Equal costs go to the smaller label.  Seeds keep their label.
+    Equal costs go to the seed that is fewer steps away since that cost was
+    entered, then to the smaller label.  Seeds keep their label.
     """
     keys = names(by)
     offsets, minimax = (EIGHT if diagonal else FOUR), weight is not None
@@ -72,32 +81,40 @@ def spread_labels(pixels: DataFrame, seed: str, weight: str | None, by="image_id
     state = pixels.select(
         *keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), height.alias("w"),
         F.col(seed).isNotNull().alias("fixed"), F.coalesce(F.col(seed).cast("bigint"), F.lit(none)).alias("label"),
-        F.when(F.col(seed).isNotNull(), height).otherwise(F.lit(float("inf"))).alias("cost"))
-    schema = key_schema + ", y int, x int, w double, fixed boolean, label bigint, cost double, moved boolean"
+        F.when(F.col(seed).isNotNull(), height).otherwise(F.lit(float("inf"))).alias("cost"),
+        F.when(F.col(seed).isNotNull(), F.lit(0.0)).otherwise(F.lit(float("inf"))).alias("age"))
+    schema = key_schema + ", y int, x int, w double, fixed boolean, label bigint, cost double, age double, moved boolean"
+
+    def settle_in(phase: str):
+        def settle(frame: pd.DataFrame) -> pd.DataFrame:
+            return settled(frame, phase)
+
+        return settle
 
-    def settle(frame: pd.DataFrame, phase: str) -> pd.DataFrame:
+    def settled(frame: pd.DataFrame, phase: str) -> pd.DataFrame:
         y, x = frame["y"].to_numpy(), frame["x"].to_numpy()
         own = frame["own"].to_numpy()
         cost, label = frame["cost"].to_numpy(dtype=float).copy(), frame["label"].to_numpy(dtype=np.int64).copy()
-        before_cost, before_label = cost.copy(), label.copy()
+        age = frame["age"].to_numpy(dtype=float).copy()
+        before = cost.copy(), age.copy(), label.copy()
         free = own & ~frame["fixed"].to_numpy()
-        _settle(y, x, free, cost, label, frame["w"].to_numpy(dtype=float), offsets, phase)
+        _settle(y, x, free, cost, age, label, frame["w"].to_numpy(dtype=float), offsets, phase)
         rim = ((y % chunk) == 0) | ((y % chunk) == chunk - 1) | ((x % chunk) == 0) | ((x % chunk) == chunk - 1)
         out = frame[[*keys, "y", "x", "w", "fixed"]].copy()
-        out["label"], out["cost"] = label, cost
-        out["moved"] = rim & ((cost != before_cost) | (label != before_label))
+        out["label"], out["cost"], out["age"] = label, cost, age
+        out["moved"] = rim & ((cost != before[0]) | (age != before[1]) | (label != before[2]))
         return out[own]
 
     homes = F.array_distinct(F.array(*[
         F.struct(F.floor((F.col("y") + dy) / chunk).alias("cy"), F.floor((F.col("x") + dx) / chunk).alias("cx"))
         for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    for phase in ("cost", "label") if minimax else ("steps",):
+    for phase in ("cost", "age", "label") if minimax else ("steps",):
         while True:
-            given = state.select(*keys, "y", "x", "w", "fixed", "label", "cost", F.explode(homes).alias("home"))
+            given = state.select(*keys, "y", "x", "w", "fixed", "label", "cost", "age", F.explode(homes).alias("home"))
             own = (F.col("home.cy") == F.floor(F.col("y") / chunk)) & (F.col("home.cx") == F.floor(F.col("x") / chunk))
             given = given.withColumns({"own": own, "_cy": F.col("home.cy"), "_cx": F.col("home.cx")}).drop("home")
             groups = spread_for_python(given, *keys, "_cy", "_cx").groupBy(*keys, "_cy", "_cx")
-            state = cut_lineage(groups.applyInPandas(partial(settle, phase=phase), schema))
+            state = cut_lineage(groups.applyInPandas(settle_in(phase), schema))
             if state.where("moved").isEmpty():
                 break
     return state.where(F.col("label") != none).select(*keys, "y", "x", "label", "cost", "fixed")

@@ -23,15 +23,13 @@ VARIANTS = (
     ("spatial_x8", (8.0, 8.0, 0.5, 0.5, 0.5, 0.25)),
     ("spatial_x16", (16.0, 16.0, 0.5, 0.5, 0.5, 0.25)),
 )
-CLUSTER_SIZES = (2, 3, 4, 5, 8, 13, 21, 34, 55, 89)
+# The sample counts tried with each smallest cluster size.
+SAMPLES = {2: (1, 2), 3: (1, 2, 3), 4: (1, 2, 4), 5: (1, 2, 5), 8: (1, 2, 4, 8), 13: (1, 2, 6, 13), 21: (1, 2, 10, 21), 34: (1, 2, 17, 34), 55: (1, 2, 27, 55), 89: (1, 2, 44, 89)}
+CLUSTER_SIZES = tuple(SAMPLES)
 FEATURES = ("f0", "f1", "f2", "f3", "f4", "f5")
 ClusterFunction = Callable[[np.ndarray, int, int], np.ndarray]
 
 
-def min_samples_for(size: int) -> list[int]:
-    return sorted({s for s in (1, 2, max(1, size // 2), size) if 1 <= s <= size})
-
-
 def region_parts(pixels: DataFrame, image: str = "image_id", chunk: int = CHUNK) -> DataFrame:
     """Labels of dark parts: components cut by region, each cut part connected again.
 
@@ -219,7 +217,7 @@ def density_sweep(variants: DataFrame, cluster: ClusterFunction = density_labels
                 for size in CLUSTER_SIZES:
                     if size > len(ids):
                         break
-                    for samples in min_samples_for(size):
+                    for samples in SAMPLES[size]:
                         labels = cluster(points, size, samples)
                         out.append((getattr(record, image), record.variant, record.variant_order, ids, labels.tolist(), order, size, samples))
                         order += 1

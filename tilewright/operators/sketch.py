@@ -216,6 +216,7 @@ def check_connections(requests: DataFrame, points: DataFrame, candidates: DataFr
     rows = requests.join(known("a"), [image, "a"], "left").join(known("b"), [image, "b"], "left").withColumn("id", pair_key(F.col("a"), F.col("b")))
     rows = rows.join(candidates.select(image, "id", "bounds"), [image, "id"], "left")
     held = F.col("bounds").isNotNull() & g.control_in_bounds(F.col("control.x"), F.col("control.y"), F.col("bounds"))
+    # The texts of the five rejections.
     reason = (
         F.when(F.col("_a").isNull() | F.col("_b").isNull(), "Unknown endpoint id")
         .when(F.col("a") == F.col("b"), "Segment endpoints must be different")

@@ -224,15 +224,17 @@ def augmentation_plan(patches: DataFrame, keys, seed: int, kind: str = "heavy")
 
 
 def apply_geometry(pixels: DataFrame) -> DataFrame:
-    """Flips and quarter turns of square patches (size ``w``) as coordinate arithmetic."""
-    last = F.col("w") - 1
-    x = F.when(F.col("flip_x").isNotNull(), last - F.col("x")).otherwise(F.col("x"))
-    y = F.when(F.col("flip_y").isNotNull(), last - F.col("y")).otherwise(F.col("y"))
+    """Flips and quarter turns of patches (h, w) as coordinate arithmetic; an odd turn swaps h and w."""
+    bottom, right = F.col("h") - 1, F.col("w") - 1
+    x = F.when(F.col("flip_x").isNotNull(), right - F.col("x")).otherwise(F.col("x"))
+    y = F.when(F.col("flip_y").isNotNull(), bottom - F.col("y")).otherwise(F.col("y"))
     flipped = pixels.withColumns({"x": x, "y": y})
     turn = F.coalesce(F.col("turns"), F.lit(0.0)).cast("int")
+    odd = turn % 2 == 1
     return flipped.withColumns({
-        "y": F.when(turn == 1, last - F.col("x")).when(turn == 2, last - F.col("y")).when(turn == 3, F.col("x")).otherwise(F.col("y")),
-        "x": F.when(turn == 1, F.col("y")).when(turn == 2, last - F.col("x")).when(turn == 3, last - F.col("y")).otherwise(F.col("x")),
+        "y": F.when(turn == 1, right - F.col("x")).when(turn == 2, bottom - F.col("y")).when(turn == 3, F.col("x")).otherwise(F.col("y")),
+        "x": F.when(turn == 1, F.col("y")).when(turn == 2, right - F.col("x")).when(turn == 3, bottom - F.col("y")).otherwise(F.col("x")),
+        "h": F.when(odd, F.col("w")).otherwise(F.col("h")), "w": F.when(odd, F.col("h")).otherwise(F.col("w")),
     })
 
 

@@ -158,17 +158,19 @@ def replay(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFram
     base = f"{_work_folder(spark)}/{uuid.uuid4().hex}"
     schema = stream.schema
 
+    ran = []
+
     def save(batch: DataFrame, number: int) -> None:
+        ran.append(number)
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/b={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
-    try:
-        rows = spark.read.parquet(f"{base}/out").drop("b")
-    except Exception:  # no batch ran: nothing was available
+    if not ran:  # nothing was available
         return spark.createDataFrame([], schema)
+    rows = spark.read.parquet(f"{base}/out").drop("b")
     if not keys:
         return rows.drop("_batch")
     row = F.struct(*[c for c in schema.names if c not in keys])
