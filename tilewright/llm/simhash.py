@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import checkpointed, in_batches, unused
 from tilewright.operators.components import connect
+from tilewright.operators.scale import attach
 
 SEED = 42
 AT_ONCE = 1 << 16
@@ -119,12 +120,16 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def components(found: DataFrame, radius: int = 4) -> DataFrame:
-    """fp and component_id (smallest doc_id of all rows reachable by links) of every distinct fingerprint."""
+    """fp and component_id (smallest doc_id of all rows reachable by links) of every distinct fingerprint.
+
+    Only linked fingerprints are shuffled by component, and salted where they get its id back.
+    """
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connect(links(nodes.select("fp"), radius), []).select(F.col("node").alias("fp"), "root")
-    rooted = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    members = roots.union(roots.select(F.col("root").alias("fp"), "root").distinct())
+    least = nodes.join(members, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    named = attach(members, least, "root").select("fp", "component_id")
+    return nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
 
 
 def simhash_groups(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
