@@ -181,9 +181,6 @@ def _(spark, sf):
         "image_id", "left", "top", "right", "bottom", "excluded_after", "fallback")
 
 
-QUICK = dict(starts=2, iterations=4)
-
-
 @check("p07_pixel_sample", "select image_id, least(count(*),300) n from v_mosaic group by 1")
 def _(spark, sf):
     return cl.sample_pixels(Tables(spark, sf).mosaic(), 300).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
@@ -192,26 +189,26 @@ def _(spark, sf):
 @check("c01_kmeans_centres")
 def _(spark, sf):
     lab = lab_pixels(Tables(spark, sf)).select(*KEY, "lab_l", "lab_a", "lab_b")
-    centres = cl.kmeans_centres(lab, 3, sample=600, **QUICK)
+    centres = cl.kmeans_centres(lab, 3)
     return centres.select("image_id", F.posexplode("centres").alias("k", "c")).select("image_id", "k", F.round(F.col("c")[0], 4).alias("l"), F.round(F.col("c")[2], 4).alias("b"))
 
 
 @check("c02_cluster_classes")
 def _(spark, sf):
     lab = lab_pixels(Tables(spark, sf)).select(*KEY, "lab_l", "lab_a", "lab_b")
-    out = cl.cluster_classes(lab, cl.ClusterSettings(k=4, min_component_area=3, morph_radius=1, **QUICK))
+    out = cl.cluster_classes(lab, cl.ClusterSettings(k=4, min_component_area=3, morph_radius=1))
     return out.groupBy("image_id", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 SMALL = cl.TwoStepSettings(
     edge_min_region_area=6, edge_transition_radius=1, edge_seed_erosion_radius=1, illumination_min_ore_area=40, illumination_ore_erosion_radius=1,
-    local_shadow_radius=4, min_component_area=3, **QUICK)
+    local_shadow_radius=4, min_component_area=3)
 
 
 @check("w16_dark_subclusters")
 def _(spark, sf):
     lab = lab_pixels(Tables(spark, sf)).select(*KEY, "lab_l", "lab_a", "lab_b")
-    return cl.dark_clusters(cl.kmeans_centres(lab, 5, sample=600, **QUICK), 0.3).select("image_id", "sub", F.round("lightness", 4).alias("lightness"), F.round("limit", 4).alias("limit"))
+    return cl.dark_clusters(cl.kmeans_centres(lab, 5), 0.3).select("image_id", "sub", F.round("lightness", 4).alias("lightness"), F.round("limit", 4).alias("limit"))
 
 
 @check("c03_two_step_classes")
