@@ -78,27 +78,29 @@ def _changes(rows: list[tuple]) -> pd.DataFrame:
 
 def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timeout: int, lifetime: int) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
-        status, since = state.get
+        status, since, seq = state.get
         if status == "started":
             deadline = state.getCurrentWatermarkMs()
-            state.update(("failed", since))
+            state.update(("failed", since, seq))
             state.setTimeoutTimestamp(max(deadline, int((since + timeout) * 1000)) + lifetime * 1000)
             yield _changes([(key[0], "failed", since + timeout, "timeout")])
         else:
             state.remove()
             yield _changes([(key[0], "expired", since + lifetime, "lifetime")])
         return
-    status, since = state.get if state.exists else (None, None)
+    status, since, seq = state.get if state.exists else (None, None, None)
     out = []
     for row in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples(index=False):
         now = row.ts.value / 1e9
+        if status is not None and (now, row.seq) <= (since, seq):  # older than what an earlier batch brought
+            continue
         if status == "started" and now - since > timeout and row.status != "started":
             out.append((key[0], "failed", since + timeout, "timeout"))
-            status, since = "failed", since + timeout
+            status, since, seq = "failed", since + timeout, row.seq
             continue
-        status, since = row.status, now
+        status, since, seq = row.status, now, row.seq
         out.append((key[0], status, now, None))
-    state.update((status, since))
+    state.update((status, since, seq))
     wait = timeout if status == "started" else lifetime
     state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int((since + wait) * 1000)))
     yield _changes(out)
@@ -107,10 +109,11 @@ def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, t
 def job_lifecycle(events: DataFrame, delay: str = "1 minute", timeout: int = JOB_TIMEOUT, lifetime: int = RESULT_LIFETIME) -> DataFrame:
     """Status changes per job; started jobs fail after ``timeout`` and results expire after ``lifetime`` seconds.
 
-    ``events``: job_id, seq, ts, status.  Timers run on event time.
+    ``events``: job_id, seq, ts, status.  Timers run on event time.  The state keeps
+    the newest (ts, seq), so an older row of a later batch changes nothing.
     """
     return events.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(
-        partial(_lifecycle, timeout=timeout, lifetime=lifetime), "job_id long, status string, since timestamp, reason string", "status string, since double",
+        partial(_lifecycle, timeout=timeout, lifetime=lifetime), "job_id long, status string, since timestamp, reason string", "status string, since double, seq long",
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
