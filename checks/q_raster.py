@@ -14,18 +14,22 @@ from tilewright.operators import stats
 from tilewright.operators import tiling as t
 from tilewright.plans import inference
 
-RGB = (F.col("r"), F.col("g"), F.col("b"))
 KEY = ["image_id", "y", "x"]
 DIMS = "d as (select image_id, max(y)+1 h, max(x)+1 w from v_mosaic group by 1)"
 
 
+def rgb() -> tuple:
+    """Made on call: columns need a session, importing the checks does not."""
+    return F.col("r"), F.col("g"), F.col("b")
+
+
 def _starts_sql(length: str, window: int, stride: int) -> str:
     return (f"(case when {length}<={window} then [0] else list_distinct(list_concat(range(0, cast({length}-{window}+1 as bigint), {stride}), [cast({length}-{window} as bigint)])) end)")
 
 
 @check("f15_gray", "select image_id, y, x, (r*4899+g*9617+b*1868+8192)//16384 gray from v_rgb")
 def _(spark, sf):
-    return Tables(spark, sf).rgb().select(*KEY, c.luma(*RGB).alias("gray"))
+    return Tables(spark, sf).rgb().select(*KEY, c.luma(*rgb()).alias("gray"))
 
 
 _LAB = """
@@ -69,14 +73,14 @@ def _(spark, sf):
     k as (select *, cast(floor((case when d<0 then d+360.0 else d end)/2.0+0.5) as int)%180 hue, case when v=0 then 0 else cast(floor((v-lo)*255.0::double/v+0.5) as int) end sat from h)
     select image_id, y, x, hue, sat, v, hue between 95 and 135 and sat>70 and v>45 blue from k""")
 def _(spark, sf):
-    hue, sat, v = c.rgb_to_hsv(*RGB)
-    return Tables(spark, sf).rgb().select(*KEY, hue.alias("hue"), sat.alias("sat"), v.alias("v"), c.is_sketch_blue(*RGB).alias("blue"))
+    hue, sat, v = c.rgb_to_hsv(*rgb())
+    return Tables(spark, sf).rgb().select(*KEY, hue.alias("hue"), sat.alias("sat"), v.alias("v"), c.is_sketch_blue(*rgb()).alias("blue"))
 
 
 @check("f18_standardised", """
     select image_id, y, x, round((r/255.0-0.449)/0.226,6) gray, round((r/255.0-0.485)/0.229,6) r, round((g/255.0-0.456)/0.224,6) g, round((b/255.0-0.406)/0.225,6) b from v_rgb""")
 def _(spark, sf):
-    three = s.standard_rgb(list(RGB))
+    three = s.standard_rgb(list(rgb()))
     return Tables(spark, sf).rgb().select(*KEY, F.round(s.standard_gray(F.col("r")), 6).alias("gray"), *[F.round(v, 6).alias(n) for v, n in zip(three, "rgb")])
 
 
@@ -93,7 +97,7 @@ _OVER = """o(code,cr,cg,cb,al) as (values (1,0,245,85,0.65::double),(2,118,126,1
 
 @check("f20_class_overlay", f"with {_OVER} select image_id, y, x, round(r*(1-al)+cr*al,4) r, round(g*(1-al)+cg*al,4) g, round(b*(1-al)+cb*al,4) b from v_rgb join o using(code)")
 def _(spark, sf):
-    out = c.class_overlay(RGB, s.class_name(F.col("code")))
+    out = c.class_overlay(rgb(), s.class_name(F.col("code")))
     return Tables(spark, sf).rgb().select(*KEY, *[F.round(v, 4).alias(n) for v, n in zip(out, "rgb")])
 
 
@@ -104,7 +108,7 @@ def _(spark, sf):
         cast(trunc(case when y between 4 and 19 and x>=8 then b*(1-al)+cb*al else b*0.3::double end) as int) b from v_rgb join o using(code)""")
 def _(spark, sf):
     inside = F.col("y").between(4, 19) & (F.col("x") >= 8)
-    out = c.corrected_overlay(RGB, s.class_name(F.col("code")), inside)
+    out = c.corrected_overlay(rgb(), s.class_name(F.col("code")), inside)
     return Tables(spark, sf).rgb().select(*KEY, *[v.alias(n) for v, n in zip(out, "rgb")])
 
 

@@ -13,7 +13,7 @@ from tilewright.operators import crop as cr
 from tilewright.operators import segments as sg
 from tilewright.operators import tiling as t
 
-W, H = F.lit(1300.0), F.lit(1000.0)
+SIDES = 1300.0, 1000.0
 _Z = "z as (select image_id, segment_id, " + ", ".join(
     f"({e}-avg({e}) over w)/case when stddev_pop({e}) over w<1e-6 then 1 else stddev_pop({e}) over w end f{i}"
     for i, e in enumerate(("(cx/1300)", "(cy/1000)", "(l/100)", "(a/128)", "(b/128)", "(ln(1+area::double)/12)"))
@@ -40,13 +40,13 @@ _MASK = "mk as (select distinct image_id, cast(cy+dy as int) y, cast(cx+dx as in
 
 @check("w14_segment_zscores", f"with {_Z} select image_id, segment_id, {', '.join(f'round(f{i},6) f{i}' for i in range(6))} from z")
 def _(spark, sf):
-    return sg.segment_features(Tables(spark, sf).segments(), W, H).select("image_id", "segment_id", *r6(*sg.FEATURES))
+    return sg.segment_features(Tables(spark, sf).segments(), *map(F.lit, SIDES)).select("image_id", "segment_id", *r6(*sg.FEATURES))
 
 
 @check("w15_feature_variants", f"""with {_Z}, v(variant,a,b,c) as (values ('color_spatial',1.0,1.0,1.0),('spatial',1.0,0.0,0.0),('spatial_x2',2.0,0.5,0.25),('spatial_x4',4.0,0.5,0.25),('spatial_x8',8.0,0.5,0.25),('spatial_x16',16.0,0.5,0.25))
     select image_id, segment_id, variant, round(f0*a::double+f1*a::double,6)+0.0 place, round(f2*b::double+f3*b::double+f4*b::double+f5*c::double,6)+0.0 look from z, v""")
 def _(spark, sf):
-    rows = sg.feature_variants(sg.segment_features(Tables(spark, sf).segments(), W, H))
+    rows = sg.feature_variants(sg.segment_features(Tables(spark, sf).segments(), *map(F.lit, SIDES)))
     f = F.col("features")
     return rows.select("image_id", "segment_id", "variant", (F.round(f[0] + f[1], 6) + 0.0).alias("place"), (F.round(f[2] + f[3] + f[4] + f[5], 6) + 0.0).alias("look"))
 
@@ -68,7 +68,7 @@ _CTR = 'ct as (select image_id, "cluster" k, sum(cx*area)/sum(area) cx, sum(cy*a
 def _(spark, sf):
     tables = Tables(spark, sf)
     centres = sg.cluster_centres(tables.segments().where("cluster >= 0"), ["image_id", "cluster"])
-    return sg.centres_in_mask(centres, mask(tables), W, H).select("image_id", "cluster", *r6("cx", "cy"))
+    return sg.centres_in_mask(centres, mask(tables), *map(F.lit, SIDES)).select("image_id", "cluster", *r6("cx", "cy"))
 
 
 _SEL = f"""{_MASK}, lb as (select image_id, segment_id, sw sweep_order, case when "cluster"<0 then -1 else ("cluster"+sw*segment_id)%(3+sw) end k, area, cx, cy, region_id>0 and segment_id%5=0 ins, region_id>0 itx from v_segments, unnest(range(0,4)) q(sw)),
@@ -88,7 +88,7 @@ def _labels(tables):
 
 
 def _counts(tables):
-    return sg.candidate_counts(sg.score_candidates(_labels(tables), segments(tables), mask(tables), W, H))
+    return sg.candidate_counts(sg.score_candidates(_labels(tables), segments(tables), mask(tables), *map(F.lit, SIDES)))
 
 
 @check("c07_candidate_counts", f"with {_SEL} select * from cn")
@@ -122,7 +122,7 @@ def _(spark, sf):
 
 @check("c06_density_sweep")
 def _(spark, sf):
-    labels = sg.density_sweep(sg.feature_variants(sg.segment_features(Tables(spark, sf).segments(), W, H)))
+    labels = sg.density_sweep(sg.feature_variants(sg.segment_features(Tables(spark, sf).segments(), *map(F.lit, SIDES))))
     return labels.groupBy("image_id", "variant", "min_cluster_size", "min_samples").agg(
         F.max("label").alias("top_label"), F.count_if(F.col("label") < 0).alias("noise"))
 
@@ -130,7 +130,7 @@ def _(spark, sf):
 @check("c08_selected_segments")
 def _(spark, sf):
     tables = Tables(spark, sf)
-    return sg.select_segments(segments(tables), mask(tables), W, H).select("image_id", "segment_id", "fallback", "threshold", "kept")
+    return sg.select_segments(segments(tables), mask(tables), *map(F.lit, SIDES)).select("image_id", "segment_id", "fallback", "threshold", "kept")
 
 
 def _regions(tables):

@@ -354,7 +354,7 @@ def _(spark, sf):
 
 # Endpoints and connections.
 _EXIST = """ex as (select a.image_id, a.endpoint_id a, b.endpoint_id b, a.seq seq from v_points a join v_points b on a.image_id=b.image_id and b.seq=a.seq+1 where a.seq%9=0)"""
-W, H = F.lit(1000), F.lit(800)
+SIDES = 1000, 800
 
 
 def _existing(tables):
@@ -393,7 +393,7 @@ def _(spark, sf):
 
 @check("w07_ring_neighbours", f"with {_RING} select image_id, a, b, r a_ring, d step from ag")
 def _(spark, sf):
-    return nb.ring_neighbours(Tables(spark, sf).points(), 2, W, H).select("image_id", "a", "b", "a_ring", "step")
+    return nb.ring_neighbours(Tables(spark, sf).points(), 2, *map(F.lit, SIDES)).select("image_id", "a", "b", "a_ring", "step")
 
 
 _CAND = f"""{_EXIST}, {_NEAR}, {_RING}, al as (select image_id, a, b, ax, ay, bx, b_y, 'distance' why, 0 ph, o, k from nr union all select image_id, a, b, ax, ay, bx, b_y, 'angular', 1, r, abs(d)*2+case when d>0 then 1 else 0 end from ag),
@@ -403,13 +403,13 @@ _CAND = f"""{_EXIST}, {_NEAR}, {_RING}, al as (select image_id, a, b, ax, ay, bx
 @check("w08_connection_candidates", f"with {_CAND} select mg.* from mg anti join (select image_id, concat(least(a,b),'--',greatest(a,b)) id from ex) e using(image_id,id)")
 def _(spark, sf):
     tables = Tables(spark, sf)
-    return nb.connection_candidates(tables.points(), _existing(tables), 4, 300.0, 2, W, H).select("image_id", "id", "a", "b", "distance", "reason")
+    return nb.connection_candidates(tables.points(), _existing(tables), 4, 300.0, 2, *map(F.lit, SIDES)).select("image_id", "id", "a", "b", "distance", "reason")
 
 
 @check("j06_new_pairs_only", f"with {_EXIST}, {_NEAR} select image_id, concat(least(a,b),'--',greatest(a,b)) id, count(*) n from nr group by 1,2 having (image_id, id) not in (select (image_id, concat(least(a,b),'--',greatest(a,b))) from ex)")
 def _(spark, sf):
     tables = Tables(spark, sf)
-    found = nb.connection_candidates(tables.points(), _existing(tables), 4, 300.0, 0, W, H)
+    found = nb.connection_candidates(tables.points(), _existing(tables), 4, 300.0, 0, *map(F.lit, SIDES))
     pairs = nb.nearest(tables.points(), 4, 300.0).withColumn("id", nb.pair_key(F.col("a"), F.col("b"))).groupBy("image_id", "id").agg(F.count(F.lit(1)).alias("n"))
     return found.select("image_id", "id").join(pairs, ["image_id", "id"])
 
@@ -476,7 +476,7 @@ def _(spark, sf):
     requests = rows.select(
         "image_id", F.col("endpoint_id").alias("a"), F.when(k == 0, F.col("endpoint_id")).when(k == 1, "e_none").otherwise(F.col("qid")).alias("b"),
         F.when(k != 2, mid).alias("control"), F.when(k != 4, F.struct(F.lit(1.0).alias("x"), F.lit(0.0).alias("y"))).alias("tangent"))
-    cands = nb.connection_candidates(points, _existing(tables), 4, 300.0, 2, W, H)
+    cands = nb.connection_candidates(points, _existing(tables), 4, 300.0, 2, *map(F.lit, SIDES))
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     cands = cands.withColumn("bounds", F.array(corner("ax", "ay"), corner("bx", "by")))
     return sketch.check_connections(requests, points, cands).select("image_id", "a", "b", "reason")

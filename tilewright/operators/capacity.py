@@ -5,21 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.scale import exact_percentiles, names
+from tilewright.operators.scale import names
 
 
 def gpu_summary(samples: DataFrame, by=()) -> DataFrame:
     """Count, mean, nearest-rank p95 and peak per resource."""
-    keys = names(by)
-    plain = samples.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sample_count"), F.avg("sm").alias("avg_sm"), F.max("sm").alias("peak_sm"), F.avg("mem").alias("avg_mem"),
+    p95 = {n: F.expr(f"percentile_disc(0.95) within group (order by {n})").alias(f"p95_{n}") for n in ("sm", "mem")}  # at most 101 values each
+    return samples.groupBy(*names(by)).agg(
+        *p95.values(), F.count(F.lit(1)).alias("sample_count"), F.avg("sm").alias("avg_sm"), F.max("sm").alias("peak_sm"), F.avg("mem").alias("avg_mem"),
         F.max("mem").alias("peak_mem"), F.avg("fb_mb").alias("avg_fb_mb"), F.max("fb_mb").alias("peak_fb_mb"))
-    if not keys:
-        plain, keys = plain.withColumn("_one", F.lit(1)), ["_one"]
-        samples = samples.withColumn("_one", F.lit(1))
-    for name in ("sm", "mem"):
-        plain = plain.join(exact_percentiles(samples, keys, name, {f"p95_{name}": 0.95}, nearest_rank=True), keys)
-    return plain.drop("_one")
 
 
 def gpu_baseline(samples: DataFrame, workers: DataFrame, by=(), pid: str = "pid") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.components import CHUNK, drop_small
 from tilewright.operators.morphology import dilate, disk, erode, robust_normalise, sweep
-from tilewright.operators.scale import attach, attach_measured, cut_lineage, exact_percentiles, names, spread_for_python
+from tilewright.operators.scale import attach, attach_measured, cut_lineage, image_percentiles, names, spread_for_python
 from tilewright.operators.tiling import reflect_pad
 
 
@@ -58,7 +58,7 @@ def correct_illumination(pixels: DataFrame, settings, image: str = "image_id") -
     sizes = core.groupBy(image).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= settings.illumination_min_ore_area)
     core = attach(core, sizes, image)
     if trim > 0:
-        limits = cut_lineage(exact_percentiles(core, image, "lab_l", {"_lo": trim, "_hi": 1.0 - trim}))
+        limits = cut_lineage(image_percentiles(core, image, "lab_l", {"_lo": trim, "_hi": 1.0 - trim}))
         core = attach_measured(core, limits, image).where((F.col("_n") < 20) | F.col("lab_l").between(F.col("_lo"), F.col("_hi")))
     left = core.groupBy(image).agg(F.count(F.lit(1)).alias("_kept")).where(F.col("_kept") >= max(settings.illumination_min_ore_area, 6)).select(image)
     fitted = surface_coefficients(attach(core, left, image), "lab_l", image)
@@ -66,7 +66,7 @@ def correct_illumination(pixels: DataFrame, settings, image: str = "image_id") -
     basis = _design(F.col("y"), F.col("x"), F.col("h"), F.col("w"))
     value = sum((basis[i] * F.col("coefficients")[i] for i in range(1, 6)), basis[0] * F.col("coefficients")[0])
     placed = cut_lineage(placed.withColumn("_fit", value).drop("coefficients"))
-    centre = cut_lineage(exact_percentiles(placed.where(F.col("_ore") == 1), image, "_fit", {"_median": 0.5}))
+    centre = cut_lineage(image_percentiles(placed.where(F.col("_ore") == 1), image, "_fit", {"_median": 0.5}))
     placed = attach_measured(placed, centre, image, "left")
     delta = F.greatest(F.lit(-float(most)), F.least(F.lit(float(most)), F.col("_fit") - F.col("_median")))
     placed = placed.withColumn("_delta", F.coalesce(delta, F.lit(0.0)))

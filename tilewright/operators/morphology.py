@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.operators.components import CHUNK, drop_small
-from tilewright.operators.scale import attach, attach_measured, cut_lineage, exact_percentiles, names, spread_for_python
+from tilewright.operators.scale import attach, attach_measured, cut_lineage, image_percentiles, names, spread_for_python
 
 
 def disk(radius: float) -> dict[int, int]:
@@ -80,7 +80,7 @@ def lab_gradient(pixels: DataFrame, radius: int, channels=("lab_l", "lab_a", "la
 def robust_normalise(pixels: DataFrame, value: str, name: str, by="image_id") -> DataFrame:
     """Value over the p95 of its entries above 1e-6, clipped to 0..1; all 0 without such entries."""
     keys = names(by)
-    scale = cut_lineage(exact_percentiles(pixels.where(F.col(value) > 1e-6), keys, value, {"_p95": 0.95}))
+    scale = cut_lineage(image_percentiles(pixels.where(F.col(value) > 1e-6), keys, value, {"_p95": 0.95}))
     placed = attach_measured(pixels, scale, keys, "left")
     ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value) / F.col("_p95")))
     return placed.withColumn(name, F.when(F.col("_p95") > 1e-6, ratio).otherwise(F.lit(0.0))).drop("_p95")

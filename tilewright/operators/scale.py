@@ -158,6 +158,17 @@ def exact_percentiles(
     return placed.groupBy(*keys).agg(*picks).select(*keys, *finals)
 
 
+def image_percentiles(rows: DataFrame, by, value: str, shares: dict[str, float], nearest_rank: bool = False) -> DataFrame:
+    """Exact percentiles of groups no larger than an image: one aggregate over value counts, merged before the shuffle.
+
+    NULLs do not count.  For unbounded groups there is :func:`exact_percentiles`.
+    """
+    keys = names(by)
+    kind = "percentile_disc" if nearest_rank else "percentile_cont"
+    picks = [F.expr(f"{kind}({float(share)}) within group (order by `{value}`)").alias(name) for name, share in shares.items()]
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(*picks)
+
+
 def spread_for_python(rows: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into the session's full number of shuffle partitions.
 
