@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-KEPT_WORDS = 800_000
+KEPT_WORDS = 300_000
 
 
 @dataclass(frozen=True)
