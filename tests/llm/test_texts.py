@@ -99,6 +99,7 @@ def test_codewords_correct_a_wrong_bit():
     texts = {"aa": "abra kadabra abba", "bb": "zuzu muzu tuzu", "cc": "hello yellow fellow", "dd": "sixth fifth ninth"}
     counts = {k: np.bincount(language.grams(t, how.buckets), minlength=how.buckets) for k, t in texts.items()}
     model = language.learned(counts, how)
+    assert {model.predict(t)[0] for t in (None, "", "12 !?", "🙂🙂", "\u0301 \u3001")} == {"und"} and model.predict("漢字")[0] in texts
     model.weights[:, 2] *= -1
     assert [model.predict(t)[0] for t in texts.values()] == list(texts)
 

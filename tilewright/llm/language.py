@@ -90,9 +90,9 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the second-best codeword is nearly as close."""
-        found = grams(text, self.how.buckets) if text else np.empty(0)
-        if not len(found) or not self.languages:
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
+        found = grams(text, self.how.buckets)
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
         margin = sum(self.weights[found[at:at + AT_ONCE]].sum(axis=0) for at in range(0, len(found), AT_ONCE)) / len(found)
