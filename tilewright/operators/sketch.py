@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
@@ -233,17 +233,20 @@ def sketch_tables(
     """Lines, endpoints, connections and candidates of every sketch.
 
     ``lines``: set pixels of the drawn lines; ``skeleton``: their skeleton pixels.
+    Endpoints of saved connections are protected: their branch stays, however short.
     """
+    kept = saved.select(image, F.explode(F.array("a", "b")).alias("id")).select(image, g.endpoint_point(F.col("id")).alias("p"))
+    protected = cut_lineage(kept.where(F.col("p").isNotNull()).select(image, F.col("p.y").alias("y"), F.col("p.x").alias("x")).distinct())
     labelled = label_components(lines.select(image, "y", "x"), image).withColumnRenamed("label", "line_id")
     areas = labelled.groupBy(image, "line_id").agg(F.count(F.lit(1)).alias("_area")).where(F.col("_area") >= smallest).drop("_area")
     labelled = cut_lineage(attach(labelled, areas, [image, "line_id"]))
     thin = skeleton.select(image, "y", "x").join(labelled, [image, "y", "x"])
-    visible = cut_lineage(prune_spurs(thin, minimum, image=image))
-    widths = stroke_width(labelled, thin, [image, "line_id"]).withColumn("stroke_width", F.greatest(F.lit(2.0), F.round("width", 2))).drop("width")
-    ends = component_endpoints(visible, minimum, image=image).join(labelled, [image, "y", "x"])
+    visible = cut_lineage(prune_spurs(thin, minimum, protected, image))
+    widths = stroke_width(labelled, thin, [image, "line_id"]).withColumn("stroke_width", F.greatest(F.lit(2.0), F.bround("width", 2))).drop("width")
+    ends = component_endpoints(visible, minimum, protected, image).join(labelled, [image, "y", "x"])
     endpoints = cut_lineage(ends.select(
         image, "line_id", g.endpoint_id(F.col("x").cast("double"), F.col("y").cast("double")).alias("endpoint_id"), F.col("x").cast("double").alias("x"),
-        F.col("y").cast("double").alias("y"), pixel_key(F.col("y"), F.col("x")).alias("seq")))
+        F.col("y").cast("double").alias("y"), F.row_number().over(Window.partitionBy(image).orderBy("line_id", pixel_key(F.col("y"), F.col("x")))).alias("seq")))
     joined = valid_connections(saved, endpoints)
     groups = cut_lineage(closed_groups(endpoints, joined, image))
     per_line = groups.groupBy(image, "line_id").agg(F.count(F.lit(1)).alias("ends"), F.bool_and("closed").alias("closed"))
