@@ -122,14 +122,15 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
 def components(found: DataFrame, radius: int = 4) -> DataFrame:
     """fp and component_id (smallest doc_id of all rows reachable by links) of every distinct fingerprint.
 
-    Only linked fingerprints are shuffled by component, and salted where they get its id back.
+    Only linked fingerprints are shuffled by component, and salted where they get its id back.  The result is written, so
+    that the join of all rows to it reads two plain shuffles, which the skew split can cut at a fingerprint many rows share.
     """
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connect(links(nodes.select("fp"), radius), []).select(F.col("node").alias("fp"), "root")
     members = roots.union(roots.select(F.col("root").alias("fp"), "root").distinct())
     least = nodes.join(members, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     named = attach(members, least, "root").select("fp", "component_id")
-    return nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return checkpointed(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
 
 
 def simhash_groups(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
