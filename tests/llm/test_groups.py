@@ -190,3 +190,30 @@ def test_decontamination_matches_brute_force(spark, docs, odd, none):
     assert left == {d for d, _ in made} - {d for d, _ in wanted}
     assert contamination.decontaminate(odd, benchmark).count() == odd.count()
     assert contamination.decontaminate(none, benchmark).count() == 0 and contamination.decontaminate(odd, benchmark.limit(0)).count() == odd.count()
+
+
+def test_only_verified_copies_go(spark, docs, odd, none):
+    """One document for each component of five-word Jaccard 0.8; word order alone makes no copies."""
+    def sets(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    words = [f"w{i}" for i in range(60)]
+    made = [(900_001, " ".join(words)), (900_002, " ".join(reversed(words))), (900_003, " ".join([*words[:30], "new", *words[31:]])), (900_004, " ".join([*words[:57], "x"]))]
+    made = spark.createDataFrame(made, "doc_id long, text string")
+    for frame in (docs.select("doc_id", "text").union(made), odd):
+        rows = [(r["doc_id"], sets(r["text"])) for r in frame.select("doc_id", "text").collect()]
+        group = list(range(len(rows)))
+        for i, (_, a) in enumerate(rows):
+            for j, (_, b) in enumerate(rows[:i]):
+                if a == b or len(a & b) >= 0.8 * len(a | b):
+                    old, new = group[i], group[j]
+                    group = [new if g == old else g for g in group]
+        least = {}
+        for g, (doc, _) in zip(group, rows):
+            least[g] = min(filter(lambda d: d is not None, (least.get(g), doc)), default=None)
+        kept = simhash.keep_verified(frame)
+        assert kept.columns == frame.columns
+        assert sorted(map(str, (r["doc_id"] for r in kept.select("doc_id").collect()))) == sorted(map(str, least.values()))
+    assert {900_001, 900_002} <= {r["doc_id"] for r in simhash.keep_verified(made).collect()}
+    assert simhash.keep_verified(none).count() == 0

@@ -16,10 +16,15 @@ group, no group in one task, only chains of neighbours within a variant.
 Defined results: equal fingerprints are one node, whatever the texts; null and
 blank texts have fingerprint zero; repeated rows stay repeated; a null doc_id
 never becomes a component id unless the component has no other.
+
+:func:`keep_verified` drops only what an exact comparison of five-word shingles
+has confirmed; there bands of minimum hashes find the pairs to compare.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, islice
 
 import numpy as np
@@ -36,17 +41,37 @@ AT_ONCE = 1 << 16
 BITS = 64
 
 
-def fingerprint(text: str | None, size: int = 4, seed: int = SEED, distinct: bool = False) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles, repeats included unless ``distinct``; 0 without words."""
+@dataclass(frozen=True)
+class Verified:
+    """Shingle size and least Jaccard similarity of copies; bands of minimum hashes that find them.
+
+    A pair with similarity s meets in no band with chance (1 - s ** rows) ** bands: 3 in a million at 0.8.
+    """
+
+    size: int = 5
+    similarity: float = 0.8
+    bands: int = 24
+    rows: int = 4
+    before: int = 7
+
+
+def word_shingles(text: str | None, size: int) -> Iterator[bytes] | None:
+    """Runs of ``size`` lower-case words, one shorter run for a shorter text; None without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return None
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     size = min(size, len(words))
-    shingles = map(slice, starts[: len(words) - size + 1].tolist(), ends[size - 1:].tolist())
-    shingles = map(joined.__getitem__, shingles)
+    return map(joined.__getitem__, map(slice, starts[: len(words) - size + 1].tolist(), ends[size - 1:].tolist()))
+
+
+def fingerprint(text: str | None, size: int = 4, seed: int = SEED, distinct: bool = False) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles, repeats included unless ``distinct``; 0 without words."""
+    shingles = word_shingles(text, size)
+    if shingles is None:
+        return 0
     if distinct:
         shingles = iter(set(shingles))
     digest, ones, n = xxhash.xxh64_digest, np.zeros(BITS, dtype=np.int64), 0
@@ -126,11 +151,16 @@ def components(found: DataFrame, radius: int = 4) -> DataFrame:
     that the join of all rows to it reads two plain shuffles, which the skew split can cut at a fingerprint many rows share.
     """
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connect(links(nodes.select("fp"), radius), []).select(F.col("node").alias("fp"), "root")
+    return named(nodes, links(nodes.select("fp"), radius))
+
+
+def named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp and component_id of the nodes (fp, first), joined by the edges (a, b)."""
+    roots = connect(edges, []).select(F.col("node").alias("fp"), "root")
     members = roots.union(roots.select(F.col("root").alias("fp"), "root").distinct())
     least = nodes.join(members, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    named = attach(members, least, "root").select("fp", "component_id")
-    return checkpointed(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
+    linked = attach(members, least, "root").select("fp", "component_id")
+    return checkpointed(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
 
 
 def simhash_groups(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
@@ -153,7 +183,12 @@ def keep_one(docs: DataFrame, size: int = 1, radius: int = 4, distinct: bool = T
     Equal rows are merged before the shuffle, so a group of repeated rows costs one row a task.
     """
     found = fingerprints(docs, size, distinct)
-    grouped = found.join(components(found, radius), "fp", "left")
+    return first_of_each(docs, found, components(found, radius))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay; found: doc_id, text_hash, fp of every row, groups: fp, component_id."""
+    grouped = found.join(groups, "fp", "left")
     # Components are named by a doc_id; without one the fingerprint names it.
     name = F.when(F.col("component_id").isNull(), F.col("fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
@@ -162,3 +197,96 @@ def keep_one(docs: DataFrame, size: int = 1, radius: int = 4, distinct: bool = T
     stay = stay.select(F.coalesce(F.col("s.doc_id").cast("string"), F.lit("")).alias(key), F.col("s.text_hash").alias(digest))
     rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest: F.xxhash64("text")})
     return rows.dropDuplicates([key, digest]).join(stay, [key, digest], "left_semi").select(*docs.columns)
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; empty without words."""
+    shingles, parts = word_shingles(text, size), [np.empty(0, dtype="<u8")]
+    while shingles and (some := [xxhash.xxh64_digest(x, SEED) for x in islice(shingles, AT_ONCE)]):
+        parts.append(np.unique(np.frombuffer(b"".join(some), dtype="<u8")))
+    return np.unique(np.concatenate(parts))
+
+
+def band_keys(hashes: np.ndarray, how: Verified) -> list[int]:
+    """One signed key per band, equal for sets with the same minimum hashes there."""
+    draw = np.random.default_rng(SEED)
+    n = how.bands * how.rows
+    flip, factor = draw.integers(0, 1 << 64, n, dtype=np.uint64), draw.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1)
+    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        mixed = (hashes[at:at + 4096, None] ^ flip) * factor
+        least = np.minimum(least, mixed.min(axis=0))
+    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), i)) for i, band in enumerate(least.reshape(how.bands, how.rows))]
+
+
+def banded(docs: DataFrame, how: Verified) -> DataFrame:
+    """doc_id, text_hash, fp (of the set of shingles, 0 without words), n_shingles, keys of every row, checkpointed."""
+    def work(rows):
+        sets = [shingle_set(t, how.size) for t in rows["text"]]
+        return {
+            "doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "fp": [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) if len(s) else 0 for s in sets],
+            "n_shingles": [len(s) for s in sets], "keys": [band_keys(s, how) if len(s) else [] for s in sets]}
+
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return checkpointed(in_batches(narrow, work, "doc_id long, text_hash long, fp long, n_shingles long, keys array<long>"))
+
+
+def candidates(nodes: DataFrame, how: Verified) -> DataFrame:
+    """Pairs a < b of nodes (fp, n_shingles, keys) that share a band and whose sizes allow the similarity.
+
+    A node meets the first of its band and ``before`` nodes before it, in an order of the band's own: all pairs of
+    usual bands, and a number linear in the nodes in large ones.  ``star`` marks pairs with the first.
+    """
+    rows = nodes.select("fp", "n_shingles", F.explode("keys").alias("key"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "fp"), "fp")
+    me = F.struct("fp", "n_shingles")
+    near = [F.struct(F.first(me).over(order).alias("o"), F.lit(True).alias("star"))]
+    near += [F.struct(F.lag(me, i).over(order).alias("o"), F.lit(False).alias("star")) for i in range(1, how.before + 1)]
+    met = rows.select("fp", "n_shingles", *[x.alias(f"n{i}") for i, x in enumerate(near)]).where(F.col("n1.o").isNotNull())
+    met = met.select("fp", "n_shingles", F.explode(F.array(*[f"n{i}" for i in range(len(near))])).alias("x")).where(F.col("x.o.fp") != F.col("fp"))
+    fits = F.least("n_shingles", "x.o.n_shingles") >= F.greatest("n_shingles", "x.o.n_shingles") * F.lit(how.similarity) - 1e-9
+    pairs = met.where(fits).select(F.least("fp", "x.o.fp").alias("a"), F.greatest("fp", "x.o.fp").alias("b"), "x.star")
+    return pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (fp, shingles) have at least the Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
+
+
+def verified_links(docs: DataFrame, found: DataFrame, how: Verified) -> DataFrame:
+    """Edges (a, b) between sets of shingles with at least the similarity.
+
+    Pairs with the first of a band are compared first; the other ones only where those have not joined the two already.
+    """
+    nodes = found.where(F.col("fp") != 0).groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.min("text_hash").alias("text_hash"))
+    pairs = checkpointed(candidates(nodes.select("fp", "n_shingles", "keys"), how))
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    wanted = nodes.select("fp", "text_hash").join(wanted, "fp", "left_semi")
+    texts = docs.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text")).join(wanted, "text_hash")
+
+    def work(rows):
+        return {"fp": rows["fp"], "shingles": [shingle_set(t, how.size).view("<i8") for t in rows["text"]]}
+
+    sets = checkpointed(in_batches(texts.select("fp", "text"), work, "fp long, shingles array<long>"))
+    stars = checkpointed(confirmed(pairs.where("star").select("a", "b"), sets, how.similarity))
+    roots = connect(stars, []).select("node", "root")
+    left = pairs.where(~F.col("star")).select("a", "b")
+    for side in ("a", "b"):
+        left = left.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return stars.union(confirmed(left, sets, how.similarity))
+
+
+def keep_verified(docs: DataFrame, how: Verified = Verified()) -> DataFrame:
+    """One row of every group of copies, the one with the smallest doc_id (then text hash), columns unchanged.
+
+    Only texts whose sets of ``size``-word shingles have at least the Jaccard similarity are linked, directly or in a
+    chain; texts without words are one group.  Equal sets are one node.
+    """
+    found = banded(docs, how)
+    narrow = found.select("doc_id", "text_hash", "fp")
+    nodes = narrow.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    return first_of_each(docs, narrow, named(nodes, verified_links(docs, found, how)))
