@@ -17,6 +17,7 @@ import hashlib
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import public_tokenizers
 import tiktoken
@@ -35,6 +36,7 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
+DIGEST = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]+(?![A-Za-z0-9])")
 
 
 @dataclass(frozen=True)
@@ -76,15 +78,70 @@ def is_identifier(run: str) -> bool:
     return kinds < 2
 
 
+def _low(text: str, test: Efficiency) -> bool:
+    return len(text) < test.ratio * len(_encoding(test.vocabulary).encode_ordinary(text))
+
+
+def _stretches(part: str, test: Efficiency) -> list[tuple[int, int]]:
+    """Merged stretches of whole tokens, of the candidate length or just above it, that are random by themselves."""
+    encoding = _encoding(test.vocabulary)
+    sizes = [len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(part)]
+    ends = list(accumulate(sizes))
+    found: list[tuple[int, int]] = []
+    last = 0
+    for first, end in enumerate(ends):
+        start = end - sizes[first]
+        while last < len(ends) and ends[last] - start < test.least:
+            last += 1
+        if last == len(ends):
+            break
+        if ends[last] - start < test.ratio * (last - first + 1) and not is_identifier(part[start:ends[last]]):
+            if found and start <= found[-1][1]:
+                start = found.pop()[0]
+            found.append((start, ends[last]))
+    return found
+
+
+def _around(run: str, start: int, end: int) -> tuple[int, int]:
+    """A hexadecimal stretch and what touches it without a separator."""
+    if not (run[start - 1:start].isalnum() or run[end:end + 1].isalnum()):
+        return start, end
+    while start and (run[start - 1].isalnum() or run[start - 1] in "+/"):
+        start -= 1
+    while end < len(run) and (run[end].isalnum() or run[end] in "+/"):
+        end += 1
+    return start, end
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], test: Efficiency) -> list[tuple[int, int, int]]:
-    """Spans of low token efficiency that no fixed pattern has found already."""
+    """Spans of low token efficiency outside what the fixed patterns have found.
+
+    What is left of a run between base spans and identifiers is tested as a whole, then in sliding stretches, so
+    words before or after a random string do not hide it.  Text that touches a hexadecimal span is tested with it.
+    """
     found = []
     for match in _candidates(test.least).finditer(text):
-        start, end = match.span()
-        if any(s < end and start < e for s, _, e in base) or is_identifier(match[0]):
+        run, at = match[0], match.start()
+        inner = [(max(s - at, 0), min(e - at, len(run)), k) for s, k, e in base if s < match.end() and at < e]
+        if not inner and is_identifier(run):
+            continue
+        if not inner and _low(run, test):
+            found.append((at, 3, match.end()))
             continue
-        if end - start < test.ratio * len(_encoding(test.vocabulary).encode_ordinary(match[0])):
-            found.append((start, 3, end))
+        named = [m.span() for m in UUID.finditer(run)]
+        named += [m.span() for m in DIGEST.finditer(run) if m.end() - m.start() in DIGEST_LENGTHS]
+        for start, end in ((s, e) for s, e, k in inner if k == 2 and not any(o != k and a < e and s < b for a, b, o in inner)):
+            wide = _around(run, start, end)
+            if wide != (start, end) and _low(run[wide[0]:wide[1]], test):
+                found.append((at + wide[0], 3, at + wide[1]))
+                named.append(wide)
+        left = 0
+        for start, end in [*sorted([*named, *((s, e) for s, e, _ in inner)]), (len(run), len(run))]:
+            part = run[left:start]
+            if len(part) >= test.least and not is_identifier(part):
+                spans = [(0, len(part))] if inner and _low(part, test) else _stretches(part, test)
+                found += [(at + left + s, 3, at + left + e) for s, e in spans]
+            left = max(left, end)
     return found
 
 
