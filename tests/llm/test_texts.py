@@ -318,3 +318,17 @@ def test_every_conversation_is_rendered_whole(spark):
     for conv, r in rows_of(preferences.format_preferences(preferences.contrasted(frame, 30)), "conv_id").items():
         whole = preferences.rendered(talks[conv])[0]
         assert whole.startswith(r["prompt"] + r["chosen"]) or r["status"] == "single" and whole == r["prompt"]
+
+
+def test_equal_openings_meet_whatever_the_size(spark):
+    """Pairs over many groups, one first turn of several groups, one conversation of its own."""
+    openings = {i: f"pair {i // 2}" for i in range(60)} | {i: "hot" for i in range(100, 130)} | {200: "alone"}
+    rows = [(c, at, role, text) for c, o in openings.items() for at, role, text in ((0, "user", o), (1, "assistant", f"reply {c}"))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for per_group in (8, 16, 10_000):
+        found = {r["conv_id"]: r for r in preferences.contrasted(frame, per_group).collect()}
+        assert set(found) == set(openings)
+        for c, r in found.items():
+            assert r["rejected_id"] is not None and r["rejected_id"] != c
+            assert c == 200 or openings[r["rejected_id"]] == openings[c]
+            assert r["rejected"][-1]["text"] == f"reply {r['rejected_id']}"

@@ -79,19 +79,45 @@ def _last_reply(turns: Column) -> Column:
     return F.coalesce(F.array_max(marked), F.lit(0))
 
 
+def _lonely(talks: DataFrame, me: Column) -> DataFrame:
+    """The conversations without a neighbour, with an ``other`` from outside of their group where there is one."""
+    alone = talks.where(F.col("other").isNull()).drop("other")
+    order = F.struct((F.col("reply") == 0).alias("mute"), F.col("conv_id").isNotNull().alias("named"), "conv_id")
+    ends = [F.min_by(me, order), F.max_by(me, order)]
+    for_opening = talks.where("hot").groupBy("opening").agg(ends[0].alias("low"), ends[1].alias("high"))
+    for_all = talks.agg(ends[0].alias("first"), ends[1].alias("last"))
+    met = alone.join(for_opening, "opening", "left").crossJoin(for_all)
+    apart = [F.when(~F.col(f"{x}.conv_id").eqNullSafe(F.col("conv_id")), F.col(x)) for x in ("low", "high", "first", "last")]
+    return met.withColumn("other", F.coalesce(*apart)).drop("low", "high", "first", "last")
+
+
 def contrasted(turns: DataFrame, per_group: int = 10_000) -> DataFrame:
     """Preference pairs from plain conversations: conv_id, rejected_id, chosen, rejected.
 
-    Conversations are dealt into groups of about ``per_group`` by a hash of conv_id and ordered there by first turn.
-    The neighbour in that order contrasts: a conversation with the same first turn as it is, any other by its last
-    reply in place of the own one.  No group is one key's, so a common first turn does not gather in one task.
+    Conversations are dealt into groups of about ``per_group`` by a hash of their first turn and ordered there by it,
+    so equal first turns meet whatever the size; only a first turn that fills a large part of a group is cut further,
+    by a hash of conv_id, into groups of its own.  A neighbour with the same first turn contrasts as it is; a
+    conversation whose first turn occurs once takes the neighbour's last reply in place of the own one.  One that is
+    alone in its group meets the first or last conversation with its first turn, else one of the whole table.
     """
-    talks = assembled(turns)
+    talks = assembled(turns).withColumns({"opening": F.xxhash64(F.get("turns", 0)), "reply": _last_reply(F.col("turns"))})
     groups = max(1, -(-turns.select("conv_id").distinct().count() // per_group))
-    talks = talks.withColumns({"group": F.pmod(F.xxhash64("conv_id"), F.lit(groups)), "opening": F.xxhash64(F.get("turns", 0)), "reply": _last_reply(F.col("turns"))})
-    order = Window.partitionBy("group").orderBy("opening", "conv_id")
-    other = F.struct("conv_id", "opening", "turns", "reply")
-    talks = talks.withColumn("other", F.coalesce(F.lag(other).over(order), F.lead(other).over(order)))
+    piece = max(1, per_group // 4)
+    # Fewer than four openings a group can be large, so the broadcast has three numbers for each 2,500 conversations at most.
+    large = talks.groupBy("opening").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece)
+    large = F.broadcast(large.select("opening", F.ceil(F.col("n") / piece).alias("pieces")))
+    talks = talks.join(large, "opening", "left")
+    hot = F.col("pieces").isNotNull()
+    talks = talks.withColumns({
+        "group": F.when(hot, F.col("opening")).otherwise(F.pmod("opening", F.lit(groups))), "hot": hot,
+        "piece": F.when(hot, F.pmod(F.xxhash64("conv_id"), "pieces")).otherwise(0)}).drop("pieces")
+    order = Window.partitionBy("hot", "group", "piece").orderBy("opening", "conv_id")
+    me = F.struct("conv_id", "opening", "turns", "reply")
+    before, after = F.lag(me).over(order), F.lead(me).over(order)
+    talks = talks.withColumns({"before": before, "after": after})
+    alike = [F.when(F.col(f"{side}.opening") == F.col("opening"), F.col(side)) for side in ("before", "after")]
+    talks = talks.withColumn("other", F.coalesce(*alike, "before", "after")).drop("before", "after")
+    talks = talks.where(F.col("other").isNotNull()).unionByName(_lonely(talks, me))
 
     same = F.col("other.opening") == F.col("opening")
     borrowed = F.get(F.col("other.turns"), F.col("other.reply") - 1)
