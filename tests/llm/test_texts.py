@@ -64,6 +64,14 @@ def test_quality_rejects_low_and_keeps_high_labels(spark):
     assert share[1] > 0.99 and share[0] < 0.3
 
 
+def test_every_language_has_a_reference(spark):
+    rows = [(i, "the of and", "en") for i in range(1500)] + [(2000, "der die das", "de"), (2001, "sin idioma", None)]
+    found = quality.language_references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [int(words.sum()) for _, words in found] == [3, 4500]
+    many, row = np.eye(100), np.eye(100)[[70]]
+    assert quality.nearest_js(row, many) == [0] and quality.nearest_js(row, np.delete(many, 70, 0)) == pytest.approx([1])
+
+
 def test_js_distance_is_a_bounded_metric():
     a = np.array([[1.0, 0, 0], [0, 2, 2], [0, 0, 0]])
     found = quality.nearest_js(a, np.array([[1.0, 0, 0]]))

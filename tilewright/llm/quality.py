@@ -35,6 +35,7 @@ PUNCTUATION = ".,;:!?'\"()-"
 WORD_AT = {w.encode(): i for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
 OTHER_WORD = len(WORD_AT)
 CLASSES = 8
+REFERENCES_AT_ONCE = 32
 
 
 def _class_of(code: int) -> int:
@@ -64,7 +65,6 @@ class Rules:
     word_distance: float = 0.42
     min_chars: int = 200
     min_words: int = 100
-    language_share: float = 0.001
 
 
 def base_counts(text: str) -> dict[str, int]:
@@ -108,6 +108,9 @@ def nearest_js(rows: np.ndarray, references: np.ndarray) -> np.ndarray:
     """Smallest Jensen-Shannon distance of every row histogram to any reference; NaN for empty rows or no reference."""
     if not len(references):
         return np.full(len(rows), np.nan)
+    if len(references) > REFERENCES_AT_ONCE:  # so memory does not follow their number
+        parts = [nearest_js(rows, references[at:at + REFERENCES_AT_ONCE]) for at in range(0, len(references), REFERENCES_AT_ONCE)]
+        return np.min(parts, axis=0)
     with np.errstate(divide="ignore", invalid="ignore"):
         p = (rows / rows.sum(axis=1, keepdims=True))[:, None, :]
         q = (references / references.sum(axis=1, keepdims=True))[None, :, :]
@@ -118,11 +121,7 @@ def nearest_js(rows: np.ndarray, references: np.ndarray) -> np.ndarray:
 
 
 def language_references(docs: DataFrame, rules: Rules = Rules()) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Summed histograms of every language that labels at least ``language_share`` of all rows.
-
-    The share bounds the number of references (at most 1 / share), whatever the
-    label column holds; each is some seventy numbers.
-    """
+    """Summed histograms of every language with a labelled row, however few; each is some seventy numbers."""
     def work(rows):
         sums: dict = {}
         for lang, text in zip(rows["lang"], rows["text"]):
@@ -137,13 +136,12 @@ def language_references(docs: DataFrame, rules: Rules = Rules()) -> list[tuple[n
     width = CLASSES + OTHER_WORD + 1
     summed = parts.groupBy("lang").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("h")[i]) for i in range(width)]).alias("h"))
     summed = checkpointed(summed)
-    total = summed.agg(F.sum("n")).first()[0] or 0
-    large = summed.where(F.col("lang").isNotNull() & (F.col("n") >= F.lit(rules.language_share * total))).collect()
-    if not large and total:
+    labelled = summed.where(F.col("lang").isNotNull()).collect()
+    if not labelled and not summed.isEmpty():
         pooled = summed.agg(*[F.sum(F.col("h")[i]) for i in range(width)]).first()
         arrays = [np.array(list(pooled), dtype=np.int64)]
     else:
-        arrays = [np.array(r["h"], dtype=np.int64) for r in sorted(large, key=lambda r: r["lang"])]
+        arrays = [np.array(r["h"], dtype=np.int64) for r in sorted(labelled, key=lambda r: r["lang"])]
     return [(a[:CLASSES], a[CLASSES:]) for a in arrays if a[:CLASSES].sum() and a[CLASSES:].sum()]
 
 
