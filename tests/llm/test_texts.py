@@ -94,6 +94,12 @@ def test_language_of_held_out_rows(spark, odd, none):
     assert {r["lang_pred"] for r in language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "hello yellow fellow", "cc") for i in range(1500)] + [(2000, "zuzu muzu tuzu", "bb")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["bb", "cc"] and model.predict("zuzu tuzu")[0] == "bb"
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 4, 7, 12])
 def test_codewords_differ(n):
     code = language.codewords(n)

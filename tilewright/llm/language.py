@@ -35,10 +35,9 @@ AT_ONCE = 1 << 18
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds and parameters: expected sample rows per language, least share of all labels, hash buckets (a power of two)."""
+    """Bounds and parameters: expected sample rows per language, hash buckets (a power of two)."""
 
     per_language: int = 4000
-    language_share: float = 0.001
     buckets: int = 1 << 15
     smoothing: float = 0.5
     sharpness: float = 12.0
@@ -73,7 +72,8 @@ def codewords(n: int) -> np.ndarray:
     tried = [draw.integers(0, 2, (n, bits), dtype=np.int8) for _ in range(50)]
 
     def worst(code: np.ndarray) -> int:
-        apart = (code[:, None, :] != code[None, :, :]).sum(axis=2) + bits * np.eye(n, dtype=int)
+        ones = code.astype(np.float32)
+        apart = ones.sum(axis=1)[:, None] + ones.sum(axis=1)[None, :] - 2 * ones @ ones.T + bits * np.eye(n, dtype=np.float32)
         sides = np.minimum(code.sum(axis=0), n - code.sum(axis=0))
         return int(apart.min()) if sides.min() else -1
 
@@ -121,17 +121,12 @@ def learned(counts: dict[str, np.ndarray], how: Training) -> Model:
 
 
 def train(labelled: DataFrame, how: Training = Training()) -> Model:
-    """Learns from rows (doc_id, text, lang) with a label; languages with too small a share of the labels are left out."""
+    """Learns from rows (doc_id, text, lang) with a label; every language with such a row is learned."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = checkpointed(labelled.groupBy("lang").count())
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    sizes = {r["lang"]: r["count"] for r in counts.where(F.col("count") >= F.lit(how.language_share * total)).collect()}
-    if not sizes:
-        return learned({}, how)
-    chosen = F.lit(False)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == F.lit(lang)) & (draw < F.lit(int(-(-how.per_language * (1 << 20) // n)))))
+    limit = F.ceil(F.lit(how.per_language * (1 << 20)) / F.col("count"))
+    sampled = labelled.join(F.broadcast(counts.select("lang", limit.alias("limit"))), "lang").where(draw < F.col("limit"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -143,11 +138,11 @@ def train(labelled: DataFrame, how: Training = Training()) -> Model:
             on = np.flatnonzero(kept)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(on), pa.string()), "gram": pa.array(on, pa.int64()), "n": pa.array(kept[on], pa.int64())})
 
-    parts = labelled.where(chosen).select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
-    table = {lang: np.zeros(how.buckets) for lang in sizes}
+    parts = sampled.select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
+    table: dict[str, np.ndarray] = {}
     for row in parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas().itertuples():
-        table[row.lang][row.gram] = row.n
-    return learned({lang: c for lang, c in table.items() if c.any()}, how)
+        table.setdefault(row.lang, np.zeros(how.buckets))[row.gram] = row.n
+    return learned(table, how)
 
 
 def predict_languages(docs: DataFrame, model: Model, *more: Column) -> DataFrame:
