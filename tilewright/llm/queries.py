@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import contamination, language, licenses, packing, pages, preferences, quality, secrets, sharding, simhash
+from tilewright.llm import contamination, fim, language, licenses, packing, pages, periodic, preferences, quality, secrets, sharding, simhash
 from tilewright.llm.common import table
 
 
@@ -50,9 +50,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.with_planted_repeats(table(spark, sf_dir, "documents")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.license_sql()}
+    return {"op1_license_scan": licenses.license_sql(), "op12_fill_in_middle": fim.fim_sql()}
