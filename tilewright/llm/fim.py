@@ -37,9 +37,9 @@ class Fim:
 
 
 def _rises(positions: np.ndarray, lane: int) -> np.ndarray:
-    """Which nodes of a lane are in the next one, about a quarter; the same ones for the same position."""
+    """Nodes of a lane that are in the next one: a quarter, evenly spread, the first always, the same for the same position."""
     with np.errstate(over="ignore"):
-        return ((positions.astype(np.uint64) + np.uint64(lane + 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(62)) == 0
+        return np.flatnonzero(positions.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) < np.uint64(1 << (62 - 2 * lane)))
 
 
 class SkipList:
@@ -51,15 +51,12 @@ class SkipList:
         self.base = widths
         if n == 0:
             return
-        chosen = np.concatenate([start + np.flatnonzero(_rises(np.arange(start, min(n, start + STEP)), 0)) for start in range(0, n, STEP)])
-        at = nodes = np.unique(np.concatenate([[0], chosen]))
+        at = nodes = np.concatenate([start + _rises(np.arange(start, min(n, start + STEP)), 0) for start in range(0, n, STEP)])
         units = np.diff(at, append=n)
         chars = units if widths is None else np.add.reduceat(widths, at)
         self.lanes.append((units, chars, at))
         while len(nodes) > 4:
-            at = np.unique(np.concatenate([[0], np.flatnonzero(_rises(nodes, len(self.lanes)))]))
-            if len(at) == len(nodes):
-                break
+            at = _rises(nodes, len(self.lanes))
             nodes, units, chars = nodes[at], np.add.reduceat(units, at), np.add.reduceat(chars, at)
             self.lanes.append((units, chars, at))
 

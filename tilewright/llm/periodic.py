@@ -16,6 +16,9 @@ A very long text costs some hundred bytes a word in one task.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,8 +190,8 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
         texts = [(t or "").encode().split() for t in rows["text"]]
         runs, collapsed = [], []
         for first, last in _groups([len(t) for t in texts]):
-            number: dict[bytes, int] = {}
-            coded = [np.fromiter((number.setdefault(w, len(number)) for w in t), dtype=np.int64, count=len(t)) for t in texts[first:last]]
+            number: defaultdict[bytes, int] = defaultdict(count().__next__)
+            coded = [np.fromiter(map(number.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts[first:last]]
             for words, found in zip(texts[first:last], find_runs(coded)):
                 keep = np.ones(len(words), dtype=bool)
                 for start, length, period in found:
