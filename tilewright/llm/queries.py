@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import contamination, fim, language, licenses, packing, pages, periodic, preferences, quality, secrets, sharding, simhash
+from tilewright.llm import contamination, fim, language, licenses, packing, pages, passages, periodic, preferences, quality, secrets, sharding, simhash
 from tilewright.llm.common import table
 
 
@@ -58,9 +58,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.strip_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.license_sql(), "op12_fill_in_middle": fim.fim_sql()}
+    return {"op1_license_scan": licenses.license_sql(), "op12_fill_in_middle": fim.fim_sql(), "op13_repeated_passages": passages.repeats_sql()}
