@@ -32,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import checkpointed, in_batches
+from tilewright.llm.common import in_batches, stored
 from tilewright.operators.scale import attach, spread_for_python
 
 TEXT = ["text_1", "text_2"]
+ROW = ["text_1", "row"]
 SEGMENT = ["segment_1", "segment_2"]
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 POSITION = 24  # bits of a sliding minimum that carry a position
@@ -101,36 +102,38 @@ def _signed(data: bytes) -> tuple[int, int]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    keys = {TEXT[0]: F.xxhash64("text"), TEXT[1]: F.xxhash64(F.lit(1), F.col("text"))}
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(keys)
+    """doc_id and text with keys of the text and of the row; only rows with equal id and text share the latter."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.withColumns({TEXT[0]: F.xxhash64("text"), TEXT[1]: F.xxhash64(F.lit(1), F.col("text"))})
+    return rows.withColumn("row", F.xxhash64("doc_id", "text_2", "text_1"))
 
 
 def anchored(docs: DataFrame, how: Repeats) -> DataFrame:
-    """doc_id, text keys, n_words, digest of all words, anchors (in order) of every row, checkpointed."""
+    """doc_id, keys, n_words, digest of all words, anchors (in order) of every row, stored."""
     def work(rows):
         codes = _Codes()
         texts = [(t or "").encode().split() for t in rows["text"]]
         return {
-            "doc_id": rows["doc_id"], **{k: rows[k] for k in TEXT}, "n_words": [len(t) for t in texts],
-            "all_sha256": [hashlib.sha256(b" ".join(t)).hexdigest() for t in texts], "anchors": [anchors(t, how, codes)[0] for t in texts]}
+            "doc_id": rows["doc_id"], **{k: rows[k] for k in (*TEXT, "row")}, "n_words": [len(t) for t in texts],
+            "all_sha256": [hashlib.sha256(b" ".join(t)).digest() for t in texts], "anchors": [anchors(t, how, codes)[0] for t in texts]}
 
-    return checkpointed(in_batches(_keyed(docs), work, "doc_id long, text_1 long, text_2 long, n_words long, all_sha256 string, anchors array<long>"))
+    return stored(in_batches(_keyed(docs), work, "doc_id long, text_1 long, text_2 long, row long, n_words long, all_sha256 binary, anchors array<long>"))
 
 
 def recurring(rows: DataFrame, how: Repeats) -> DataFrame:
-    """Text keys and numbers of the anchors that occur again, in the same or another distinct text."""
-    texts = rows.where(F.col("n_words") >= how.size).groupBy(*TEXT).agg(F.first("anchors").alias("anchors"))
-    occurring = texts.select(*TEXT, F.posexplode("anchors").alias("number", "anchor"))
-    again = occurring.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    return attach(occurring, again, "anchor").groupBy(*TEXT).agg(F.collect_list("number").alias("numbers"))
+    """Row keys and numbers of the anchors that occur again, in the same or another distinct text; one row stands for equal texts."""
+    texts = rows.where(F.col("n_words") >= how.size).groupBy(*TEXT).agg(F.min("row").alias("row"), F.first("anchors").alias("anchors"))
+    occurring = texts.select(*ROW, F.posexplode("anchors").alias("number", "anchor"))
+    again = stored(occurring.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    return stored(occurring.join(again, "anchor").groupBy(*ROW).agg(F.collect_list("number").alias("numbers")))
 
 
 def segments(texts: DataFrame, how: Repeats) -> DataFrame:
-    """Every occurrence of a segment: text keys, start (word), segment keys, anchor; its words once a few hundred texts."""
+    """Every occurrence of a segment: row keys, start (word), segment keys, anchor; its words once a few hundred texts."""
     def work(rows):
         codes, seen = _Codes(), set()
-        found = {name: [] for name in (*TEXT, "start", *SEGMENT, "anchor", "words")}
-        for one, two, text, numbers in zip(*(rows[c] for c in (*TEXT, "text", "numbers"))):
+        found = {name: [] for name in (*ROW, "start", *SEGMENT, "anchor", "words")}
+        for one, two, text, numbers in zip(*(rows[c] for c in (*ROW, "text", "numbers"))):
             words = text.encode().split()
             hashes, first, last = anchors(words, how, codes)
             for i in numbers:
@@ -141,7 +144,7 @@ def segments(texts: DataFrame, how: Repeats) -> DataFrame:
                 seen.add(key)
         return found
 
-    return checkpointed(in_batches(texts, work, "text_1 long, text_2 long, start long, segment_1 long, segment_2 long, anchor long, words string"))
+    return stored(in_batches(texts, work, "text_1 long, row long, start long, segment_1 long, segment_2 long, anchor long, words string"))
 
 
 def phrases(distinct: DataFrame, how: Repeats) -> DataFrame:
@@ -158,7 +161,7 @@ def phrases(distinct: DataFrame, how: Repeats) -> DataFrame:
     windows = in_batches(distinct.select(*SEGMENT, "words", "n"), work, "window_1 long, window_2 long, segment_1 long, segment_2 long, at int, n long")
     counted = windows.groupBy("window_1", "window_2").agg(F.sum("n").alias("n"), F.min(F.struct(*SEGMENT, "at")).alias("first")).where("n > 1")
     of = counted.groupBy(*[F.col(f"first.{k}").alias(k) for k in SEGMENT]).agg(F.bit_or(F.expr("shiftleft(1L, first.at)")).alias("mask"))
-    return checkpointed(distinct.join(of, SEGMENT).select(*SEGMENT, "anchor", "words", "mask"))
+    return stored(distinct.join(of, SEGMENT).select(*SEGMENT, "anchor", "words", "mask"))
 
 
 def _compiled(left: pd.DataFrame, size: int):
@@ -207,10 +210,10 @@ def located(known: DataFrame, distinct: DataFrame, how: Repeats) -> DataFrame:
 
 
 def _stripped(texts: DataFrame, how: Repeats) -> DataFrame:
-    """Text keys, removed spans (words, end exclusive), digest and text of the words that stay; ``texts`` has text and places (start, mask)."""
+    """Row keys, removed spans (words, end exclusive), digest and text of the words that stay; ``texts`` has text and places (start, mask)."""
     def work(rows):
-        found = {name: [] for name in (*TEXT, "spans", "kept_sha256", "kept")}
-        for one, two, text, places in zip(*(rows[c] for c in (*TEXT, "text", "places"))):
+        found = {name: [] for name in (*ROW, "spans", "kept_sha256", "kept")}
+        for one, two, text, places in zip(*(rows[c] for c in (*ROW, "text", "places"))):
             words = text.encode().split()
             change = np.zeros(len(words) + 1, dtype=np.int64)
             at = np.concatenate([p["start"] + np.flatnonzero([p["mask"] >> b & 1 for b in range(p["mask"].bit_length())]) for p in places])
@@ -220,11 +223,11 @@ def _stripped(texts: DataFrame, how: Repeats) -> DataFrame:
             borders = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
             kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
             spans = [{"start": int(a), "end": int(b)} for a, b in borders]
-            for name, value in zip(found, (one, two, spans, hashlib.sha256(kept).hexdigest(), kept.decode())):
+            for name, value in zip(found, (one, two, spans, hashlib.sha256(kept).digest(), kept.decode())):
                 found[name].append(value)
         return found
 
-    return in_batches(texts, work, "text_1 long, text_2 long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept string")
+    return in_batches(texts, work, "text_1 long, row long, spans array<struct<start: long, end: long>>, kept_sha256 binary, kept string")
 
 
 def strip_repeats(docs: DataFrame, how: Repeats = Repeats(), with_text: bool = False) -> DataFrame:
@@ -233,32 +236,29 @@ def strip_repeats(docs: DataFrame, how: Repeats = Repeats(), with_text: bool = F
     Every word of a window of ``size`` words whose sequence starts anywhere else goes, by the windows of the input.
     ``with_text`` adds ``kept``, the words that stay, joined by one space.
     """
-    rows = anchored(docs, how)
-    texts = checkpointed(_keyed(docs).drop("doc_id").join(recurring(rows, how), TEXT).dropDuplicates(TEXT))
-    occurring = segments(texts, how)
-    distinct = checkpointed(occurring.groupBy(*SEGMENT).agg(F.first("anchor").alias("anchor"), F.first("words", ignorenulls=True).alias("words"), F.count(F.lit(1)).alias("n")))
-    masks = checkpointed(located(phrases(distinct, how), distinct, how))
-    places = attach(occurring.select(*TEXT, "start", *SEGMENT), masks, SEGMENT).groupBy(*TEXT).agg(F.collect_list(F.struct("start", "mask")).alias("places"))
-    partly = _stripped(texts.drop("numbers").join(places, TEXT), how)
-    whole = rows.where(F.col("n_words") >= how.size).groupBy(*TEXT).agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("end")).where("n > 1")
-    span = F.array(F.struct(F.lit(0).cast("long").alias("start"), "end"))
-    columns = ["spans", "kept_sha256", *(["kept"] if with_text else [])]
-    none = {"spans": span, "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "kept": F.lit("")}
-    both = partly.select(*TEXT, *columns, F.lit(0).alias("whole")).union(whole.select(*TEXT, *[none[c].alias(c) for c in columns], F.lit(1).alias("whole")))
-    changed = both.groupBy(*TEXT).agg(F.max_by(F.struct(*columns), "whole").alias("c")).select(*TEXT, "c.*")
-    rows = rows.drop("anchors")
-    if with_text:
-        plain = in_batches(_keyed(docs).drop("doc_id").dropDuplicates(TEXT), _plain, "text_1 long, text_2 long, plain string")
-        rows = attach(rows, plain, TEXT)
-    joined = attach(rows, changed, TEXT, "left")
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    out = ["doc_id", "n_words", F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>")).alias("spans"),
-           F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256")]
-    return joined.select(*out, *([F.coalesce("kept", "plain").alias("kept")] if with_text else []))
+    rows, texts = anchored(docs, how), _keyed(docs).select(*ROW, "text")
+    # A join may meet rows of equal id and text more than once: their windows recur anyway, so counts stay right.
+    occurring = segments(texts.join(recurring(rows, how), ROW), how)
+    distinct = stored(occurring.groupBy(*SEGMENT).agg(F.first("anchor").alias("anchor"), F.first("words", ignorenulls=True).alias("words"), F.count(F.lit(1)).alias("n")))
+    masks = stored(located(phrases(distinct, how), distinct, how))
+    places = attach(occurring.select(*ROW, "start", *SEGMENT), masks, SEGMENT).groupBy(*ROW).agg(F.collect_set(F.struct("start", "mask")).alias("places"))
+    changed = _stripped(texts.join(stored(places), ROW), how).drop(*(() if with_text else ("kept",))).dropDuplicates(ROW)
+    whole = rows.where(F.col("n_words") >= how.size).groupBy(*TEXT).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*TEXT, F.lit(True).alias("whole"))
+    # The texts that stay as they are need no join: their digest is there.
+    rows = attach(rows.drop("anchors"), whole, TEXT, "left").join(changed, ROW, "left")
+    span = "array<struct<start: long, end: long>>"
+    spans = F.when(F.col("whole"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))).otherwise(F.coalesce("spans", F.array().cast(span))).alias("spans")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed")
+    digest = F.lower(F.hex(F.when(F.col("whole"), F.lit(hashlib.sha256(b"").digest())).otherwise(F.coalesce("kept_sha256", "all_sha256")))).alias("kept_sha256")
+    if not with_text:
+        return rows.select("doc_id", "n_words", spans, digest).select("doc_id", "n_words", removed, "spans", "kept_sha256")
+    plain = attach(rows, in_batches(texts, _plain, "text_1 long, row long, plain string").dropDuplicates(ROW), ROW)
+    kept = F.when(F.col("whole"), F.lit("")).otherwise(F.coalesce("kept", "plain")).alias("kept")
+    return plain.select("doc_id", "n_words", spans, digest, kept).select("doc_id", "n_words", removed, "spans", "kept_sha256", "kept")
 
 
 def _plain(rows):
-    return {**{k: rows[k] for k in TEXT}, "plain": [" ".join(w.decode() for w in (t or "").encode().split()) for t in rows["text"]]}
+    return {**{k: rows[k] for k in ROW}, "plain": [b" ".join((t or "").encode().split()).decode() for t in rows["text"]]}
 
 
 def repeats_sql(size: int = 35) -> str:
