@@ -1,6 +1,7 @@
 """SimHash groups, sharding and decontamination against brute force."""
 
 import hashlib
+import random
 import struct
 import zlib
 
@@ -60,17 +61,8 @@ def test_links_lose_nothing_at_any_distance(spark):
     assert found == wanted
 
 
-def test_one_of_each_group_stays(docs, odd, none):
-    for frame in (docs, odd):
-        rows = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
-        groups = brute_components([(d, brute_fingerprint(t, 1, True)) for d, t in rows])
-        named = {c for _, _, c in groups if c is not None}
-        kept = simhash.keep_one(frame)
-        assert kept.columns == frame.columns
-        ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-        assert sorted(i for i in ids if i is not None) == sorted(named)
-        assert len(ids) == len(named) + len({f for _, f, c in groups if c is None})
-    assert simhash.keep_one(none).count() == 0 and simhash.simhash_groups(none).count() == 0
+def test_empty_table_has_no_groups(none):
+    assert simhash.simhash_groups(none).count() == 0
 
 
 def position(text, bits):
@@ -217,3 +209,34 @@ def test_only_verified_copies_go(spark, docs, odd, none):
         assert sorted(map(str, (r["doc_id"] for r in kept.select("doc_id").collect()))) == sorted(map(str, least.values()))
     assert {900_001, 900_002} <= {r["doc_id"] for r in simhash.keep_verified(made).collect()}
     assert simhash.keep_verified(none).count() == 0
+
+
+def test_crowded_bands_lose_no_copy(spark):
+    """Hundreds of copies around the limit, and texts that only share a passage: rounds and finer bands find what all pairs show."""
+    draw = random.Random(7)
+    base = [f"w{draw.randrange(4000)}" for _ in range(150)]
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(draw.choice((1, 2, 2, 3))):
+            words[draw.randrange(len(words))] = f"e{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join([f"x{draw.randrange(10**6)}" for _ in range(60)] + passage)) for i in range(90)]
+    sets = {d: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for one in sets:
+        for two in sets:
+            if one < two and len(sets[one] & sets[two]) >= 0.8 * len(sets[one] | sets[two]):
+                parent[max(root(one), root(two))] = min(root(one), root(two))
+    wanted = {root(d) for d in sets}
+    assert 90 < len(wanted) < 200
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    for how in (simhash.Verified(), simhash.Verified(crowd=16, leaders=4)):
+        assert {r["doc_id"] for r in simhash.keep_verified(frame, how).select("doc_id").collect()} == wanted

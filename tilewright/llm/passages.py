@@ -23,7 +23,9 @@ clash; an empty table gives an empty one.  A very long text is one row and one t
 from __future__ import annotations
 
 import hashlib
+import struct
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -97,8 +99,16 @@ def anchors(words: list[bytes], how: Repeats, codes: dict) -> tuple[np.ndarray,
 
 
 def _signed(data: bytes) -> tuple[int, int]:
-    digest = xxhash.xxh3_128_digest(data)
-    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+    return struct.unpack(">qq", xxhash.xxh3_128_digest(data))
+
+
+def _starts(words: list[bytes]) -> list[int]:
+    """Where each word begins in the words joined by one space, and where a further one would."""
+    return [0, *accumulate(len(w) + 1 for w in words)]
+
+
+def _columns(names: tuple[str, ...], rows: list[tuple]) -> dict[str, list]:
+    return dict(zip(names, map(list, zip(*rows)))) if rows else {name: [] for name in names}
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -131,18 +141,17 @@ def recurring(rows: DataFrame, how: Repeats) -> DataFrame:
 def segments(texts: DataFrame, how: Repeats) -> DataFrame:
     """Every occurrence of a segment: row keys, start (word), segment keys, anchor; its words once a few hundred texts."""
     def work(rows):
-        codes, seen = _Codes(), set()
-        found = {name: [] for name in (*ROW, "start", *SEGMENT, "anchor", "words")}
+        codes, seen, found = _Codes(), set(), []
         for one, two, text, numbers in zip(*(rows[c] for c in (*ROW, "text", "numbers"))):
             words = text.encode().split()
-            hashes, first, last = anchors(words, how, codes)
+            hashes, first, last = (x.tolist() for x in anchors(words, how, codes))
+            joined, at = b" ".join(words), _starts(words)
             for i in numbers:
-                part = b" ".join(words[first[i]:last[i] + how.size])
+                part = joined[at[first[i]]:at[last[i] + how.size] - 1]
                 key = _signed(part)
-                for name, value in zip(found, (one, two, int(first[i]), *key, int(hashes[i]), None if key in seen else part.decode())):
-                    found[name].append(value)
+                found.append((one, two, first[i], *key, hashes[i], None if key in seen else part.decode()))
                 seen.add(key)
-        return found
+        return _columns((*ROW, "start", *SEGMENT, "anchor", "words"), found)
 
     return stored(in_batches(texts, work, "text_1 long, row long, start long, segment_1 long, segment_2 long, anchor long, words string"))
 
@@ -150,13 +159,12 @@ def segments(texts: DataFrame, how: Repeats) -> DataFrame:
 def phrases(distinct: DataFrame, how: Repeats) -> DataFrame:
     """anchor, words and mask of segments: the bits of those of its windows that are confirmed phrases, each phrase once."""
     def work(rows):
-        found = {name: [] for name in ("window_1", "window_2", *SEGMENT, "at", "n")}
+        found = []
         for one, two, text, n in zip(*(rows[c] for c in (*SEGMENT, "words", "n"))):
-            words = text.encode().split(b" ")
-            for at in range(len(words) - how.size + 1):
-                for name, value in zip(found, (*_signed(b" ".join(words[at:at + how.size])), one, two, at, n)):
-                    found[name].append(value)
-        return found
+            joined = text.encode()
+            at = _starts(joined.split(b" "))
+            found += [(*_signed(joined[a:b - 1]), one, two, i, n) for i, (a, b) in enumerate(zip(at, at[how.size:]))]
+        return _columns(("window_1", "window_2", *SEGMENT, "at", "n"), found)
 
     windows = in_batches(distinct.select(*SEGMENT, "words", "n"), work, "window_1 long, window_2 long, segment_1 long, segment_2 long, at int, n long")
     counted = windows.groupBy("window_1", "window_2").agg(F.sum("n").alias("n"), F.min(F.struct(*SEGMENT, "at")).alias("first")).where("n > 1")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import checkpointed, in_batches, unused
+from tilewright.llm.common import checkpointed, in_batches, stored, unused
 from tilewright.operators.components import connect
 from tilewright.operators.scale import attach
 
@@ -45,14 +45,20 @@ BITS = 64
 class Verified:
     """Shingle size and least Jaccard similarity of copies; bands of minimum hashes that find them.
 
-    A pair with similarity s meets in no band with chance (1 - s ** rows) ** bands: 3 in a million at 0.8.
+    A pair with similarity s meets in no band with chance (1 - s ** rows) ** bands: 3 in a million at 0.8.  Texts in a band of
+    more than ``crowd`` meet in finer bands instead, with chance 8 in a million of none at 0.8.  ``leaders`` of a band are
+    compared with the rest of it in a round; ``ranges`` counts of hashes bound what two sets can have in common.
     """
 
     size: int = 5
     similarity: float = 0.8
     bands: int = 24
     rows: int = 4
-    before: int = 7
+    crowd: int = 64
+    fine_bands: int = 64
+    fine_rows: int = 8
+    leaders: int = 8
+    ranges: int = 64
 
 
 def word_shingles(text: str | None, size: int) -> Iterator[bytes] | None:
@@ -166,29 +172,18 @@ def named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def simhash_groups(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs`` (doc_id, text).
 
-    ``radius`` is even.  The join to a fingerprint that very many rows share is left to the skew split.
+    ``radius`` is even.  A fingerprint that very many rows share is salted in the join to its component.
     """
     if radius % 2:
         raise ValueError("radius must be even: a ball has half of it")
     found = fingerprints(docs, size)
-    joined = found.join(components(found, radius), "fp", "left")
+    joined = attach(found, components(found, radius), "fp", "left")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 1, radius: int = 4, distinct: bool = True) -> DataFrame:
-    """One row of every component, the one with the smallest doc_id (then text hash), columns unchanged.
-
-    The default fingerprint is that of the set of words: an edited word changes one of its features, not ``size`` of
-    them, so copies that share four fifths of their five-word shingles mostly stay within four bits.
-    Equal rows are merged before the shuffle, so a group of repeated rows costs one row a task.
-    """
-    found = fingerprints(docs, size, distinct)
-    return first_of_each(docs, found, components(found, radius))
-
-
 def first_of_each(docs: DataFrame, found: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay; found: doc_id, text_hash, fp of every row, groups: fp, component_id."""
-    grouped = found.join(groups, "fp", "left")
+    grouped = attach(found, groups, "fp", "left")
     # Components are named by a doc_id; without one the fingerprint names it.
     name = F.when(F.col("component_id").isNull(), F.col("fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
@@ -207,77 +202,99 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def band_keys(hashes: np.ndarray, how: Verified) -> list[int]:
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
     """One signed key per band, equal for sets with the same minimum hashes there."""
-    draw = np.random.default_rng(SEED)
-    n = how.bands * how.rows
+    draw = np.random.default_rng([SEED, rows])
+    n = bands * rows
     flip, factor = draw.integers(0, 1 << 64, n, dtype=np.uint64), draw.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1)
-    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 4096):
-        mixed = (hashes[at:at + 4096, None] ^ flip) * factor
+    least, step = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64), max(1, (1 << 19) // n)
+    for at in range(0, len(hashes), step):
+        mixed = (hashes[at:at + step, None] ^ flip) * factor
         least = np.minimum(least, mixed.min(axis=0))
-    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), i)) for i, band in enumerate(least.reshape(how.bands, how.rows))]
+    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), rows << 16 | i)) for i, band in enumerate(least.reshape(bands, rows))]
 
 
 def banded(docs: DataFrame, how: Verified) -> DataFrame:
-    """doc_id, text_hash, fp (of the set of shingles, 0 without words), n_shingles, keys of every row, checkpointed."""
+    """doc_id, text_hash, fp (of the set of shingles, 0 without words), n_shingles, keys, counts by hash range of every row, stored."""
     def work(rows):
         sets = [shingle_set(t, how.size) for t in rows["text"]]
+        width = np.uint64((1 << 64) // how.ranges)
         return {
             "doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "fp": [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) if len(s) else 0 for s in sets],
-            "n_shingles": [len(s) for s in sets], "keys": [band_keys(s, how) if len(s) else [] for s in sets]}
+            "n_shingles": [len(s) for s in sets], "keys": [band_keys(s, how.bands, how.rows) if len(s) else [] for s in sets],
+            "counts": [np.bincount((s // width).astype(np.int64), minlength=how.ranges) for s in sets]}
 
     narrow = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return checkpointed(in_batches(narrow, work, "doc_id long, text_hash long, fp long, n_shingles long, keys array<long>"))
+    return stored(in_batches(narrow, work, "doc_id long, text_hash long, fp long, n_shingles long, keys array<long>, counts array<int>"))
 
 
-def candidates(nodes: DataFrame, how: Verified) -> DataFrame:
-    """Pairs a < b of nodes (fp, n_shingles, keys) that share a band and whose sizes allow the similarity.
+def memberships(nodes: DataFrame, sets: DataFrame, how: Verified) -> DataFrame:
+    """key and fp of every node (fp, keys) in every band it shares, crowded bands replaced by finer ones of the sets (fp, shingles)."""
+    rows = nodes.select("fp", F.explode("keys").alias("key"))
+    sized = attach(rows, rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    sized = stored(sized)
+    crowded = sized.where(F.col("n") > how.crowd).select("fp").distinct()
 
-    A node meets the first of its band and ``before`` nodes before it, in an order of the band's own: all pairs of
-    usual bands, and a number linear in the nodes in large ones.  ``star`` marks pairs with the first.
-    """
-    rows = nodes.select("fp", "n_shingles", F.explode("keys").alias("key"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "fp"), "fp")
-    me = F.struct("fp", "n_shingles")
-    near = [F.struct(F.first(me).over(order).alias("o"), F.lit(True).alias("star"))]
-    near += [F.struct(F.lag(me, i).over(order).alias("o"), F.lit(False).alias("star")) for i in range(1, how.before + 1)]
-    met = rows.select("fp", "n_shingles", *[x.alias(f"n{i}") for i, x in enumerate(near)]).where(F.col("n1.o").isNotNull())
-    met = met.select("fp", "n_shingles", F.explode(F.array(*[f"n{i}" for i in range(len(near))])).alias("x")).where(F.col("x.o.fp") != F.col("fp"))
-    fits = F.least("n_shingles", "x.o.n_shingles") >= F.greatest("n_shingles", "x.o.n_shingles") * F.lit(how.similarity) - 1e-9
-    pairs = met.where(fits).select(F.least("fp", "x.o.fp").alias("a"), F.greatest("fp", "x.o.fp").alias("b"), "x.star")
-    return pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
+    def finer(rows):
+        return {"fp": rows["fp"], "keys": [band_keys(np.array(s, dtype="<i8").view("<u8"), how.fine_bands, how.fine_rows) for s in rows["shingles"]]}
 
+    fine = in_batches(sets.join(crowded, "fp"), finer, "fp long, keys array<long>").select(F.explode("keys").alias("key"), "fp")
+    return sized.where(F.col("n") <= how.crowd).select("key", "fp").union(fine)
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, how: Verified) -> DataFrame:
+    """The pairs (leader, fp) whose sets have at least the similarity.
+
+    A bound from the counts of each set, which no common number exceeds, rejects most others before sets are moved; then the
+    set of ``fp`` goes to its leader's, which is repeated by salt, not by pair.
+    """
+    def enough(common, one, two):
+        return common >= F.lit(how.similarity) * (one + two - common) - 1e-9
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (fp, shingles) have at least the Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
+    facts = nodes.select("fp", "n_shingles", "counts")
+    ahead = facts.toDF("leader", "n_leader", "counts_leader")
+    both = attach(pairs.join(facts, "fp"), ahead, "leader")
+    most = F.aggregate(F.zip_with("counts", "counts_leader", lambda a, b: F.least(a, b)), F.lit(0), lambda s, n: s + n)
+    likely = stored(both.where(enough(most, F.col("n_shingles"), F.col("n_leader"))).select("leader", "fp"))
+    met = attach(likely.join(sets, "fp"), sets.toDF("leader", "shingles_leader"), "leader")
+    common = F.size(F.array_intersect("shingles", "shingles_leader"))
+    return met.where(enough(common, F.size("shingles"), F.size("shingles_leader"))).select(F.col("leader").alias("a"), F.col("fp").alias("b"))
 
 
 def verified_links(docs: DataFrame, found: DataFrame, how: Verified) -> DataFrame:
-    """Edges (a, b) between sets of shingles with at least the similarity.
+    """Edges (a, b) between sets of shingles with at least the similarity, enough to join all that bands show to be joined.
 
-    Pairs with the first of a band are compared first; the other ones only where those have not joined the two already.
+    Rounds: some members of each band lead, are compared with all others not yet joined to them, and leave it.  A band whose
+    members are all joined, or that has no two left, is done; rounds go on until all are, so every two members of a band
+    are compared or joined by a chain.
     """
-    nodes = found.where(F.col("fp") != 0).groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.min("text_hash").alias("text_hash"))
-    pairs = checkpointed(candidates(nodes.select("fp", "n_shingles", "keys"), how))
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = nodes.select("fp", "text_hash").join(wanted, "fp", "left_semi")
-    texts = docs.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text")).join(wanted, "text_hash")
+    nodes = found.where(F.col("fp") != 0).groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n_shingles", "keys", "counts")], F.min("text_hash").alias("text_hash"))
+    nodes = stored(nodes)
+    shared = nodes.select("fp", F.explode("keys").alias("key")).groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key")
+    wanted = attach(nodes.select("fp", F.explode("keys").alias("key")), shared, "key").select("fp").distinct()
+    wanted = stored(nodes.join(wanted, "fp", "left_semi"))
+    texts = docs.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text")).join(wanted.select("fp", "text_hash"), "text_hash")
 
     def work(rows):
         return {"fp": rows["fp"], "shingles": [shingle_set(t, how.size).view("<i8") for t in rows["text"]]}
 
-    sets = checkpointed(in_batches(texts.select("fp", "text"), work, "fp long, shingles array<long>"))
-    stars = checkpointed(confirmed(pairs.where("star").select("a", "b"), sets, how.similarity))
-    roots = connect(stars, []).select("node", "root")
-    left = pairs.where(~F.col("star")).select("a", "b")
-    for side in ("a", "b"):
-        left = left.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return stars.union(confirmed(left, sets, how.similarity))
+    sets = stored(in_batches(texts.select("fp", "text"), work, "fp long, shingles array<long>"))
+    left, links, roots = stored(memberships(wanted, sets, how).withColumn("root", F.col("fp"))), None, None
+    while True:
+        if roots is not None:
+            left = left.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        mixed = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        left = stored(attach(left, mixed, "key"))
+        if left.isEmpty():
+            return wanted.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0) if links is None else links
+        slot = F.pmod(F.xxhash64("key", "fp"), F.lit(how.leaders))
+        first = F.min(F.struct(F.xxhash64("fp"), "fp", "root"))
+        ahead = stored(left.groupBy("key", slot.alias("slot")).agg(first.alias("f")).select("key", F.col("f.fp").alias("leader"), F.col("f.root").alias("leader_root")))
+        pairs = attach(left, ahead, "key").where("root <> leader_root").select("leader", "fp").distinct()
+        new = confirmed(pairs, wanted, sets, how)
+        links = stored(new if links is None else links.union(new))
+        roots = stored(connect(links, []).select(F.col("node").alias("fp"), "root"))
+        left = left.join(ahead.select("key", F.col("leader").alias("fp")), ["key", "fp"], "left_anti")
 
 
 def keep_verified(docs: DataFrame, how: Verified = Verified()) -> DataFrame:
