@@ -197,9 +197,9 @@ def _(spark, sf):
     from checks.q_segments import SMALL
     from tilewright.plans.segmentation import batch_masks
 
-    lab = t.with_size(lab_pixels(Tables(spark, sf)).select(*KEY, "lab_l", "lab_a", "lab_b"))
-    _, records = batch_masks(lab, SMALL)
-    return records
+    masks, records = batch_masks(t.with_size(Tables(spark, sf).rgb().select(*KEY, "r", "g", "b")), SMALL)
+    counts = masks.pixels("code").groupBy("image_id", F.col("code").cast("int").alias("code")).agg(F.count(F.lit(1)).alias("pixels"))
+    return records.join(counts, "image_id")
 
 
 def _sketched(tables):

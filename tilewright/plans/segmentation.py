@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tilewright.functions.scalar import class_name
 from tilewright.operators import cluster as cl
 from tilewright.operators import crop as cr
+from tilewright.operators import raster_classes as rc
 from tilewright.operators import segments as sg
-from tilewright.operators.components import exterior_split, label_components
-from tilewright.operators.scale import attach, cut_lineage
+from tilewright.operators.components import CHUNK, exterior_split, label_components
+from tilewright.operators.raster import Raster, to_chunks
+from tilewright.operators.scale import attach, cut_lineage, stored
 from tilewright.operators.sketch import region_choice
 from tilewright.operators.stats import class_percentages
 
@@ -85,14 +87,18 @@ def correct_with_sketch(
         final, crops, class_percentages(final, "image_id", name), class_percentages(final, "image_id", name, F.col("in_crop")), choices)
 
 
-def batch_masks(pixels: DataFrame, settings: cl.TwoStepSettings, unreadable: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Class masks of all readable images and one record per image (ok or error).
+def batch_masks(pixels: DataFrame, settings: cl.TwoStepSettings, unreadable: DataFrame | None = None, chunk: int = CHUNK) -> tuple[Raster, DataFrame]:
+    """Class masks (channel ``code``) of all readable images at their own size, and one record per image (ok or error).
 
-    ``pixels``: image_id, y, x, h, w and Lab; ``unreadable``: image_id, error.
+    ``pixels``: image_id, y, x, h, w, r, g, b; ``unreadable``: image_id, error.  Images longer than ``max_work_side`` are
+    classified at that side and their masks brought back by the nearest position.
     """
-    masks = cut_lineage(cl.corrected_classes(pixels, settings).select(*KEY, "h", "w", "code", "applied"))
-    records = masks.groupBy("image_id").agg(F.first("h").alias("height"), F.first("w").alias("width"), F.first("applied").alias("illumination"))
-    records = records.select("image_id", F.lit("ok").alias("status"), "height", "width", "illumination", F.lit(None).cast("string").alias("error"))
+    work = rc.at_work_side(to_chunks(pixels, ["r", "g", "b"], chunk=chunk), settings.max_work_side)
+    sizes = stored(work.frame.select("image_id", "source_h", "source_w").distinct())
+    coded = rc.corrected(rc.with_lab(work.without_facts()), settings).pick("code").with_facts(sizes).settled()
+    records = coded.frame.groupBy("image_id").agg(*[F.first(c).alias(n) for c, n in (
+        ("h", "height"), ("w", "width"), ("source_h", "source_height"), ("source_w", "source_width"), ("applied", "illumination"))])
+    records = records.select("image_id", F.lit("ok").alias("status"), "height", "width", "source_height", "source_width", "illumination", F.lit(None).cast("string").alias("error"))
     if unreadable is not None:
         records = records.unionByName(unreadable.select("image_id", F.lit("error").alias("status"), "error"), allowMissingColumns=True)
-    return masks, records
+    return rc.at_source_size(coded), records
