@@ -57,7 +57,7 @@ class Verified:
     crowd: int = 64
     fine_bands: int = 64
     fine_rows: int = 8
-    leaders: int = 8
+    leaders: int = 16
     ranges: int = 64
 
 
@@ -279,10 +279,9 @@ def verified_links(docs: DataFrame, found: DataFrame, how: Verified) -> DataFram
         return {"fp": rows["fp"], "shingles": [shingle_set(t, how.size).view("<i8") for t in rows["text"]]}
 
     sets = stored(in_batches(texts.select("fp", "text"), work, "fp long, shingles array<long>"))
-    left, links, roots = stored(memberships(wanted, sets, how).withColumn("root", F.col("fp"))), None, None
+    left, links, roots = stored(memberships(wanted, sets, how)), None, stored(wanted.select("fp", F.col("fp").alias("root")))
     while True:
-        if roots is not None:
-            left = left.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        left = left.join(roots, "fp")
         mixed = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         left = stored(attach(left, mixed, "key"))
         if left.isEmpty():
@@ -293,8 +292,11 @@ def verified_links(docs: DataFrame, found: DataFrame, how: Verified) -> DataFram
         pairs = attach(left, ahead, "key").where("root <> leader_root").select("leader", "fp").distinct()
         new = confirmed(pairs, wanted, sets, how)
         links = stored(new if links is None else links.union(new))
-        roots = stored(connect(links, []).select(F.col("node").alias("fp"), "root"))
-        left = left.join(ahead.select("key", F.col("leader").alias("fp")), ["key", "fp"], "left_anti")
+        # One step of the least name along all links: enough to skip most pairs already joined, and never joins others.
+        both = links.union(links.select("b", "a"))
+        offered = both.join(roots.toDF("a", "offered"), "a").groupBy(F.col("b").alias("fp")).agg(F.min("offered").alias("offered"))
+        roots = stored(roots.join(offered, "fp", "left").select("fp", F.least("root", "offered").alias("root")))
+        left = left.drop("root").join(ahead.select("key", F.col("leader").alias("fp")), ["key", "fp"], "left_anti")
 
 
 def keep_verified(docs: DataFrame, how: Verified = Verified()) -> DataFrame:
