@@ -1,6 +1,7 @@
 """Quality rules, language, pages, secrets, packing, licences and preferences."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -346,3 +347,15 @@ def test_equal_openings_meet_whatever_the_size(spark):
             assert r["rejected_id"] is not None and r["rejected_id"] != c
             assert c == 200 or openings[r["rejected_id"]] == openings[c]
             assert r["rejected"][-1]["text"] == f"reply {r['rejected_id']}"
+
+
+@pytest.mark.parametrize(("letters", "length", "share"), [("abcdefghijklmnopqrstuvwxyz", 20, 0.85), ("abcdefghijklmnopqrstuvwxyz", 32, 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 24, 0.95)])
+def test_random_letters_of_one_case_are_found(letters, length, share):
+    draw = random.Random(11)
+    strings = ["".join(draw.choice(letters) for _ in range(length)) for _ in range(300)]
+    assert sum(s not in secrets.redacted(f"see {s} now") for s in strings) >= share * len(strings)
+
+
+@pytest.mark.parametrize("word", ["internationalization", "donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "INTERNATIONALIZATION", "thisisaverylongidentifiername", "1234567890123456789012", "=" * 40])
+def test_long_words_and_numbers_are_no_secrets(word):
+    assert word in secrets.redacted(f"see {word} now")

@@ -69,13 +69,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_identifier(run: str) -> bool:
-    """Digests, UUIDs, plain numbers and runs of one letter case (capitalised words too) are not tested."""
+    """Digests, UUIDs and numbers are not tested; words, of whatever letter case, are told by their ratio alone."""
     core = run.strip("-_=+/")
     if UUID.fullmatch(core) or HEX_ONLY.fullmatch(core) and len(core) in DIGEST_LENGTHS:
         return True
-    inner = core[1:] if core[:1].isupper() else core
-    kinds = any(c.isdigit() for c in core) + any(c.islower() for c in inner) + any(c.isupper() for c in inner)
-    return kinds < 2
+    return not any(c.isalpha() for c in core)
 
 
 def _low(text: str, test: Efficiency) -> bool:
