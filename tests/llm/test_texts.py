@@ -359,3 +359,11 @@ def test_random_letters_of_one_case_are_found(letters, length, share):
 @pytest.mark.parametrize("word", ["internationalization", "donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "INTERNATIONALIZATION", "thisisaverylongidentifiername", "1234567890123456789012", "=" * 40])
 def test_long_words_and_numbers_are_no_secrets(word):
     assert word in secrets.redacted(f"see {word} now")
+
+
+def test_teasers_in_article_marks_do_not_hide_the_text():
+    body = "<p>" + "A long paragraph of the text itself with many words in it. " * 4 + "</p>"
+    page = f"<body><nav>menu</nav><div class='content'>{body * 3}</div><article><a href='x'>Teaser one</a></article><article>Teaser two</article></body>"
+    wanted = " ".join(["A long paragraph of the text itself with many words in it."] * 12)
+    assert pages.main_text(page) == wanted
+    assert pages.main_text(f"<body><div>{body}</div><article>{body * 3}</article></body>") == " ".join([wanted])

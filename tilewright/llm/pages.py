@@ -47,10 +47,11 @@ PARTS = re.compile(r"[^a-z0-9]+")
 
 @dataclass(frozen=True)
 class Blocks:
-    """Window size in lines and the window weight at which text surges."""
+    """Window size in lines, the window weight at which text surges, and how much more than all marked text makes marks teasers."""
 
     window: int = 3
     surge: int = 80
+    outweigh: float = 2.0
 
 
 @dataclass
@@ -134,31 +135,40 @@ def lines_of(page: str) -> list[Line]:
     return lines
 
 
-def main_text(page: str | None, how: Blocks = Blocks()) -> str:
-    lines = lines_of(page or "")
-    marked = [any(x.article and not x.dropped for x in lines), any(x.main and not x.dropped for x in lines)]
-
-    def weight(x: Line) -> int:
-        if x.dropped:
-            return 0
-        if any(marked):
-            return max(len(x.text), how.surge) if (x.article if marked[0] else x.main) else 0
-        return max(0, len(x.text) - x.linked)
-
-    weights = [weight(x) for x in lines]
-    kept: list[str] = []
-    inside = False
-    for i, line in enumerate(lines):
+def surged(weights: list[int], how: Blocks) -> list[int]:
+    """Lines from where a window's weight surges to where it dives to nothing."""
+    kept, inside = [], False
+    for i, weight in enumerate(weights):
         window = sum(weights[i:i + how.window])
         if not inside:
-            inside = weights[i] > 0 and window >= how.surge
+            inside = weight > 0 and window >= how.surge
         elif window == 0:
             inside = False
-        if inside and weights[i]:
-            kept.append(line.text)
-    if not kept:  # too short to surge anywhere: the page is one short text
-        kept = [line.text for line, w in zip(lines, weights) if w]
-    return " ".join(kept)
+        if inside and weight:
+            kept.append(i)
+    return kept
+
+
+def main_text(page: str | None, how: Blocks = Blocks()) -> str:
+    """Text of the lines that surge by their lengths without links.
+
+    Lines in ``article``, else in ``main``, weigh at least a surge and others nothing, unless what surges outside them
+    weighs more than ``outweigh`` times as much: then they are teasers, and the text is outside.
+    """
+    lines = lines_of(page or "")
+    own = [0 if x.dropped else max(0, len(x.text) - x.linked) for x in lines]
+    article, main = [x.article and not x.dropped for x in lines], [x.main and not x.dropped for x in lines]
+    marked = article if any(article) else main
+    weights = own
+    if any(marked):
+        outside = [0 if m else w for w, m in zip(own, marked)]
+        if sum(outside[i] for i in surged(outside, how)) > how.outweigh * sum(w for w, m in zip(own, marked) if m):
+            weights = outside
+        else:
+            weights = [max(len(x.text), how.surge) if m else 0 for x, m in zip(lines, marked)]
+    # Too short to surge anywhere: the page is one short text.
+    kept = surged(weights, how) or [i for i, w in enumerate(weights) if w]
+    return " ".join(lines[i].text for i in kept)
 
 
 def extract_text(pages: DataFrame, how: Blocks = Blocks()) -> DataFrame:
