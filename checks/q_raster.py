@@ -268,6 +268,17 @@ def _(spark, sf):
     return plan.select("image_id", "draw", "x0", "y0", F.round("angle", 6).alias("angle"), F.round("scale", 6).alias("scale"))
 
 
+@check("p04_patch_pixels")
+def _(spark, sf):
+    from tilewright.operators.patches import warped_patches
+    from tilewright.operators.raster import to_chunks
+
+    rows = t.with_size(Tables(spark, sf).mosaic().select(*KEY, "r", "code"))
+    plan = t.random_patches(rows.select("image_id", "h", "w").distinct(), 3, seed=42, patch=16)
+    found = warped_patches(to_chunks(rows, ["r", "code"]), plan, 16, nearest=("code",)).pixels("r", "code")
+    return found.select("image_id", "draw", "y", "x", F.round("r", 6).alias("r"), F.col("code").cast("int").alias("code"))
+
+
 @check("p05_roi_pooling", """
     with cells as (select vec_id//16 image_id, cast(vec_id%16//4 as int) cy, cast(vec_id%4 as int) cx, embedding from embeddings),
     rois as (select distinct vec_id//16 image_id, (vec_id//16)%5/8.0 u0, (vec_id//16)%3/4.0 v0, (vec_id//16)%5/8.0+0.3 u1, (vec_id//16)%3/4.0+0.2 v1 from embeddings),
@@ -298,6 +309,17 @@ def _(spark, sf):
     return t.apply_geometry(plan).select(*KEY, t.apply_tone(F.col("r")).alias("r"))
 
 
+@check("p06_augmented_patches")
+def _(spark, sf):
+    from tilewright.operators.patches import augmented
+    from tilewright.operators.raster import to_chunks
+
+    plan = t.augmentation_plan(t.with_size(Tables(spark, sf).mosaic().select(*KEY, "r")), "image_id", seed=7)
+    turned = t.apply_geometry(plan)
+    done = augmented(to_chunks(turned, ["r"]), turned.drop("y", "x", "r"), seed=7)
+    return done.pixels("r").select(*KEY, F.col("r").cast("int").alias("r"))
+
+
 @check("a03_class_percentages", """
     select image_id, round_even(count(*) filter(code=1)/count(*)*100.0,2) ore, round_even(count(*) filter(code=2)/count(*)*100.0,2) matrix,
         round_even(count(*) filter(code=3)/count(*)*100.0,2) talc, 0.0::double damage from v_mosaic group by 1""")
