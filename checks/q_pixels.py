@@ -195,6 +195,15 @@ def _(spark, sf):
     return il.stretch(il.equalise(rows, "r", "e"), "e", "gray").select(*KEY, "e", "gray")
 
 
+@check("m14_normalised_gray")
+def _(spark, sf):
+    from tilewright.operators.normalise import normalised
+    from tilewright.operators.raster import to_chunks
+
+    found = normalised(to_chunks(t.with_size(Tables(spark, sf).rgb().select(*KEY, "r", "g", "b")), ["r", "g", "b"])).pixels("r", "g", "b", "gray")
+    return found.select(*KEY, *[F.col(c).cast("int").alias(c) for c in ("r", "g", "b", "gray")])
+
+
 @check("m14_percentile_stretch", """with q as (select image_id, quantile_cont(r,0.01) lo, quantile_cont(r,0.99) hi from v_mosaic group by 1)
     select image_id, y, x, case when hi>lo then cast(trunc(greatest(0,least(255,(r-lo)*255.0::double/(hi-lo)))) as int) else r end gray from v_mosaic join q using(image_id)""")
 def _(spark, sf):

@@ -52,7 +52,7 @@ def _throttle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, in
         now = row.ts.value / 1e9
         if not row.forced and last is not None and now - last < interval:
             continue
-        last = now
+        last = now if last is None else max(last, now)  # an older forced row does not set the time back
         kept.append((key[0], row.seq, row.ts, row.stage, processed, total, row.percent))
     state.update((last, processed, total))
     yield pd.DataFrame(kept, columns=["job_id", "seq", "ts", "stage", "processed", "total", "percent"])
