@@ -367,3 +367,16 @@ def test_teasers_in_article_marks_do_not_hide_the_text():
     wanted = " ".join(["A long paragraph of the text itself with many words in it."] * 12)
     assert pages.main_text(page) == wanted
     assert pages.main_text(f"<body><div>{body}</div><article>{body * 3}</article></body>") == " ".join([wanted])
+
+
+def test_odd_pages_and_conversations(spark):
+    html = "<body><article>" + "<p>words in a paragraph of the article</p>" * 20_000 + "</article></body>"
+    rows = [(1, None, None), (2, "u", ""), (None, "u", "<p>short</p>"), (3, None, html), (3, None, html)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("x"), "n_chars": F.lit("y")})
+    found = pages.extract_text(frame).collect()
+    assert sorted(r["n_chars"] for r in found) == [0, 0, 5, 20_000 * 36 - 1, 20_000 * 36 - 1] and len(found) == 5
+    assert pages.extract_text(frame.limit(0)).count() == 0
+    turns = [(1, 1, "user", "question"), (1, 2, "assistant", "answer " * 50_000), (2, 1, "user", "question"), (2, 2, "assistant", None), (None, None, None, None), (1, 1, "user", "question")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").withColumns({"prompt": F.lit("x"), "chosen": F.lit("y"), "piece": F.lit("z")})
+    made = preferences.format_preferences(preferences.contrasted(frame))
+    assert made.count() >= 2 and preferences.format_preferences(preferences.contrasted(frame.limit(0))).count() == 0

@@ -15,6 +15,8 @@ Words are runs of letters and digits, lower-case.  Defined results: items and
 documents with fewer words than a shingle match nothing; null texts are empty; a
 document shorter than the item is one window; among equal similarities the
 earliest window is reported; repeated rows are reported once.
+An empty table on either side matches nothing; a very long text is one row, its windows a stream; columns other than
+doc_id, item_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ by Spark; only the finished table (languages times ``buckets``) reaches the driv
 Defined results: a null text, or one without a letter, gets ``und`` and score 0;
 without any labelled row every text does; with one learned language every other
 text gets it with score 1.  Repeated rows are predicted one by one.
+An empty table gives an empty one; a very long text is read in pieces of one row; columns other than doc_id, text and lang
+are not read, whatever their names.
 """
 
 from __future__ import annotations

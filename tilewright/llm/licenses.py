@@ -8,6 +8,8 @@ Units are the whole text (unit 0) and its lines (from 1).  Normalised: ASCII
 letters lower-case, all but ASCII letters and digits as one blank.  Defined
 results: null, empty and one-word units match nothing; of several templates the
 highest coefficient wins, then the smallest name; repeated rows are reported once.
+An empty table gives an empty one; a very long text is split into its words once, in one row; columns other than doc_id
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,10 +5,13 @@ links; lines of parts that never belong to the article (menus, forms, adverts,
 comments, ...) weigh nothing.  Weights are summed over sliding windows of lines:
 text starts where a window surges over a limit and ends where it dives to
 nothing, and the weighing lines between those points are kept.  If the page
-marks its article, only lines inside it weigh, and each weighs enough to surge.
+marks its article, only lines inside it weigh, and each weighs enough to surge,
+unless what surges outside the marks outweighs them: then they are teasers.
 
 Defined results: null, empty and text-free pages give an empty string; unclosed
 tags end with the page; stray ``<`` are text; character references are decoded once.
+Repeated rows stay repeated and an empty table gives an empty one; a very long page is one row; columns other than
+page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations

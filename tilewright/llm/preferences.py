@@ -9,6 +9,8 @@ Defined results: null turn numbers come last, turns with equal numbers are order
 by role and text, null roles are ``unknown`` and null texts empty; rows without a
 conv_id form one conversation; equal conversations give empty completions with
 status ``equal``; without a partner or without a reply there is no rejected side.
+Repeated turns are rendered as often as they stand there; an empty table gives an empty one; a very long text is one
+turn of its row; columns other than conv_id, turn, role and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ Defined results: a null text counts as no words; a text without words fails the
 base rules; histograms shorter than the minimum lengths are not judged.  Without
 any labelled language one pooled reference is used.  Repeated rows are judged
 one by one; other columns of the input are passed through or ignored.
+An empty table gives an empty one; a very long text is counted in one row.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ things.  What the fixed patterns find always stays.
 Defined results: a null or empty text has no spans (the digest is that of the
 empty string); spans are in code points with exclusive ends; overlapping spans
 of different kinds are all reported; redaction merges them first.
+Repeated rows stay repeated and an empty table gives an empty one; a very long text is one row, tokenised run by run;
+redaction passes all columns through, whatever their names.
 """
 
 from __future__ import annotations
