@@ -264,7 +264,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, how: Verified
 def verified_links(docs: DataFrame, found: DataFrame, how: Verified) -> DataFrame:
     """Edges (a, b) between sets of shingles with at least the similarity, enough to join all that bands show to be joined.
 
-    Rounds: some members of each band lead, are compared with all others not yet joined to them, and leave it.  A band whose
+    Rounds: some members of each band, unjoined ones first, lead, are compared with all others not yet joined to them, and leave it.  A band whose
     members are all joined, or that has no two left, is done; rounds go on until all are, so every two members of a band
     are compared or joined by a chain.
     """
@@ -287,7 +287,7 @@ def verified_links(docs: DataFrame, found: DataFrame, how: Verified) -> DataFram
         if left.isEmpty():
             return wanted.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0) if links is None else links
         slot = F.pmod(F.xxhash64("key", "fp"), F.lit(how.leaders))
-        first = F.min(F.struct(F.xxhash64("fp"), "fp", "root"))
+        first = F.min(F.struct((F.col("root") != F.col("fp")).alias("joined"), F.xxhash64("fp").alias("h"), "fp", "root"))  # the unjoined lead first
         ahead = stored(left.groupBy("key", slot.alias("slot")).agg(first.alias("f")).select("key", F.col("f.fp").alias("leader"), F.col("f.root").alias("leader_root")))
         pairs = attach(left, ahead, "key").where("root <> leader_root").select("leader", "fp").distinct()
         new = confirmed(pairs, wanted, sets, how)
