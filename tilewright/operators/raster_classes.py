@@ -16,14 +16,12 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.color import RGB_TO_XYZ, WHITE_D65, is_ore, ore_score
 from tilewright.operators.cluster import dark_clusters, weighted_centres
+from tilewright.operators.edges import CROSS, DAMAGE_SCORE, DAMAGE_SHARPNESS, EXPAND_SOFTNESS
 from tilewright.operators.morphology import disk
 from tilewright.operators.raster import Block, Raster, labelled, opened_closed, percentiles, resampled, swept, without_small
 from tilewright.operators.scale import attach, stored
 
 LAB = ("lab_l", "lab_a", "lab_b")
-CROSS = disk(1)
-# Least damage score, edge sharpness and softness that change a region.
-DAMAGE_SCORE, DAMAGE_SHARPNESS, EXPAND_SOFTNESS = 0.2, 0.35, 0.35
 
 
 def with_lab(raster: Raster) -> Raster:
