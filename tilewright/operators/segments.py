@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.components import CHUNK, label_components
 from tilewright.operators.relax import spread_labels
-from tilewright.operators.scale import attach, cut_lineage, spread_for_python
+from tilewright.operators.scale import attach, cut_lineage, sorted_join, spread_for_python
 from tilewright.operators.stats import component_stats, zscores
 
 # Feature weightings and sweep sizes.
@@ -26,6 +26,7 @@ VARIANTS = (
 # The sample counts tried with each smallest cluster size.
 SAMPLES = {2: (1, 2), 3: (1, 2, 3), 4: (1, 2, 4), 5: (1, 2, 5), 8: (1, 2, 4, 8), 13: (1, 2, 6, 13), 21: (1, 2, 10, 21), 34: (1, 2, 17, 34), 55: (1, 2, 27, 55), 89: (1, 2, 44, 89)}
 CLUSTER_SIZES = tuple(SAMPLES)
+CELL = 64
 FEATURES = ("f0", "f1", "f2", "f3", "f4", "f5")
 ClusterFunction = Callable[[np.ndarray, int, int], np.ndarray]
 
@@ -237,11 +238,25 @@ def cluster_centres(assigned: DataFrame, by) -> DataFrame:
 
 
 def centres_in_mask(centres: DataFrame, mask: DataFrame, width: Column, height: Column, image: str = "image_id") -> DataFrame:
-    """Centres whose rounded, clipped pixel is set (``mask``: image, y, x of set pixels)."""
+    """Centres whose rounded, clipped pixel is set.
+
+    ``mask``: image, y, x of set pixels, or half-open boxes (image, x0, y0, x1, y1)
+    of set pixels, which may overlap.  A box is listed in the cells it touches and a
+    centre asks its own cell, so boxes are never spread into pixels.
+    """
     held = lambda v, n: F.greatest(F.lit(0), F.least(n - 1, F.rint(v))).cast("int")
     placed = centres.withColumns({"_x": held(F.col("cx"), width), "_y": held(F.col("cy"), height)})
-    pixels = mask.select(image, F.col("y").alias("_y"), F.col("x").alias("_x")).distinct()
-    return placed.join(pixels, [image, "_y", "_x"], "left_semi").drop("_y", "_x")
+    if "x0" not in mask.columns:
+        pixels = mask.select(image, F.col("y").alias("_y"), F.col("x").alias("_x")).distinct()
+        return sorted_join(placed, pixels, [image, "_y", "_x"], "left_semi").drop("_y", "_x")
+    cell = lambda c: F.floor(c / CELL)
+    boxes = mask.where((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))).select(
+        F.col(image).alias("_image"), "x0", "y0", "x1", "y1", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1") - 1))).alias("_by")).select(
+        "*", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1") - 1))).alias("_bx"))
+    asked = placed.withColumns({"_cy": cell(F.col("_y")), "_cx": cell(F.col("_x"))})
+    holds = (F.col("_x") >= F.col("x0")) & (F.col("_x") < F.col("x1")) & (F.col("_y") >= F.col("y0")) & (F.col("_y") < F.col("y1"))
+    same = (F.col(image) == F.col("_image")) & (F.col("_cy") == F.col("_by")) & (F.col("_cx") == F.col("_bx"))
+    return sorted_join(asked, boxes, same & holds, "left_semi").drop("_y", "_x", "_cy", "_cx")
 
 
 def score_candidates(
@@ -255,12 +270,12 @@ def score_candidates(
     """
     keys = [image, *by]
     sized = segments.select(image, segment, "area", "cx", "cy", "inside", "intersects", width.alias("_w"), height.alias("_h"))
-    joined = labels.join(sized, [image, segment])
+    joined = sorted_join(labels, sized, [image, segment])
     clustered = joined.where(F.col("label") >= 0)
     centres = cluster_centres(clustered, [*keys, "label", "_w", "_h"])
     taken = centres_in_mask(centres, mask, F.col("_w"), F.col("_h"), image).select(*keys, "label")
     sizes = taken.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clusters"))
-    flagged = joined.join(taken.withColumn("_in", F.lit(True)), [*keys, "label"], "left").join(sizes, keys)
+    flagged = sorted_join(sorted_join(joined, taken.withColumn("_in", F.lit(True)), [*keys, "label"], "left"), sizes, keys)
     hit = F.coalesce("_in", F.lit(False))
     return flagged.select(
         *keys, segment, "n_clusters", "intersects", "inside", (hit | F.col("inside")).alias("selected"), (~hit & F.col("inside")).alias("supplemental"))
@@ -320,8 +335,8 @@ def select_segments(
     labels = cut_lineage(density_sweep(features, cluster, image, segment))
     selection = cut_lineage(score_candidates(labels, active, mask, width, height, image=image, segment=segment))
     best = best_parameters(candidate_counts(selection, image=image), image).select(image, "sweep_order")
-    won = selection.join(best, [image, "sweep_order"]).where("selected").select(image, segment, F.lit(False).alias("fallback"))
-    lost = active.where("inside").join(best.select(image), image, "left_anti").select(image, segment, F.lit(True).alias("fallback"))
-    chosen = active.join(won.unionByName(lost), [image, segment])
+    won = sorted_join(selection, best, [image, "sweep_order"]).where("selected").select(image, segment, F.lit(False).alias("fallback"))
+    lost = sorted_join(active.where("inside"), best.select(image), image, "left_anti").select(image, segment, F.lit(True).alias("fallback"))
+    chosen = sorted_join(active, won.unionByName(lost), [image, segment])
     return drop_large_outside(chosen, image)
 
