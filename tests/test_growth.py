@@ -1,5 +1,6 @@
 """Steps that must not grow faster than their input: what is broadcast, spread into rows or held by one task."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks.q_segments import mask
@@ -25,3 +26,14 @@ def test_the_segment_mask_is_one_row_a_segment_and_nothing_of_it_is_broadcast(sp
     assert mask(tables).count() <= rows.count()
     centres = sg.cluster_centres(rows.where("cluster >= 0"), ["image_id", "cluster"])
     assert "BroadcastHashJoin" not in _plan(sg.centres_in_mask(centres, mask(tables), F.lit(1300.0), F.lit(1000.0)))
+
+
+def test_one_tree_a_sample_count_gives_the_labels_of_single_calls(monkeypatch):
+    points = np.round(np.random.default_rng(5).normal(size=(40, 3)), 1)
+    sets = [(size, samples) for size in sg.CLUSTER_SIZES if size <= 40 for samples in sg.SAMPLES[size]]
+    alone = [sg.density_labels(points, *s) for s in sets]
+    trees = []
+    kept = sg._dendrogram
+    monkeypatch.setattr(sg, "_dendrogram", lambda *a: trees.append(1) or kept(*a))
+    assert all(np.array_equal(a, b) for a, b in zip(alone, sg.density_label_sets(points, sets)))
+    assert len(trees) == len({samples for _, samples in sets}) < len(sets)

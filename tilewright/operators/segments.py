@@ -93,23 +93,47 @@ def density_labels(points: np.ndarray, min_size: int, min_samples: int) -> np.nd
     Mutual-reachability spanning tree, condensed by ``min_size``; one image's
     segments at a time, n^2 work and n memory.
     """
-    n = len(points)
+    return density_label_sets(points, [(min_size, min_samples)])[0]
+
+
+def density_label_sets(points: np.ndarray, sets: list[tuple[int, int]]) -> list[np.ndarray]:
+    """:func:`density_labels` of several (min_size, min_samples): one tree a sample count, all grown together."""
+    samples = sorted({s for _, s in sets})
+    trees = dict(zip(samples, _density_trees(points, samples)))
+    return [_condensed_labels(len(points), min_size, *trees[s]) for min_size, s in sets]
+
+
+def _density_trees(points: np.ndarray, samples: list[int]) -> list[tuple[list, list, list]]:
+    """Dendrogram (children, height and size of every node) of each sample count."""
+    n, every = len(points), np.arange(len(samples))
     gaps = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(-1)) if n <= 2048 else None
     row = (lambda i: gaps[i]) if gaps is not None else (lambda i: np.sqrt(((points - points[i]) ** 2).sum(-1)))
-    core = np.array([np.partition(row(i), min_samples - 1)[min_samples - 1] for i in range(n)])
-    reach, origin, rest = np.full(n, np.inf), np.zeros(n, dtype=int), np.ones(n, dtype=bool)
-    here, edges = 0, []
-    rest[0] = False
-    for _ in range(n - 1):
-        d = np.maximum(np.maximum(row(here), core), core[here])
+    rows = (lambda at: gaps[at]) if gaps is not None else (lambda at: np.stack([row(i) for i in at]))
+    ranks = [s - 1 for s in samples]
+    core = np.array([np.partition(row(i), ranks)[ranks] for i in range(n)]).T
+    shape = len(samples), n
+    reach, origin, rest = np.full(shape, np.inf), np.zeros(shape, dtype=int), np.ones(shape, dtype=bool)
+    here = np.zeros(len(samples), dtype=int)
+    weight, ends = np.empty((len(samples), n - 1)), np.empty((len(samples), n - 1, 2), dtype=int)
+    rest[:, 0] = False
+    for step in range(n - 1):
+        d = np.maximum(np.maximum(rows(here), core), core[every, here][:, None])
         closer = rest & (d < reach)
-        reach[closer], origin[closer] = d[closer], here
-        here = int(np.argmin(np.where(rest, reach, np.inf)))
-        edges.append((reach[here], int(origin[here]), here))
-        rest[here] = False
-    edges.sort(key=lambda e: e[0])
-    # Dendrogram: node n + i joins two subtrees at edge i.
-    top, size, kids, height = list(range(n)), {i: 1 for i in range(n)}, {}, {}
+        reach = np.where(closer, d, reach)
+        origin = np.where(closer, here[:, None], origin)
+        here = np.argmin(np.where(rest, reach, np.inf), axis=1)
+        weight[:, step], ends[:, step, 0], ends[:, step, 1] = reach[every, here], origin[every, here], here
+        rest[every, here] = False
+    out = []
+    for w, e in zip(weight, ends):
+        order = np.argsort(w, kind="stable")
+        out.append(_dendrogram(n, w[order].tolist(), e[order].tolist()))
+    return out
+
+
+def _dendrogram(n: int, heights: list[float], ends: list[list[int]]) -> tuple[list, list, list]:
+    """Node n + i joins the two subtrees at edge i."""
+    top, size, kids, height = list(range(n)), [1] * n, [None] * n, [0.0] * n
 
     def find(i: int) -> int:
         while top[i] != i:
@@ -117,11 +141,17 @@ def density_labels(points: np.ndarray, min_size: int, min_samples: int) -> np.nd
             i = top[i]
         return i
 
-    for i, (d, a, b) in enumerate(edges):
-        left, right, node = find(a), find(b), n + i
+    for d, (a, b) in zip(heights, ends):
+        left, right, node = find(a), find(b), len(top)
         top.append(node)
         top[left] = top[right] = node
-        kids[node], height[node], size[node] = (left, right), d, size[left] + size[right]
+        kids.append((left, right))
+        height.append(d)
+        size.append(size[left] + size[right])
+    return kids, height, size
+
+
+def _condensed_labels(n: int, min_size: int, kids: list, height: list, size: list) -> np.ndarray:
     leaves = lambda node: _leaves(node, kids, n)
     # Condensed tree: cluster -> members leaving at a density, and child clusters.
     birth, parent, leaving, children = {0: 0.0}, {0: None}, {0: []}, {0: []}
@@ -172,7 +202,7 @@ def density_labels(points: np.ndarray, min_size: int, min_samples: int) -> np.nd
     return labels
 
 
-def _leaves(node: int, kids: dict, n: int) -> list[int]:
+def _leaves(node: int, kids: list, n: int) -> list[int]:
     out, stack = [], [node]
     while stack:
         k = stack.pop()
@@ -208,20 +238,20 @@ def density_sweep(variants: DataFrame, cluster: ClusterFunction = density_labels
     schema = (f"`{image}` {types[image]}, variant string, variant_order int, ids array<{types[segment]}>, "
               "labels array<int>, set_order int, min_cluster_size int, min_samples int")
 
+    def each(points: np.ndarray, sets: list[tuple[int, int]]) -> list[np.ndarray]:
+        return [cluster(points, size, samples) for size, samples in sets]
+
+    sweep = density_label_sets if cluster is density_labels else each
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             out = []
             for record in frame.itertuples(index=False):
                 ids = list(record.ids)
                 points = np.asarray(record.flat, dtype=float).reshape(len(ids), -1)
-                order = 0
-                for size in CLUSTER_SIZES:
-                    if size > len(ids):
-                        break
-                    for samples in SAMPLES[size]:
-                        labels = cluster(points, size, samples)
-                        out.append((getattr(record, image), record.variant, record.variant_order, ids, labels.tolist(), order, size, samples))
-                        order += 1
+                sets = [(size, samples) for size in CLUSTER_SIZES if size <= len(ids) for samples in SAMPLES[size]]
+                for order, ((size, samples), labels) in enumerate(zip(sets, sweep(points, sets))):
+                    out.append((getattr(record, image), record.variant, record.variant_order, ids, labels.tolist(), order, size, samples))
             yield pd.DataFrame(out, columns=[image, "variant", "variant_order", "ids", "labels", "set_order", "min_cluster_size", "min_samples"])
 
     swept = spread_for_python(packed, image, "variant").mapInPandas(run, schema)
