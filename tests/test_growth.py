@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from checks.q_segments import mask
 from checks.views import Tables
+from tilewright.operators import scale
 from tilewright.operators import segments as sg
+from tilewright.operators import sketch as sk
 
 
 def _plan(frame):
@@ -37,3 +39,10 @@ def test_one_tree_a_sample_count_gives_the_labels_of_single_calls(monkeypatch):
     monkeypatch.setattr(sg, "_dendrogram", lambda *a: trees.append(1) or kept(*a))
     assert all(np.array_equal(a, b) for a, b in zip(alone, sg.density_label_sets(points, sets)))
     assert len(trees) == len({samples for _, samples in sets}) < len(sets)
+
+
+def test_pixels_made_by_explode_are_not_broadcast(spark):
+    lines = spark.range(40).selectExpr("id as image_id", "explode(sequence(0, 30)) as y").selectExpr("image_id", "y", "y % 3 as x")
+    links = sk.pixel_links(lines.withColumn("a", F.lit(1)), lines.withColumn("b", F.lit(2)), "image_id", "a", "b")
+    chain = scale.attach(lines, lines.groupBy("image_id", "y").agg(F.max("x").alias("top")), ["image_id", "y"], grown=True)
+    assert "BroadcastHashJoin" not in _plan(links) + _plan(chain)

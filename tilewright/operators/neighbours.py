@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.functions.geometry import hypot, round2
-from tilewright.operators.scale import attach, rank_rows
+from tilewright.operators.scale import attach, rank_rows, sorted_join
 
 # Endpoint tables: image_id, endpoint_id, x, y, seq (order inside the image).
 
@@ -25,7 +25,7 @@ def _probe(points: DataFrame, others: DataFrame, side: float) -> DataFrame:
     left = left.select("*", F.col("c.cx").alias("_cx"), F.col("c.cy").alias("_cy")).drop("c")
     right = _cells(others, side).select("image_id", F.col("endpoint_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("seq").alias("b_seq"), "_cx", "_cy")
     distance = hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    return left.join(right, ["image_id", "_cx", "_cy"]).where(F.col("a") != F.col("b")).withColumn("distance", distance).where(
+    return sorted_join(left, right, ["image_id", "_cx", "_cy"]).where(F.col("a") != F.col("b")).withColumn("distance", distance).where(
         F.col("distance") <= side).drop("_cx", "_cy")
 
 
@@ -51,8 +51,8 @@ def nearest(points: DataFrame, k: int, limit: float, levels: int = 3) -> DataFra
             settled.append(ranked)
             break
         full = ranked.where(F.col("rank") == k).select("image_id", "a")
-        settled.append(ranked.join(full, ["image_id", "a"], "left_semi"))
-        waiting = waiting.join(full.withColumnRenamed("a", "endpoint_id"), ["image_id", "endpoint_id"], "left_anti")
+        settled.append(sorted_join(ranked, full, ["image_id", "a"], "left_semi"))
+        waiting = sorted_join(waiting, full.withColumnRenamed("a", "endpoint_id"), ["image_id", "endpoint_id"], "left_anti")
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
@@ -81,7 +81,7 @@ def ring_neighbours(points: DataFrame, reach: int, width: Column, height: Column
         F.explode(both).alias("s"))
     left = left.withColumn("ring", F.pmod(F.col("a_ring") + F.col("s.d"), F.col("ring_size")))
     right = ring.select("image_id", F.col("endpoint_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "ring")
-    return left.join(right, ["image_id", "ring"]).where(F.col("a") != F.col("b")).select(
+    return sorted_join(left, right, ["image_id", "ring"]).where(F.col("a") != F.col("b")).select(
         "image_id", "a", "b", "ax", "ay", "bx", "by", "a_ring", F.col("s.d").alias("step"))
 
 
@@ -111,7 +111,7 @@ def connection_candidates(
         F.array_join(F.array_sort(F.collect_set("reason")), "+").alias("reason"))
     saved = existing.select("image_id", pair_key(F.col("a"), F.col("b")).alias("id")).distinct()
     distance = round2(hypot(F.col("p.ax") - F.col("p.bx"), F.col("p.ay") - F.col("p.by")))
-    return merged.join(saved, ["image_id", "id"], "left_anti").select(
+    return sorted_join(merged, saved, ["image_id", "id"], "left_anti").select(
         "image_id", "id", F.col("p.a").alias("a"), F.col("p.b").alias("b"), distance.alias("distance"), "reason",
         F.col("p.ax").alias("ax"), F.col("p.ay").alias("ay"), F.col("p.bx").alias("bx"), F.col("p.by").alias("by"))
 
@@ -123,6 +123,6 @@ def valid_connections(saved: DataFrame, points: DataFrame) -> DataFrame:
     """
     kept = saved.where((F.col("route_type") == "curve") & F.col("control").isNotNull() & F.col("tangent").isNotNull())
     end = lambda s: points.select("image_id", F.col("endpoint_id").alias(s), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
-    joined = kept.join(end("a"), ["image_id", "a"]).join(end("b"), ["image_id", "b"])
+    joined = sorted_join(sorted_join(kept, end("a"), ["image_id", "a"]), end("b"), ["image_id", "b"])
     rounded = F.struct(round2(F.col("tangent.x")).alias("x"), round2(F.col("tangent.y")).alias("y"))
     return joined.withColumn("tangent", rounded)

@@ -9,7 +9,7 @@ from tilewright.functions import geometry as g
 from tilewright.operators.components import connect, label_components, pixel_key
 from tilewright.operators.morphology import skeleton_nodes
 from tilewright.operators.neighbours import connection_candidates, pair_key, valid_connections
-from tilewright.operators.scale import attach, cut_lineage
+from tilewright.operators.scale import attach, cut_lineage, sorted_join
 from tilewright.operators.stats import segment_width, stroke_width
 
 _AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
@@ -21,7 +21,7 @@ def pixel_links(left: DataFrame, right: DataFrame, image: str, give: str, take:
     asked = left.select(image, "y", "x", give, F.explode(offsets).alias("o")).select(
         image, "y", "x", give, (F.col("y") + F.col("o.dy")).alias("ny"), (F.col("x") + F.col("o.dx")).alias("nx"))
     given = right.select(image, F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(take))
-    return asked.join(given, [image, "ny", "nx"])
+    return sorted_join(asked, given, [image, "ny", "nx"])
 
 
 def chains(skeleton: DataFrame, image: str = "image_id") -> DataFrame:
@@ -29,7 +29,7 @@ def chains(skeleton: DataFrame, image: str = "image_id") -> DataFrame:
     nodes = cut_lineage(skeleton_nodes(skeleton, image))
     simple = nodes.where(F.col("neighbours") <= 2)
     labelled = label_components(simple.select(image, "y", "x"), image).withColumnRenamed("label", "chain")
-    return labelled.join(simple, [image, "y", "x"])
+    return sorted_join(labelled, simple, [image, "y", "x"])
 
 
 def spur_chains(skeleton: DataFrame, protected: DataFrame | None = None, image: str = "image_id", runs: DataFrame | None = None) -> DataFrame:
@@ -40,12 +40,12 @@ def spur_chains(skeleton: DataFrame, protected: DataFrame | None = None, image:
     touching = pixel_links(runs, junctions, image, "chain", "meets").select(image, "chain").distinct().withColumn("meets", F.lit(True))
     stats = runs.groupBy(image, "chain").agg(
         F.count(F.lit(1)).alias("length"), F.count_if(F.col("role") == "endpoint").alias("ends"))
-    out = attach(stats, touching, [image, "chain"], "left").withColumn("meets", F.coalesce("meets", F.lit(False)))
+    out = attach(stats, touching, [image, "chain"], "left", grown=True).withColumn("meets", F.coalesce("meets", F.lit(False)))
     if protected is None:
         return out.withColumn("protected", F.lit(False))
-    guarded = runs.where(F.col("role") == "endpoint").join(protected.select(image, "y", "x").distinct(), [image, "y", "x"], "left_semi")
+    guarded = sorted_join(runs.where(F.col("role") == "endpoint"), protected.select(image, "y", "x").distinct(), [image, "y", "x"], "left_semi")
     guarded = guarded.select(image, "chain").distinct().withColumn("protected", F.lit(True))
-    return attach(out, guarded, [image, "chain"], "left").withColumn("protected", F.coalesce("protected", F.lit(False)))
+    return attach(out, guarded, [image, "chain"], "left", grown=True).withColumn("protected", F.coalesce("protected", F.lit(False)))
 
 
 def prune_spurs(skeleton: DataFrame, minimum: int, protected: DataFrame | None = None, image: str = "image_id") -> DataFrame:
@@ -59,8 +59,8 @@ def prune_spurs(skeleton: DataFrame, minimum: int, protected: DataFrame | None =
     runs = cut_lineage(chains(skeleton, image))
     short = spur_chains(skeleton, protected, image, runs).where(
         (F.col("ends") >= 1) & F.col("meets") & (F.col("length") < minimum) & ~F.col("protected")).select(image, "chain")
-    doomed = attach(runs.select(image, "y", "x", "chain"), short, [image, "chain"]).select(image, "y", "x")
-    left = cut_lineage(pixels.join(doomed, [image, "y", "x"], "left_anti"))
+    doomed = attach(runs.select(image, "y", "x", "chain"), short, [image, "chain"], grown=True).select(image, "y", "x")
+    left = cut_lineage(sorted_join(pixels, doomed, [image, "y", "x"], "left_anti"))
     emptied = pixels.select(image).distinct().join(left.select(image).distinct(), image, "left_anti")
     return left.unionByName(attach(pixels, emptied, image))
 
@@ -72,7 +72,7 @@ def branch_lengths(skeleton: DataFrame, limit: int, image: str = "image_id") ->
     sizes = runs.groupBy(image, "chain").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "endpoint").alias("ends"))
     ends = runs.where(F.col("role") == "endpoint").select(image, "y", "x", "chain")
     reach = F.col("n") - F.when(F.col("ends") == 2, 1).otherwise(0)
-    return attach(ends, sizes, [image, "chain"]).select(image, "y", "x", F.least(reach, F.lit(limit)).alias("length"))
+    return attach(ends, sizes, [image, "chain"], grown=True).select(image, "y", "x", F.least(reach, F.lit(limit)).alias("length"))
 
 
 def component_endpoints(skeleton: DataFrame, minimum: int, protected: DataFrame | None = None, image: str = "image_id") -> DataFrame:
@@ -80,7 +80,7 @@ def component_endpoints(skeleton: DataFrame, minimum: int, protected: DataFrame
     lengths = branch_lengths(skeleton, minimum, image)
     if protected is not None:
         marked = protected.select(image, "y", "x").distinct().withColumn("_p", F.lit(True))
-        lengths = lengths.join(marked, [image, "y", "x"], "left")
+        lengths = sorted_join(lengths, marked, [image, "y", "x"], "left")
         return lengths.where((F.col("length") >= minimum) | F.col("_p")).select(image, "y", "x")
     return lengths.where(F.col("length") >= minimum).select(image, "y", "x")
 
@@ -97,18 +97,18 @@ def chain_order(skeleton: DataFrame, image: str = "image_id") -> DataFrame:
     links = pixel_links(runs.withColumnRenamed("px", "here"), runs.withColumnRenamed("px", "there"), image, "here", "there").select(image, "here", "there")
     links = cut_lineage(links)
     degree = links.groupBy(image, F.col("here").alias("px")).agg(F.count(F.lit(1)).alias("deg"))
-    placed = runs.join(degree, [image, "px"], "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+    placed = sorted_join(runs, degree, [image, "px"], "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
     starts = placed.groupBy(image, "chain").agg(F.coalesce(F.min(F.when(F.col("deg") <= 1, F.col("px"))), F.min("px")).alias("start"), F.max(F.col("deg") <= 1).alias("open"))
     starts = cut_lineage(starts)
     # Directed steps; the step before (a, b) is (z, a) with z the other neighbour of a.
     steps = links.select(image, F.col("here").alias("a"), F.col("there").alias("b"))
     before = links.select(image, F.col("here").alias("a"), F.col("there").alias("z"))
     owner = runs.select(image, F.col("px").alias("a"), "chain")
-    steps = attach(steps.join(owner, [image, "a"]), starts, [image, "chain"])
+    steps = attach(sorted_join(steps, owner, [image, "a"]), starts, [image, "chain"], grown=True)
     first_hop = steps.where(F.col("a") == F.col("start")).groupBy(image, "chain").agg(F.min("b").alias("hop"))
-    steps = attach(steps, first_hop, [image, "chain"])
+    steps = attach(steps, first_hop, [image, "chain"], grown=True)
     at_start = F.col("a") == F.col("start")
-    linked = steps.join(before, [image, "a"], "left").where(F.col("z").isNull() | (F.col("z") != F.col("b")) | at_start)
+    linked = sorted_join(steps, before, [image, "a"], "left").where(F.col("z").isNull() | (F.col("z") != F.col("b")) | at_start)
     linked = linked.groupBy(image, "chain", "a", "b", "start", "hop").agg(F.max(F.when(F.col("z") != F.col("b"), F.col("z"))).alias("z"))
     good_start = at_start & (F.col("b") == F.col("hop"))
     state = linked.select(
@@ -118,14 +118,14 @@ def chain_order(skeleton: DataFrame, image: str = "image_id") -> DataFrame:
     state = cut_lineage(state)
     while not state.where(F.col("ok").isNull() & F.col("pa").isNotNull()).isEmpty():
         far = state.select(image, F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("pa").alias("qa"), F.col("pb").alias("qb"), F.col("hops").alias("more"), F.col("ok").alias("pok"))
-        jumped = state.join(far, [image, "pa", "pb"], "left")
+        jumped = sorted_join(state, far, [image, "pa", "pb"], "left")
         open_ = F.col("ok").isNull() & F.col("more").isNotNull()
         state = cut_lineage(jumped.select(
             image, "chain", "a", "b", F.when(open_, F.col("qa")).otherwise(F.lit(None)).alias("pa"), F.when(open_, F.col("qb")).otherwise(F.lit(None)).alias("pb"),
             F.when(open_, F.col("hops") + F.col("more")).otherwise(F.col("hops")).alias("hops"),
             F.when(open_, F.col("pok")).otherwise(F.col("ok")).alias("ok")))
     reached = state.where("ok").groupBy(image, F.col("b").alias("px")).agg(F.min("hops").alias("place"))
-    joined = attach(runs, starts, [image, "chain"]).join(reached, [image, "px"], "left")
+    joined = sorted_join(attach(runs, starts, [image, "chain"], grown=True), reached, [image, "px"], "left")
     return joined.select(image, "chain", "y", "x", F.when(F.col("px") == F.col("start"), F.lit(0)).otherwise(F.col("place")).alias("place"), "open")
 
 
@@ -138,7 +138,7 @@ def polylines(skeleton: DataFrame, image: str = "image_id") -> DataFrame:
     last = placed.groupBy(image, "chain").agg(F.max("place").alias("last"), F.first("open").alias("open"))
     nodes = skeleton_nodes(skeleton, image).where(F.col("role") == "junction")
     junctions = nodes.select(image, "y", "x", F.struct("x", "y").alias("node"))
-    ends = attach(placed.select(image, "chain", "y", "x", "place"), last, [image, "chain"]).where(
+    ends = attach(placed.select(image, "chain", "y", "x", "place"), last, [image, "chain"], grown=True).where(
         F.col("open") & ((F.col("place") == 0) | (F.col("place") == F.col("last"))))
     met = pixel_links(ends.withColumn("end", F.struct("chain", "place", "last")), junctions, image, "end", "node")
     caps = met.groupBy(image, F.col("end.chain").alias("chain"), F.col("end.place").alias("place"), F.col("end.last").alias("last")).agg(
@@ -150,7 +150,7 @@ def polylines(skeleton: DataFrame, image: str = "image_id") -> DataFrame:
     lines = placed.groupBy(image, "chain").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("body"),
         F.first("open").alias("open"))
-    joined = lines.join(caps, [image, "chain"], "left")
+    joined = sorted_join(lines, caps, [image, "chain"], "left")
     wrap = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
     closing = F.when(~F.col("open") & (F.size("body") > 2), F.col("body")[0])
     points = F.concat(wrap(F.col("head")), F.col("body"), wrap(F.col("tail")), wrap(closing))
@@ -165,14 +165,14 @@ def closed_groups(endpoints: DataFrame, connections: DataFrame, image: str = "im
     first = endpoints.groupBy(image, "line_id").agg(F.min("endpoint_id").alias("b"))
     by_line = attach(endpoints.select(image, "line_id", F.col("endpoint_id").alias("a")), first, [image, "line_id"]).select(image, "a", "b")
     known = endpoints.select(image, "endpoint_id").distinct()
-    both = connections.select(image, "a", "b").join(known.withColumnRenamed("endpoint_id", "a"), [image, "a"]).join(
-        known.withColumnRenamed("endpoint_id", "b"), [image, "b"]).select(image, "a", "b")
+    both = sorted_join(connections.select(image, "a", "b"), known.withColumnRenamed("endpoint_id", "a"), [image, "a"])
+    both = sorted_join(both, known.withColumnRenamed("endpoint_id", "b"), [image, "b"]).select(image, "a", "b")
     roots = connect(by_line.unionByName(both), image).select(image, F.col("node").alias("endpoint_id"), "root")
     used = connections.select(image, F.explode(F.array("a", "b")).alias("endpoint_id")).distinct().withColumn("used", F.lit(True))
-    rows = endpoints.join(roots, [image, "endpoint_id"], "left").join(used, [image, "endpoint_id"], "left").withColumns(
+    rows = sorted_join(sorted_join(endpoints, roots, [image, "endpoint_id"], "left"), used, [image, "endpoint_id"], "left").withColumns(
         {"root": F.coalesce("root", "endpoint_id"), "used": F.coalesce("used", F.lit(False))})
     groups = rows.groupBy(image, "root").agg(F.bool_and("used").alias("closed"))
-    return attach(rows, groups, [image, "root"])
+    return attach(rows, groups, [image, "root"], grown=True)
 
 
 def allows_region_choice(images: DataFrame) -> Column:
@@ -239,18 +239,18 @@ def sketch_tables(
     protected = cut_lineage(kept.where(F.col("p").isNotNull()).select(image, F.col("p.y").alias("y"), F.col("p.x").alias("x")).distinct())
     labelled = label_components(lines.select(image, "y", "x"), image).withColumnRenamed("label", "line_id")
     areas = labelled.groupBy(image, "line_id").agg(F.count(F.lit(1)).alias("_area")).where(F.col("_area") >= smallest).drop("_area")
-    labelled = cut_lineage(attach(labelled, areas, [image, "line_id"]))
-    thin = skeleton.select(image, "y", "x").join(labelled, [image, "y", "x"])
+    labelled = cut_lineage(attach(labelled, areas, [image, "line_id"], grown=True))
+    thin = sorted_join(skeleton.select(image, "y", "x"), labelled, [image, "y", "x"])
     visible = cut_lineage(prune_spurs(thin, minimum, protected, image))
     widths = stroke_width(labelled, thin, [image, "line_id"]).withColumn("stroke_width", F.greatest(F.lit(2.0), F.bround("width", 2))).drop("width")
-    ends = component_endpoints(visible, minimum, protected, image).join(labelled, [image, "y", "x"])
+    ends = sorted_join(component_endpoints(visible, minimum, protected, image), labelled, [image, "y", "x"])
     endpoints = cut_lineage(ends.select(
         image, "line_id", g.endpoint_id(F.col("x").cast("double"), F.col("y").cast("double")).alias("endpoint_id"), F.col("x").cast("double").alias("x"),
         F.col("y").cast("double").alias("y"), F.row_number().over(Window.partitionBy(image).orderBy("line_id", pixel_key(F.col("y"), F.col("x")))).alias("seq")))
     joined = valid_connections(saved, endpoints)
     groups = cut_lineage(closed_groups(endpoints, joined, image))
     per_line = groups.groupBy(image, "line_id").agg(F.count(F.lit(1)).alias("ends"), F.bool_and("closed").alias("closed"))
-    table = widths.join(per_line, [image, "line_id"], "left").withColumns({
+    table = sorted_join(widths, per_line, [image, "line_id"], "left").withColumns({
         "ends": F.coalesce("ends", F.lit(0)), "closed": F.coalesce("closed", F.lit(True))})
     active = groups.where(~F.col("used")).select(image, "endpoint_id", "x", "y", "seq")
     return {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import round2
 from tilewright.functions.scalar import CLASS_NAMES
-from tilewright.operators.scale import attach, names
+from tilewright.operators.scale import attach, names, sorted_join
 
 
 def class_percentages(pixels: DataFrame, by, name: Column, mask: Column | None = None) -> DataFrame:
@@ -53,7 +53,7 @@ def stroke_width(component_px: DataFrame, skeleton_px: DataFrame, by) -> DataFra
     keys = names(by)
     thin = skeleton_px.groupBy(*keys).agg(F.count(F.lit(1)).alias("_thin"))
     full = component_px.groupBy(*keys).agg(F.count(F.lit(1)).alias("_full"))
-    joined = full.join(thin, keys, "left")
+    joined = sorted_join(full, thin, keys, "left")
     return joined.select(*keys, F.greatest(F.lit(1.0), F.coalesce(F.col("_full") / F.col("_thin"), F.lit(1.0))).alias("width"))
 
 
