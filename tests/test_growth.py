@@ -46,3 +46,25 @@ def test_pixels_made_by_explode_are_not_broadcast(spark):
     links = sk.pixel_links(lines.withColumn("a", F.lit(1)), lines.withColumn("b", F.lit(2)), "image_id", "a", "b")
     chain = scale.attach(lines, lines.groupBy("image_id", "y").agg(F.max("x").alias("top")), ["image_id", "y"], grown=True)
     assert "BroadcastHashJoin" not in _plan(links) + _plan(chain)
+
+
+def _compare(spark, name, folder):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute("set TimeZone='UTC'")
+    for file in folder.iterdir():
+        con.execute(f"create view {file.stem} as select * from '{file}'")
+    result = con.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    rows = [tuple(map(float, r)) for r in entry.queries()[name](spark, str(folder)).select(*columns).collect()]
+    assert sorted(rows) == sorted(tuple(map(float, r)) for r in result.fetchall()) and rows
+
+
+def test_images_smaller_than_the_side_are_placed_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    duckdb.sql(f"copy (select * from '/root/testdata/sf0.01/embeddings.parquet' where vec_id < 18 or vec_id = 32) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    _compare(spark, "f28_area_downscale", tmp_path)

@@ -130,11 +130,15 @@ def resize_nearest(pixels: DataFrame, target_h: Column, target_w: Column) -> Dat
     )
 
 
-def shrink_to(pixels: DataFrame, max_side: int, channels, image: str = "image_id") -> DataFrame:
-    """Box-filter downscale so that the longer side is at most ``max_side``; smaller images stay as they are."""
-    scale = F.least(F.lit(1.0), F.lit(float(max_side)) / F.greatest("h", "w"))
-    new_h = F.when(scale < 1.0, F.floor(F.col("h") * scale)).otherwise(F.col("h")).cast("int")
-    new_w = F.when(scale < 1.0, F.floor(F.col("w") * scale)).otherwise(F.col("w")).cast("int")
+def shrink_to(pixels: DataFrame, max_side: int, channels, image: str = "image_id", enlarge: bool = False) -> DataFrame:
+    """Box-filter downscale so that the longer side is at most ``max_side``; smaller images stay as they are.
+
+    With ``enlarge`` the pixels of smaller images move apart to that side as well; positions between them stay absent.
+    """
+    scale = F.lit(float(max_side)) / F.greatest("h", "w")
+    scale = scale if enlarge else F.least(F.lit(1.0), scale)
+    new_h = F.when(scale != 1.0, F.floor(F.col("h") * scale)).otherwise(F.col("h")).cast("int")
+    new_w = F.when(scale != 1.0, F.floor(F.col("w") * scale)).otherwise(F.col("w")).cast("int")
     placed = pixels.withColumns({"_h": new_h, "_w": new_w}).withColumns({
         "y": F.floor(F.col("y") * F.col("_h") / F.col("h")).cast("int"),
         "x": F.floor(F.col("x") * F.col("_w") / F.col("w")).cast("int")})
