@@ -76,3 +76,10 @@ def test_a_sample_in_the_last_half_second_of_a_slot_counts_as_in_the_sql(spark,
     duckdb.sql(f"""copy (select * replace (case when event_id % 2 = 0 then timestamp '2024-01-01 05:59:59.7' else timestamp '2024-01-01 05:59:59.2' end as ts)
         from '/root/testdata/sf0.001/events.parquet') to '{tmp_path}/events.parquet' (format parquet)""")
     _compare(spark, "a28_gpu_baseline", tmp_path)
+
+
+def test_tiles_of_an_image_with_absent_pixels_are_scored_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    duckdb.sql(f"copy (select * from '/root/testdata/sf0.01/embeddings.parquet' where vec_id < 22) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    _compare(spark, "a06_tile_ore_ratio", tmp_path)

@@ -72,44 +72,52 @@ def image_verdicts(images: DataFrame, accepted: DataFrame, image: str = "image_i
 
 
 def tile_arrays(tile_pixels: DataFrame, keys, tile: int, value: str) -> DataFrame:
-    """One row per tile with its values in row-major order; a group never exceeds tile x tile values."""
+    """One row per tile with its values and their row-major places ``at``; a group never exceeds tile x tile values.
+
+    Places an image has no pixel for are left out.
+    """
     cell = F.struct((F.col("dy") * tile + F.col("dx")).alias("at"), F.col(value).alias("v"))
     ordered = F.array_sort(F.collect_list(cell))
-    return tile_pixels.groupBy(*names(keys)).agg(F.transform(ordered, lambda c: c["v"]).alias("values"))
+    return tile_pixels.groupBy(*names(keys)).agg(ordered.alias("_cells")).select(
+        *names(keys), F.transform("_cells", lambda c: c["at"]).alias("at"), F.transform("_cells", lambda c: c["v"]).alias("values"))
 
 
 def linear_scores(batch: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Default scorer: class logits linear in the pixel and the image mean, difficulty linear in tile mean."""
+    """Default scorer: class logits linear in the pixel and the image mean, difficulty linear in tile mean; absent places are NaN."""
     slope, offset = np.array([1.5, 0.2, -1.0, -0.4]), np.array([0.1, 0.6, 0.2, -0.8])
     logits = batch[..., None] * slope + offset + 0.3 * context[:, None, None, None] * slope[::-1]
     powers = np.exp(logits - logits.max(axis=-1, keepdims=True))
-    difficulty = 1.0 / (1.0 + np.exp(-(0.2 + 0.9 * batch.mean(axis=(1, 2)) - 0.5 * context)))
+    difficulty = 1.0 / (1.0 + np.exp(-(0.2 + 0.9 * np.nanmean(batch, axis=(1, 2)) - 0.5 * context)))
     return powers / powers.sum(axis=-1, keepdims=True), difficulty
 
 
 def score_tiles(tiles: DataFrame, tile: int, score: ScoreFunction = linear_scores, keys=("image_id", "ty", "tx")) -> DataFrame:
     """Scores batches of tiles in Python workers.
 
-    ``tiles`` has the keys, ``values`` (tile x tile) and ``context`` (the image's
-    shared number).  The scorer is any callable on numpy batches; a model is
-    loaded lazily inside it, once per worker.
+    ``tiles`` has the keys, ``at`` and ``values`` (see :func:`tile_arrays`) and
+    ``context`` (the image's shared number).  The scorer is any callable on numpy
+    batches of tile x tile values, NaN at absent places; a model is loaded lazily
+    inside it, once per worker.  Scores come back for the places in ``at``.
     """
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in tiles.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", prob double, " + ", ".join(
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", prob double, at array<int>, " + ", ".join(
         f"{c} array<double>" for c in CLASS_COLUMNS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             if frame.empty:
                 continue
-            stacked = np.stack(frame["values"].to_numpy()).astype(float).reshape(len(frame), tile, tile)
-            classes, difficulty = score(stacked, frame["context"].to_numpy(dtype=float))
+            sizes = np.array([len(a) for a in frame["at"]])
+            owner, place = np.repeat(np.arange(len(frame)), sizes), np.concatenate(frame["at"].to_numpy()).astype(np.int64)
+            stacked = np.full((len(frame), tile * tile), np.nan)
+            stacked[owner, place] = np.concatenate(frame["values"].to_numpy())
+            classes, difficulty = score(stacked.reshape(len(frame), tile, tile), frame["context"].to_numpy(dtype=float))
             out = frame[keys].copy()
-            out["prob"] = difficulty
-            flat = classes.reshape(len(frame), tile * tile, CLASS_COUNT)
+            out["prob"], out["at"] = difficulty, frame["at"]
+            flat, ends = classes.reshape(len(frame), tile * tile, CLASS_COUNT), np.cumsum(sizes)[:-1]
             for i, name in enumerate(CLASS_COLUMNS):
-                out[name] = list(flat[:, :, i])
+                out[name] = np.split(flat[owner, place, i], ends)
             yield out
 
     return tiles.mapInPandas(run, schema)
@@ -117,8 +125,8 @@ def score_tiles(tiles: DataFrame, tile: int, score: ScoreFunction = linear_score
 
 def explode_tiles(scored: DataFrame, tile: int, keys=("image_id", "ty", "tx")) -> DataFrame:
     """Scored tiles to weighted pixels in padded coordinates."""
-    zipped = F.arrays_zip(*[F.col(c) for c in CLASS_COLUMNS])
-    rows = scored.select(*keys, "prob", F.posexplode(zipped).alias("at", "c"))
+    zipped = F.arrays_zip("at", *CLASS_COLUMNS)
+    rows = scored.select(*keys, "prob", F.explode(zipped).alias("c")).withColumn("at", F.col("c.at"))
     dy, dx = F.floor(F.col("at") / tile).cast("int"), (F.col("at") % tile).cast("int")
     return rows.select(
         *keys, "prob", (F.col("ty") + dy).alias("y"), (F.col("tx") + dx).alias("x"),
