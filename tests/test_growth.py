@@ -1,6 +1,7 @@
 """Steps that must not grow faster than their input: what is broadcast, spread into rows or held by one task."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.q_segments import mask
@@ -8,6 +9,7 @@ from checks.views import Tables
 from tilewright.operators import scale
 from tilewright.operators import segments as sg
 from tilewright.operators import sketch as sk
+from tilewright.streaming import jobs
 
 
 def _plan(frame):
@@ -83,3 +85,16 @@ def test_tiles_of_an_image_with_absent_pixels_are_scored_as_in_the_sql(spark, tm
 
     duckdb.sql(f"copy (select * from '/root/testdata/sf0.01/embeddings.parquet' where vec_id < 22) to '{tmp_path}/embeddings.parquet' (format parquet)")
     _compare(spark, "a06_tile_ore_ratio", tmp_path)
+
+
+def test_a_job_costs_no_pandas_concat_or_sort(monkeypatch):
+    state = type("State", (), {"exists": False, "hasTimedOut": False, "update": lambda s, v: setattr(s, "kept", v),
+                               "getCurrentWatermarkMs": lambda s: 0, "setTimeoutTimestamp": lambda s, t: setattr(s, "timer", t)})()
+    moments = pd.to_datetime([5000, None, 10, 400], unit="s")
+    rows = pd.DataFrame({"job_id": 7, "seq": [3, 9, 1, 2], "ts": moments, "status": ["finished", "queued", "queued", "started"]})
+    for name in ("concat",):
+        monkeypatch.setattr(jobs.pd, name, None)
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    out = list(jobs._lifecycle((7,), iter([rows[:2], rows[2:]]), state, 300, 3600))[0]
+    assert out["status"].tolist() == ["queued", "started", "failed"] and out["reason"].tolist() == [None, None, "timeout"]
+    assert out["since"].astype("int64").tolist() == [10_000_000, 400_000_000, 700_000_000] and state.kept == ("failed", 700.0, 3)

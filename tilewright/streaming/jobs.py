@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from tilewright.functions.scalar import verdict
 from tilewright.sources.images import check_uploads
 
 # Seconds between progress saves, job timeout and result lifetime.
+NO_TIME = np.iinfo(np.int64).min  # of a missing timestamp, in nanoseconds
 SAVE_INTERVAL, JOB_TIMEOUT, RESULT_LIFETIME = 0.5, 1800, 86400
 
 
@@ -70,10 +72,17 @@ def throttled_progress(events: DataFrame, interval: float = SAVE_INTERVAL) -> Da
 
 
 def _changes(rows: list[tuple]) -> pd.DataFrame:
-    """Status rows with seconds turned into timestamps of one unit."""
-    frame = pd.DataFrame(rows, columns=["job_id", "status", "since", "reason"])
-    frame["since"] = (frame["since"].astype("float64") * 1e6).round().astype("int64").astype("datetime64[us]")
-    return frame.astype({"job_id": "int64", "status": "object", "reason": "object"})
+    """Status rows with seconds turned into timestamps of one unit; one frame a job, so it is made of arrays at once."""
+    job, status, since, reason = zip(*rows) if rows else ((), (), (), ())
+    return pd.DataFrame({
+        "job_id": np.array(job, dtype="int64"), "status": np.array(status, dtype=object),
+        "since": (np.array(since, dtype="float64") * 1e6).round().astype("int64").view("datetime64[us]"), "reason": np.array(reason, dtype=object)}, copy=False)
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> list[tuple[int, int, str]]:
+    """(nanoseconds, seq, status) of one key's rows by time, rows without one last."""
+    rows = [r for f in batches for r in zip(f["ts"].to_numpy().astype("datetime64[ns]").astype("int64").tolist(), f["seq"].tolist(), f["status"].tolist())]
+    return sorted(rows, key=lambda r: (r[0] == NO_TIME, r[0], r[1]))
 
 
 def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timeout: int, lifetime: int) -> Iterator[pd.DataFrame]:
@@ -90,15 +99,15 @@ def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, t
         return
     status, since, seq = state.get if state.exists else (None, None, None)
     out = []
-    for row in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples(index=False):
-        now = row.ts.value / 1e9
-        if status is not None and (now, row.seq) <= (since, seq):  # older than what an earlier batch brought
+    for moment, number, found in _in_order(batches):
+        now = moment / 1e9
+        if status is not None and (now, number) <= (since, seq):  # older than what an earlier batch brought
             continue
-        if status == "started" and now - since > timeout and row.status != "started":
+        if status == "started" and now - since > timeout and found != "started":
             out.append((key[0], "failed", since + timeout, "timeout"))
-            status, since, seq = "failed", since + timeout, row.seq
+            status, since, seq = "failed", since + timeout, number
             continue
-        status, since, seq = row.status, now, row.seq
+        status, since, seq = found, now, number
         out.append((key[0], status, now, None))
     state.update((status, since, seq))
     wait = timeout if status == "started" else lifetime
