@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays; every link is verified by five-word shingles."""
-    return simhash.keep_verified(docs)
+    """One document of each group of near-duplicates stays; links are met by ball hashing and checked by five-word shingles."""
+    return simhash.keep_checked(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

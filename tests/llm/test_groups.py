@@ -240,3 +240,39 @@ def test_crowded_bands_lose_no_copy(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     for how in (simhash.Verified(), simhash.Verified(crowd=16, leaders=4)):
         assert {r["doc_id"] for r in simhash.keep_verified(frame, how).select("doc_id").collect()} == wanted
+
+
+def test_the_pipeline_links_by_fingerprints_and_checks_each_link(spark, docs, odd, none):
+    """Brute force over all pairs: at most four differing bits and five-word Jaccard 0.8; groups of copies with and without it."""
+    import corpus_pipeline
+
+    draw = random.Random(11)
+    made = []
+    for base in range(6):
+        words = [f"w{draw.randrange(3000)}" for _ in range(80)]
+        for _ in range(12):
+            copy = list(words)
+            for _ in range(draw.choice((0, 1, 1, 2, 3, 4))):
+                copy[draw.randrange(len(copy))] = f"e{draw.randrange(10**6)}"
+            made.append((900_000 + len(made), " ".join(copy)))
+    far = 0
+    for frame in (docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string")), odd):
+        rows = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
+        fps = [brute_fingerprint(t, 3, True) for _, t in rows]
+        sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+        group = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+                if (fps[i] ^ fps[j]).bit_count() <= 4 and alike:
+                    old, new = group[i], group[j]
+                    group = [new if g == old else g for g in group]
+                elif alike:
+                    far += 1
+        least = {}
+        for g, (doc, _) in zip(group, rows):
+            least[g] = min(filter(lambda d: d is not None, (least.get(g), doc)), default=None)
+        kept = corpus_pipeline.near_duplicates(spark, frame, "")
+        assert kept.columns == frame.columns
+        assert sorted(map(str, (r["doc_id"] for r in kept.select("doc_id").collect()))) == sorted(map(str, least.values()))
+    assert far and corpus_pipeline.near_duplicates(spark, none, "").count() == 0

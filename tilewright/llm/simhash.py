@@ -17,8 +17,9 @@ Defined results: equal fingerprints are one node, whatever the texts; null and
 blank texts have fingerprint zero; repeated rows stay repeated; a null doc_id
 never becomes a component id unless the component has no other.
 
-:func:`keep_verified` drops only what an exact comparison of five-word shingles
-has confirmed; there bands of minimum hashes find the pairs to compare.
+:func:`keep_checked` takes its links from the same balls and drops only what an
+exact comparison of five-word shingles has confirmed.  :func:`keep_verified` does
+so too, but bands of minimum hashes find the pairs to compare.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ class Verified:
     A pair with similarity s meets in no band with chance (1 - s ** rows) ** bands: 3 in a million at 0.8.  Texts in a band of
     more than ``crowd`` meet in finer bands instead, with chance 8 in a million of none at 0.8.  ``leaders`` of a band are
     compared with the rest of it in a round; ``ranges`` counts of hashes bound what two sets can have in common.
+    ``words`` and ``radius`` are those of the fingerprints (of distinct shingles) where balls find the pairs.
     """
 
     size: int = 5
@@ -59,6 +61,8 @@ class Verified:
     fine_rows: int = 8
     leaders: int = 16
     ranges: int = 64
+    words: int = 3
+    radius: int = 4
 
 
 def word_shingles(text: str | None, size: int) -> Iterator[bytes] | None:
@@ -279,26 +283,69 @@ def verified_links(docs: DataFrame, found: DataFrame, how: Verified) -> DataFram
         return {"fp": rows["fp"], "shingles": [shingle_set(t, how.size).view("<i8") for t in rows["text"]]}
 
     sets = stored(in_batches(texts.select("fp", "text"), work, "fp long, shingles array<long>"))
-    left, links, roots = stored(memberships(wanted, sets, how)), None, stored(wanted.select("fp", F.col("fp").alias("root")))
+    left, roots = stored(memberships(wanted, sets, how)), stored(wanted.select("fp", F.col("fp").alias("root")))
+    return settled(left, roots, wanted.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0), wanted, sets, how)
+
+
+def settled(left: DataFrame, roots: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, how: Verified) -> DataFrame:
+    """``links`` and those that join the members (fp) of each group (key) of ``left``, in rounds of leaders; roots: fp and the name it has so far."""
     while True:
         left = left.join(roots, "fp")
         mixed = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         left = stored(attach(left, mixed, "key"))
         if left.isEmpty():
-            return wanted.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0) if links is None else links
+            return links
         slot = F.pmod(F.xxhash64("key", "fp"), F.lit(how.leaders))
         first = F.min(F.struct((F.col("root") != F.col("fp")).alias("joined"), F.xxhash64("fp").alias("h"), "fp", "root"))  # the unjoined lead first
         ahead = stored(left.groupBy("key", slot.alias("slot")).agg(first.alias("f")).select("key", F.col("f.fp").alias("leader"), F.col("f.root").alias("leader_root")))
         pairs = attach(left, ahead, "key").where("root <> leader_root").select("leader", "fp").distinct()
-        new = confirmed(pairs, wanted, sets, how)
-        links = stored(new if links is None else links.union(new))
+        links = stored(links.union(confirmed(pairs, nodes, sets, how)))
         # One step of the least name along all links: enough to skip most pairs already joined, and never joins others.
         both = links.union(links.select("b", "a"))
         offered = both.join(roots.toDF("a", "offered"), "a").groupBy(F.col("b").alias("fp")).agg(F.min("offered").alias("offered"))
-        roots = stored(roots.join(offered, "fp", "left").select("fp", F.least("root", "offered").alias("root")))
+        roots = stored(roots.join(offered, "fp", "left").select("fp", F.least("root", F.coalesce("offered", "root")).alias("root")))
         left = left.drop("root").join(ahead.select("key", F.col("leader").alias("fp")), ["key", "fp"], "left_anti")
 
 
+def checked_links(docs: DataFrame, found: DataFrame, how: Verified) -> DataFrame:
+    """Edges (a, b) between texts (text_hash) whose fingerprints are within ``radius`` bits and whose sets of shingles have the similarity.
+
+    Texts that meet at a variant are a group, as in :func:`links`.  Neighbours in it are compared first.  Where all of these are
+    joined the group is done; the others are known by two neighbours that are not, and are settled in rounds, so every two texts
+    of a group are compared or joined by a chain.  Groups of the same members count once.
+    """
+    nodes = stored(found.select("fp", "text_hash").distinct())
+    shared = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    live = stored(sieve(nodes.select("fp").distinct(), how.radius).union(shared).distinct())
+    near = stored(nodes.join(live, "fp", "left_semi").select("text_hash", "fp"))
+    digest = F.xxhash64("text")
+    texts = docs.select(digest.alias("fp"), "text").join(near.select(F.col("text_hash").alias("fp")), "fp", "left_semi").dropDuplicates(["fp"])
+    width = np.uint64((1 << 64) // how.ranges)
+
+    def work(rows):
+        sets = [shingle_set(t, how.size) for t in rows["text"]]
+        return {
+            "fp": rows["fp"], "n_shingles": [len(s) for s in sets], "shingles": [s.view("<i8") for s in sets],
+            "counts": [np.bincount((s // width).astype(np.int64), minlength=how.ranges) for s in sets]}
+
+    facts = stored(in_batches(texts, work, "fp long, n_shingles long, shingles array<long>, counts array<int>"))
+    sets, masks = facts.select("fp", "shingles"), ball(list(range(BITS)), how.radius // 2)
+    rows = near.select("text_hash", F.col("fp").alias("at"), F.explode(F.lit(masks)).alias("mask")).select(
+        F.col("at").bitwiseXOR(F.col("mask")).alias("key"), F.col("text_hash").alias("fp"))
+    order = Window.partitionBy("key").orderBy("fp")
+    tried = stored(rows.select(F.lag("fp").over(order).alias("leader"), "fp").where("leader is not null").distinct())
+    links = stored(confirmed(tried, facts, sets, how))
+    joined = connect(links, []).select(F.col("node").alias("fp"), "root")
+    roots = stored(near.select(F.col("text_hash").alias("fp")).join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    ends = near.toDF("fp", "at").join(roots, "fp")
+    apart = tried.join(ends, "fp").join(ends.toDF("leader", "leader_at", "leader_root"), "leader").where("root <> leader_root").select("at", "leader_at")
+    met = apart.distinct().select("at", "leader_at", F.explode(F.lit(masks)).alias("mask")).select("leader_at", F.col("at").bitwiseXOR(F.col("mask")).alias("key"))
+    met = stored(met.where(F.bit_count(F.col("key").bitwiseXOR(F.col("leader_at"))) <= how.radius // 2).select("key").distinct())
+    left = stored(rows.join(met, "key", "left_semi"))
+    alike = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("h")).groupBy("n", "h").agg(F.min("key").alias("key"))
+    return settled(attach(left, alike.select("key"), "key"), roots, links, facts, sets, how)
+
+
 def keep_verified(docs: DataFrame, how: Verified = Verified()) -> DataFrame:
     """One row of every group of copies, the one with the smallest doc_id (then text hash), columns unchanged.
 
@@ -309,3 +356,17 @@ def keep_verified(docs: DataFrame, how: Verified = Verified()) -> DataFrame:
     narrow = found.select("doc_id", "text_hash", "fp")
     nodes = narrow.groupBy("fp").agg(F.min("doc_id").alias("first"))
     return first_of_each(docs, narrow, named(nodes, verified_links(docs, found, how)))
+
+
+def keep_checked(docs: DataFrame, how: Verified = Verified()) -> DataFrame:
+    """One row of every group of near-duplicates, the one with the smallest doc_id (then text hash), columns unchanged.
+
+    Two texts are linked if their fingerprints of ``words``-word shingles differ in at most ``radius`` bits, found by ball hashing,
+    and their sets of ``size``-word shingles have at least the Jaccard similarity; a row goes only with such a link, or a chain of them, to the one that stays.
+    """
+    if how.radius % 2:
+        raise ValueError("radius must be even: a ball has half of it")
+    found = fingerprints(docs, how.words, distinct=True)
+    narrow = found.select("doc_id", "text_hash", F.col("text_hash").alias("fp"))
+    nodes = narrow.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    return first_of_each(docs, narrow, named(nodes, checked_links(docs, found, how)))
