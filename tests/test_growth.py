@@ -98,3 +98,48 @@ def test_a_job_costs_no_pandas_concat_or_sort(monkeypatch):
     out = list(jobs._lifecycle((7,), iter([rows[:2], rows[2:]]), state, 300, 3600))[0]
     assert out["status"].tolist() == ["queued", "started", "failed"] and out["reason"].tolist() == [None, None, "timeout"]
     assert out["since"].astype("int64").tolist() == [10_000_000, 400_000_000, 700_000_000] and state.kept == ("failed", 700.0, 3)
+
+
+def test_groups_meet_whole_and_many_at_a_time(spark):
+    rows = spark.range(3000).selectExpr("if(id % 7 = 0, null, id % 7) as k", "id div 900 as part", "id")
+
+    def work(frame, group):
+        sizes = frame.assign(g=group).groupby("g").agg(k=("k", "first"), part=("part", "first"), n=("id", "size"), total=("id", "sum"))
+        return sizes.assign(calls=len(sizes))
+
+    for at_once in (1, 50, 10000):
+        found = scale.in_groups(rows, ["k", "part"], work, "k double, part long, n long, total long, calls long", at_once)
+        wanted = rows.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("total"))
+        as_rows = lambda df: sorted(str(tuple(r)) for r in df.selectExpr("cast(k as int)", "part", "n", "total").collect())
+        assert as_rows(found.withColumn("k", F.nanvl("k", F.lit(None).cast("double")))) == as_rows(wanted)
+    assert found.agg(F.max("calls")).first()[0] > 1
+
+
+def test_no_python_call_for_every_chunk(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    from tilewright.operators import components as co
+    from tilewright.operators import morphology as mo
+    from tilewright.operators import relax
+
+    def refused(*_):
+        raise AssertionError("one call a group")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", refused)
+    pixels = spark.range(5 * 40 * 40).selectExpr("id div 1600 as image_id", "int(id % 1600 div 40) as y", "int(id % 40) as x").where("(y * 7 + x * 5) % 11 > 2")
+    one = co.label_components(pixels, chunk=8).groupBy("image_id").agg(F.count_distinct("label").alias("n"))
+    assert len({r["n"] for r in one.collect()}) == 1 and one.count() == 5
+    seeded = pixels.withColumns({"seed": F.when((F.col("y") == 0) & (F.col("x") < 20), F.col("x")), "g": (F.col("x") % 3).cast("double"), "m": F.col("x") % 2})
+    whole, cut = (sorted(map(tuple, relax.flood(seeded, "seed", "g", chunk=c).select("image_id", "y", "x", "label", "cost").collect())) for c in (64, 8))
+    assert whole == cut and whole
+    whole, cut = (sorted(map(tuple, mo.open_close(seeded, "m", 1, "v", chunk=c).select("image_id", "y", "x", "v").collect())) for c in (64, 8))
+    assert whole == cut and whole
+    assert mo.squared_distances(seeded, "m").where("d2 = 1").count() > 0
+
+
+def test_lambdas_work_out_what_they_share_once(spark):
+    from tilewright.functions import geometry as g
+
+    rows = spark.range(3).selectExpr("transform(sequence(0, 4), i -> struct(double(i * id) as x, double(i) as y)) as p")
+    assert str(g.polyline_midpoint(F.col("p"))).count("arrays_zip") == 1
+    assert [tuple(r["m"]) for r in rows.select(g.polyline_midpoint(F.col("p")).alias("m")).collect()] == [(0.0, 2.0), (2.0, 2.0), (4.0, 2.0)]

@@ -126,29 +126,38 @@ def _segments(points: Column) -> Column:
                            hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]).alias("d")))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` worked out once however often it is used: inside lambdas Spark shares no expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def polyline_length(points: Column) -> Column:
     return F.aggregate(_segments(points), F.lit(0.0), lambda total, s: total + s["d"])
 
 
 def polyline_midpoint(points: Column) -> Column:
     """Point at half of the travelled length, two decimals."""
-    half = polyline_length(points) / 2.0
-    start = F.struct(F.lit(0.0).alias("done"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
-
-    def step(state, s):
-        reached = state["x"].isNull() & (state["done"] + s["d"] >= half) & (s["d"] > 1e-9)
-        part = (half - state["done"]) / s["d"]
-        return F.struct(
-            (state["done"] + s["d"]).alias("done"),
-            F.when(reached, round2(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * part)).otherwise(state["x"]).alias("x"),
-            F.when(reached, round2(s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * part)).otherwise(state["y"]).alias("y"))
-
-    found = F.aggregate(_segments(points), start, step)
-    first, last = F.get(points, F.lit(0)), F.element_at(points, -1)
-    pick = F.when(half * 2 <= 1e-9, first).when(found["x"].isNull(), last).otherwise(
-        F.struct(found["x"].alias("x"), found["y"].alias("y")))
+    def along(points: Column, segments: Column, half: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("done"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+
+        def step(state, s):
+            reached = state["x"].isNull() & (state["done"] + s["d"] >= half) & (s["d"] > 1e-9)
+            part = (half - state["done"]) / s["d"]
+            return F.struct(
+                (state["done"] + s["d"]).alias("done"),
+                F.when(reached, round2(s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * part)).otherwise(state["x"]).alias("x"),
+                F.when(reached, round2(s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * part)).otherwise(state["y"]).alias("y"))
+
+        first, last = F.get(points, F.lit(0)), F.element_at(points, -1)
+        return _once(F.aggregate(segments, start, step), lambda found: F.when(half * 2 <= 1e-9, first).when(found["x"].isNull(), last).otherwise(
+            F.struct(found["x"].alias("x"), found["y"].alias("y"))))
+
+    def placed(points: Column) -> Column:
+        return _once(_segments(points), lambda segments: _once(
+            F.aggregate(segments, F.lit(0.0), lambda total, s: total + s["d"]) / 2.0, lambda half: along(points, segments, half)))
+
     empty = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    return F.when(F.size(points) == 0, empty).otherwise(pick)
+    return F.when(F.size(points) == 0, empty).otherwise(_once(points, placed))
 
 
 def without_repeats(points: Column) -> Column:
@@ -208,17 +217,14 @@ def midpoint_curve(a: Column, middle: Column, tangent: Column, b: Column, steps:
     def controls(axis: str):
         total = (middle[axis] * 8.0 - a[axis] - b[axis]) / 3.0
         delta = tangent[axis] * (4.0 / 3.0) - (b[axis] - a[axis])
-        return (total - delta) / 2.0, (total + delta) / 2.0
-
-    handles = {axis: controls(axis) for axis in ("x", "y")}
+        return F.struct(a[axis].alias("a"), ((total - delta) / 2.0).alias("first"), ((total + delta) / 2.0).alias("second"), b[axis].alias("b"))
 
-    def at(t: Column, axis: str) -> Column:
-        first, second = handles[axis]
+    def at(t: Column, own: Column) -> Column:
         u = F.lit(1.0) - t
-        return round2(u * u * u * a[axis] + u * u * t * 3.0 * first + u * t * t * 3.0 * second + t * t * t * b[axis])
+        return round2(u * u * u * own["a"] + u * u * t * 3.0 * own["first"] + u * t * t * 3.0 * own["second"] + t * t * t * own["b"])
 
-    return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct(
-        at(i / float(steps), "x").alias("x"), at(i / float(steps), "y").alias("y")))
+    return _once(F.struct(controls("x").alias("x"), controls("y").alias("y")), lambda own: F.transform(
+        F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct(at(i / float(steps), own["x"]).alias("x"), at(i / float(steps), own["y"]).alias("y"))))
 
 
 def edge_tolerance(width: Column, height: Column, share: float = 0.015) -> Column:

@@ -17,23 +17,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.components import CHUNK
-from tilewright.operators.scale import cut_lineage, names, spread_for_python
+from tilewright.operators.scale import cut_lineage, in_groups, names
 
 FOUR = ((0, 1), (1, 0), (0, -1), (-1, 0))
 EIGHT = FOUR + ((1, 1), (1, -1), (-1, 1), (-1, -1))
 
 
-def _settle(y, x, own, cost, age, label, weight, offsets, phase: str):
-    """Relaxes one chunk to rest; ring pixels of neighbours only give.
+def _settle(keys, own, cost, age, label, weight, steps, phase: str):
+    """Relaxes chunks to rest; ring pixels of neighbours only give.  ``keys`` are places, ``steps`` lead from one to its neighbours'.
 
     Phases: ``cost`` (minimax, labels untouched), ``age`` (costs fixed), ``label`` (both fixed), ``steps`` (cost is steps, with labels).
     """
-    keys = (y.astype(np.int64) << 32) + x
     order = np.argsort(keys)
     sorted_keys = keys[order]
     links = []
-    for dy, dx in offsets:
-        wanted = keys + (dy << 32) + dx
+    for step in steps:
+        wanted = keys + step
         at = np.minimum(np.searchsorted(sorted_keys, wanted), len(keys) - 1)
         hit = (sorted_keys[at] == wanted) & own
         links.append((np.flatnonzero(hit), order[at[hit]]))
@@ -86,23 +85,28 @@ def spread_labels(pixels: DataFrame, seed: str, weight: str | None, by="image_id
     schema = key_schema + ", y int, x int, w double, fixed boolean, label bigint, cost double, age double, moved boolean"
 
     def settle_in(phase: str):
-        def settle(frame: pd.DataFrame) -> pd.DataFrame:
-            return settled(frame, phase)
+        def settle(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+            return settled(frame, group, phase)
 
         return settle
 
-    def settled(frame: pd.DataFrame, phase: str) -> pd.DataFrame:
-        y, x = frame["y"].to_numpy(), frame["x"].to_numpy()
-        own = frame["own"].to_numpy()
+    side = chunk + 4  # a chunk, its ring and an empty rim, so that chunks laid out one below the other do not touch
+    steps = [dy * side + dx for dy, dx in offsets]
+
+    def settled(frame: pd.DataFrame, group: np.ndarray, phase: str) -> pd.DataFrame:
+        y, x = frame["y"].to_numpy(dtype=np.int64), frame["x"].to_numpy(dtype=np.int64)
+        own = frame["own"].to_numpy(dtype=bool)
         cost, label = frame["cost"].to_numpy(dtype=float).copy(), frame["label"].to_numpy(dtype=np.int64).copy()
         age = frame["age"].to_numpy(dtype=float).copy()
         before = cost.copy(), age.copy(), label.copy()
-        free = own & ~frame["fixed"].to_numpy()
-        _settle(y, x, free, cost, age, label, frame["w"].to_numpy(dtype=float), offsets, phase)
+        free = own & ~frame["fixed"].to_numpy(dtype=bool)
+        place = (group * side + y - frame["_cy"].to_numpy() * chunk + 2) * side + x - frame["_cx"].to_numpy() * chunk + 2
+        _settle(place, free, cost, age, label, frame["w"].to_numpy(dtype=float), steps, phase)
+        ringed = (np.bincount(group, ~own) > 0)[group]  # without a ring no other chunk has a neighbour here
         rim = ((y % chunk) == 0) | ((y % chunk) == chunk - 1) | ((x % chunk) == 0) | ((x % chunk) == chunk - 1)
         out = frame[[*keys, "y", "x", "w", "fixed"]].copy()
         out["label"], out["cost"], out["age"] = label, cost, age
-        out["moved"] = rim & ((cost != before[0]) | (age != before[1]) | (label != before[2]))
+        out["moved"] = rim & ringed & ((cost != before[0]) | (age != before[1]) | (label != before[2]))
         return out[own]
 
     homes = F.array_distinct(F.array(*[
@@ -113,8 +117,7 @@ def spread_labels(pixels: DataFrame, seed: str, weight: str | None, by="image_id
             given = state.select(*keys, "y", "x", "w", "fixed", "label", "cost", "age", F.explode(homes).alias("home"))
             own = (F.col("home.cy") == F.floor(F.col("y") / chunk)) & (F.col("home.cx") == F.floor(F.col("x") / chunk))
             given = given.withColumns({"own": own, "_cy": F.col("home.cy"), "_cx": F.col("home.cx")}).drop("home")
-            groups = spread_for_python(given, *keys, "_cy", "_cx").groupBy(*keys, "_cy", "_cx")
-            state = cut_lineage(groups.applyInPandas(settle_in(phase), schema))
+            state = cut_lineage(in_groups(given, [*keys, "_cy", "_cx"], settle_in(phase), schema))
             if state.where("moved").isEmpty():
                 break
     return state.where(F.col("label") != none).select(*keys, "y", "x", "label", "cost", "fixed")
