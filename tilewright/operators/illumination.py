@@ -204,10 +204,12 @@ def equalise(pixels: DataFrame, value: str, name: str, grid: int = 8, clip: floa
     level = F.transform("bins", lambda n, i: (
         F.least(n, F.col("_limit")) + each
         + F.when((rest > 0) & (i % stepping == 0) & (F.floor(i / stepping) < rest), 1).otherwise(0)).cast("bigint"))
-    cumulative = F.aggregate(
-        "level", F.struct(F.lit(0).cast("bigint").alias("t"), F.array().cast("array<bigint>").alias("a")),
-        lambda s, n: F.struct((s["t"] + n).alias("t"), F.concat(s["a"], F.array(s["t"] + n)).alias("a")))["a"]
-    tables = clipped.withColumn("level", level).withColumn("cum", cumulative).select(
+
+    @F.pandas_udf("array<bigint>")
+    def cumulative(levels: pd.Series) -> pd.Series:
+        return pd.Series(list(np.cumsum(np.stack(levels.to_list()), axis=1))) if len(levels) else pd.Series([], dtype=object)
+
+    tables = clipped.withColumn("level", level).withColumn("cum", cumulative("level")).select(
         image, F.col("_cy").alias("ty"), F.col("_cx").alias("tx"),
         F.transform("cum", lambda c: F.least(F.lit(255.0), F.rint(c * 255.0 / F.col("area")))).alias("lut"))
     place = lambda p, n: (F.col(p) + 0.5) * grid / F.col(n) - 0.5
