@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 
 
 @dataclass(frozen=True)
@@ -58,37 +58,27 @@ class Piece:
 
 
 class Encoder:
-    """Token ids of texts.  The tokenizer never joins across white space, so the ids' bytes are kept by word.
-
-    Two generations of at most ``KEPT_WORDS`` and one text's words: a full one takes the place of the one before, and words used again come over.
-    """
+    """Token ids of texts.  The tokenizer never joins across white space, so the ids' bytes are kept by word."""
 
     def __init__(self, name: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.end, self.known, self.before = array("I", [end_id]).tobytes(), {}, {}
+        self.end, self.known = array("I", [end_id]).tobytes(), {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().split()
         new = set(words).difference(self.known)
         if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, self.before = {}, self.known
+            self.known.clear()
             new = set(words)
         if new:
-            self._learn(new.difference(self._again(new)))
+            self._learn(new)
         return np.frombuffer(b"".join([*map(self.known.__getitem__, words), self.end]), dtype="<u4")
 
-    def _again(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Those of the words that the generation before knows; they come over."""
-        found = {w: self.before[w] for w in new if w in self.before}
-        self.known.update(found)
-        return found
-
     def _learn(self, new: set[bytes]) -> None:
         """The tokenizer lower-cases and parts letters from marks, so words share the ids of their lower-case stems."""
         parts = {w: stem_and_marks(w.lower()) for w in new}
-        wanted = {part for pair in parts.values() for part in pair}.difference(self.known)
-        todo = list(wanted.difference(self._again(wanted)))
+        todo = list({part for pair in parts.values() for part in pair}.difference(self.known))
         found = self.tokenizer.encode_batch_fast([p.decode() for p in todo], add_special_tokens=False)
         self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(todo, found))
         self.known.update((w, self.known[stem] + self.known[marks]) for w, (stem, marks) in parts.items())
