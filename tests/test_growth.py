@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from checks.q_segments import mask
+from checks.q_segments import mask, segments
 from checks.views import Tables
 from tilewright.operators import scale
 from tilewright.operators import segments as sg
@@ -143,3 +143,18 @@ def test_lambdas_work_out_what_they_share_once(spark):
     rows = spark.range(3).selectExpr("transform(sequence(0, 4), i -> struct(double(i * id) as x, double(i) as y)) as p")
     assert str(g.polyline_midpoint(F.col("p"))).count("arrays_zip") == 1
     assert [tuple(r["m"]) for r in rows.select(g.polyline_midpoint(F.col("p")).alias("m")).collect()] == [(0.0, 2.0), (2.0, 2.0), (4.0, 2.0)]
+
+
+def test_scores_of_clusters_are_those_of_all_sets_times_all_segments(spark):
+    import inspect
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    rows, size = segments(tables).where("image_id < 2"), (F.lit(1300.0), F.lit(1000.0))
+    label = lambda p, size, samples: (np.arange(len(p)) * samples) % (size + 1) - 1
+    variants = sg.feature_variants(sg.segment_features(rows, *size))
+    long = sg.candidate_counts(sg.score_candidates(sg.density_sweep(variants, label), rows, mask(tables), *size))
+    taken = sg.taken_clusters(sg.swept_sets(variants, label), rows, mask(tables), *size)
+    short = sg.taken_counts(taken, rows)
+    found = [sorted(map(tuple, t.select(*long.columns).collect())) for t in (long, short)]
+    assert found[0] == found[1] and len(found[0]) > 50
+    assert "score_candidates" not in inspect.getsource(sg.select_segments)

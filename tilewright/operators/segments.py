@@ -225,9 +225,18 @@ def _members(cluster: int, leaving: dict, children: dict) -> list:
 def density_sweep(variants: DataFrame, cluster: ClusterFunction = density_labels, image: str = "image_id", segment: str = "segment_id") -> DataFrame:
     """Cluster label of every segment under every parameter set.
 
+    Result: image, segment, variant, sweep_order, min_cluster_size, min_samples, label.
+    """
+    kept = [image, "variant", "sweep_order", "min_cluster_size", "min_samples"]
+    return swept_sets(variants, cluster, image, segment).select(*kept, F.explode(F.arrays_zip("ids", "labels")).alias("_z")).select(
+        *kept, F.col("_z.ids").alias(segment), F.col("_z.labels").alias("label"))
+
+
+def swept_sets(variants: DataFrame, cluster: ClusterFunction = density_labels, image: str = "image_id", segment: str = "segment_id") -> DataFrame:
+    """As :func:`density_sweep`, one row a parameter set: ``ids`` in ascending order and their ``labels``.
+
     One task row per (image, variant); an image's segments are bounded by the
     working size images are shrunk to (tens of pixels per segment at least).
-    Result: image, segment, variant, sweep_order, min_cluster_size, min_samples, label.
     """
     types = {f.name: f.dataType.simpleString() for f in variants.schema.fields}
     gathered = variants.groupBy(image, "variant", "variant_order").agg(
@@ -255,9 +264,7 @@ def density_sweep(variants: DataFrame, cluster: ClusterFunction = density_labels
             yield pd.DataFrame(out, columns=[image, "variant", "variant_order", "ids", "labels", "set_order", "min_cluster_size", "min_samples"])
 
     swept = spread_for_python(packed, image, "variant").mapInPandas(run, schema)
-    return swept.withColumn("sweep_order", F.col("variant_order") * 1000 + F.col("set_order")).select(
-        image, "variant", "sweep_order", "min_cluster_size", "min_samples", F.explode(F.arrays_zip("ids", "labels")).alias("_z")).select(
-        image, "variant", "sweep_order", "min_cluster_size", "min_samples", F.col("_z.ids").alias(segment), F.col("_z.labels").alias("label"))
+    return swept.withColumn("sweep_order", F.col("variant_order") * 1000 + F.col("set_order")).drop("variant_order", "set_order")
 
 
 def cluster_centres(assigned: DataFrame, by) -> DataFrame:
@@ -319,6 +326,40 @@ def candidate_counts(selection: DataFrame, by=("sweep_order",), image: str = "im
         (F.first("n_clusters") + F.count_if("supplemental")).alias("selected_clusters"))
 
 
+def taken_clusters(
+    sets: DataFrame, segments: DataFrame, mask: DataFrame, width: Column, height: Column, image: str = "image_id", segment: str = "segment_id",
+) -> DataFrame:
+    """Clusters of :func:`swept_sets` whose centre lies inside the mask, with the numbers of segments that scoring asks for.
+
+    Labels meet their segments as arrays of one image and are merged to clusters in
+    the same task, so no table of all sets times all segments is shuffled or stored.
+    """
+    facts = F.struct(segment, "area", "cx", "cy", "inside", "intersects", width.alias("_w"), height.alias("_h"))
+    rows = segments.groupBy(image).agg(F.array_sort(F.collect_list(facts)).alias("rows"))
+    met = sorted_join(sets.select(image, "sweep_order", "labels"), rows, image)
+    single = met.select(image, "sweep_order", F.explode(F.arrays_zip("labels", "rows")).alias("_z")).select(
+        image, "sweep_order", F.col("_z.labels").alias("label"), "_z.rows.*").where(F.col("label") >= 0)
+    weight = F.sum(F.col("area").cast("double"))
+    clusters = single.groupBy(image, "sweep_order", "label", "_w", "_h").agg(
+        (F.sum(F.col("cx") * F.col("area")) / weight).alias("cx"), (F.sum(F.col("cy") * F.col("area")) / weight).alias("cy"), F.count(F.lit(1)).alias("n"),
+        F.count_if("inside").alias("n_inside"), F.count_if(~F.col("intersects")).alias("n_outside"),
+        F.count_if(F.col("inside") & ~F.col("intersects")).alias("n_inside_outside"))
+    return centres_in_mask(clusters, mask, F.col("_w"), F.col("_h"), image).drop("_w", "_h", "cx", "cy")
+
+
+def taken_counts(taken: DataFrame, segments: DataFrame, image: str = "image_id") -> DataFrame:
+    """The table of :func:`candidate_counts`, from the taken clusters and the required segments of an image."""
+    sums = taken.groupBy(image, "sweep_order").agg(
+        F.count(F.lit(1)).alias("_k"), *[F.sum(c).alias(f"_{c}") for c in ("n", "n_inside", "n_outside", "n_inside_outside")])
+    required = segments.groupBy(image).agg(
+        F.count_if("inside").alias("required"), F.count_if(F.col("inside") & ~F.col("intersects")).alias("_required_outside"))
+    missed = F.col("required") - F.col("_n_inside")
+    return sorted_join(sums, required, image).select(
+        image, "sweep_order", (F.col("_n") + missed).alias("selected_count"), missed.alias("supplemental_count"),
+        (F.col("_n_outside") + F.col("_required_outside") - F.col("_n_inside_outside")).alias("outside_selected"), "required",
+        (F.col("_k") + missed).alias("selected_clusters"))
+
+
 def best_parameters(counts: DataFrame, image: str = "image_id") -> DataFrame:
     """Winning parameter set: fewest supplemental, then outside, then selected, most clusters, first.
 
@@ -362,10 +403,14 @@ def select_segments(
     needed = segments.where("inside").select(image).distinct()
     active = attach(segments, needed, image)
     features = feature_variants(segment_features(active, width, height, image))
-    labels = cut_lineage(density_sweep(features, cluster, image, segment))
-    selection = cut_lineage(score_candidates(labels, active, mask, width, height, image=image, segment=segment))
-    best = best_parameters(candidate_counts(selection, image=image), image).select(image, "sweep_order")
-    won = sorted_join(selection, best, [image, "sweep_order"]).where("selected").select(image, segment, F.lit(False).alias("fallback"))
+    sets = cut_lineage(swept_sets(features, cluster, image, segment))
+    taken = cut_lineage(taken_clusters(sets, active, mask, width, height, image, segment))
+    best = cut_lineage(best_parameters(taken_counts(taken, active, image), image).select(image, "sweep_order"))
+    won_labels = sorted_join(sets, best, [image, "sweep_order"]).select(image, "sweep_order", F.explode(F.arrays_zip("ids", "labels")).alias("_z")).select(
+        image, "sweep_order", F.col("_z.ids").alias(segment), F.col("_z.labels").alias("label"))
+    hits = taken.select(image, "sweep_order", "label", F.lit(True).alias("_in"))
+    flagged = sorted_join(sorted_join(won_labels, hits, [image, "sweep_order", "label"], "left"), active.select(image, segment, "inside"), [image, segment])
+    won = flagged.where(F.coalesce("_in", F.lit(False)) | F.col("inside")).select(image, segment, F.lit(False).alias("fallback"))
     lost = sorted_join(active.where("inside"), best.select(image), image, "left_anti").select(image, segment, F.lit(True).alias("fallback"))
     chosen = sorted_join(active, won.unionByName(lost), [image, segment])
     return drop_large_outside(chosen, image)
