@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.q_segments import mask, segments
 from checks.views import Tables
-from tilewright.operators import scale
+from tilewright.operators import history, scale
 from tilewright.operators import segments as sg
 from tilewright.operators import sketch as sk
 from tilewright.streaming import jobs
@@ -158,3 +158,29 @@ def test_scores_of_clusters_are_those_of_all_sets_times_all_segments(spark):
     found = [sorted(map(tuple, t.select(*long.columns).collect())) for t in (long, short)]
     assert found[0] == found[1] and len(found[0]) > 50
     assert "score_candidates" not in inspect.getsource(sg.select_segments)
+
+
+def test_pairs_of_scores_are_followed_inside_bins_before_any_pointer_is_doubled(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(run, e, a, b) for run, n in ((1, 1), (2, 60), (3, 700), (4, 2500)) for e, (a, b) in enumerate(
+        zip(np.cumsum(rng.normal(0.002, 0.02, n)).round(3).tolist(), rng.random(n).round(2).tolist()), 1)]
+    rows = [(run, e, None if (run, e) == (2, 7) else a, None if e == 9 else b) for run, e, a, b in rows]
+    table = spark.createDataFrame(rows, "run long, epoch long, f double, g double")
+    expected = {}
+    for run in (1, 2, 3, 4):
+        mine = [r for r in rows if r[0] == run]
+        at, (_, best, a, b) = 0, mine[0]
+        for _, e, x, y in mine[1:]:
+            if e - best > 40:
+                break
+            if None not in (x, a) and (x >= a + 0.05 or abs(x - a) < 0.05 and None not in (y, b) and y > b):
+                best, a, b = e, x, y
+        expected[run] = (best, a, b)
+    kept, cuts = history.cut_lineage, []
+    monkeypatch.setattr(history, "cut_lineage", lambda df: cuts.append(1) or kept(df))
+    for size, most in ((1024, None), (100, None), (4096, 1)):
+        cuts.clear()
+        monkeypatch.setattr(history, "EPOCHS_PER_BIN", size)
+        out = history.early_stopping_pairs(table, "run", "f", "g", 0.05, 40).collect()
+        assert {r["run"]: (r["best_epoch"], r["best_first"], r["best_second"]) for r in out} == expected
+        assert most is None or len(cuts) == most

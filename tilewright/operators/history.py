@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.operators.scale import cut_lineage, names, running_best
+from tilewright.operators.scale import cut_lineage, in_groups, names, running_best
 
 EPOCHS_PER_BIN = 1024
 
@@ -55,39 +57,60 @@ def early_stopping_pairs(
 
     The accepted best may drop within ``min_delta``, so records do not help.
     Each epoch instead points to the next epoch it would accept, found among
-    the following ``patience`` epochs, and pointers are doubled until they
-    rest: log2(accepted epochs) rounds keyed by (run, epoch).
+    the following ``patience`` epochs.  Inside a bin of epochs the pointers are
+    followed to their end; only the epochs a bin can be entered by leave it, and
+    their pointers are doubled until they rest: log2(bins) rounds, none if no
+    run leaves its first bin.
     """
     keys = names(by)
-    rows = history.select(*keys, F.col(epoch).cast("int").alias("e"), F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b"))
     size = max(EPOCHS_PER_BIN, patience)
+    types = {f.name: f.dataType.simpleString() for f in history.schema.fields}
+    a, b = F.col(first).cast("double"), F.col(second).cast("double")
+    rows = history.select(*keys, F.col(epoch).cast("int").alias("e"), a.alias("a"), b.alias("b"), a.isNull().alias("no_a"), b.isNull().alias("no_b"))
     # A bin also receives the first ``patience`` epochs of its successor.
     homes = F.when(F.col("e") % size < patience, F.array(F.floor(F.col("e") / size), F.floor(F.col("e") / size) - 1)).otherwise(
         F.array(F.floor(F.col("e") / size)))
-    ahead = Window.partitionBy(*keys, "bin").orderBy("e").rangeBetween(1, patience)
-    following = rows.withColumn("bin", F.explode(homes)).withColumn("next", F.collect_list(F.struct("e", "a", "b")).over(ahead))
-    own = following.where(F.col("bin") == F.floor(F.col("e") / size))
-
-    def accepts(n) -> Column:
-        close = F.abs(n["a"] - F.col("a")) < min_delta
-        return (n["a"] >= F.col("a") + F.lit(float(min_delta))) | (close & (n["b"] > F.col("b")))
-
-    good = F.filter("next", accepts)
-    pointers = own.select(*keys, "e", F.coalesce(F.array_min(F.transform(good, lambda n: n["e"])), F.col("e")).alias("to"))
-    pointers = cut_lineage(pointers)
-    while True:
-        jumped = pointers.select(*keys, F.col("e").alias("to"), F.col("to").alias("far"))
-        doubled = pointers.join(jumped, [*keys, "to"]).select(*keys, "e", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved"))
-        doubled = cut_lineage(doubled)
-        moved = doubled.where("moved").limit(1).count()
-        pointers = doubled.drop("moved")
-        if not moved:
-            break
-    ends = rows.groupBy(*keys).agg(F.max("e").alias("last"), F.min("e").alias("first"))
+    below = lambda x, y: (x < y) | (np.isnan(y) & ~np.isnan(x))  # noqa: E731  NaN is the largest number, as in SQL
+
+    def follow(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((frame["e"].to_numpy(), group))
+        frame, group = frame.iloc[order].reset_index(drop=True), group[order]
+        e, a, b, no_a, no_b = (frame[c].to_numpy() for c in ("e", "a", "b", "no_a", "no_b"))
+        own = e // size == frame["bin"].to_numpy()
+        at = np.arange(len(e))
+        to = at.copy()
+        for gap in range(1, min(patience, len(e) - 1) + 1):
+            old, new = slice(None, -gap), slice(gap, None)
+            near = (group[new] == group[old]) & (e[new] - e[old] <= patience) & ~no_a[new] & ~no_a[old]
+            with np.errstate(invalid="ignore"):
+                close = np.abs(a[new] - a[old]) < min_delta
+            better = ~below(a[new], a[old] + min_delta) | (close & below(b[old], b[new]) & ~no_b[new] & ~no_b[old])
+            to[old] = np.where(own[old] & (to[old] == at[old]) & near & better, at[new], to[old])
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        lead = own & np.r_[True, (group[1:] != group[:-1]) | ~own[:-1]]
+        last = np.zeros(int(group[-1]) + 1, dtype=e.dtype)
+        np.maximum.at(last, group[own], e[own])
+        out = frame.loc[lead | own & (e % size < patience), keys + ["e"]].copy()
+        kept = to[out.index]
+        return out.assign(to=e[kept], a=a[kept], b=b[kept], no_a=no_a[kept], no_b=no_b[kept], last=last[group[out.index]])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", e int, to int, a double, b double, no_a boolean, no_b boolean, last int"
+    pointers = cut_lineage(in_groups(rows.withColumn("bin", F.explode(homes)), [*keys, "bin"], follow, schema))
+    score = lambda c: F.when(~F.col(f"no_{c}"), F.coalesce(c, F.lit(float("nan")))).alias(c)
+    ends = pointers.groupBy(*keys).agg(F.max("last").alias("last"), F.min("e").alias("first"))
+    pointers = pointers.select(*keys, "e", "to", score("a"), score("b"))
+    moved = not pointers.where(F.floor(F.col("e") / size) != F.floor(F.col("to") / size)).isEmpty()
+    while moved:
+        jumped = pointers.select(*keys, F.col("e").alias("to"), F.struct("to", "a", "b").alias("far"))
+        found = pointers.withColumn("near", F.struct("to", "a", "b")).drop("a", "b").join(jumped, [*keys, "to"], "left")
+        doubled = cut_lineage(found.select(
+            *keys, "e", F.coalesce("far", "near").alias("near"), F.coalesce(F.col("far.to") != F.col("to"), F.lit(False)).alias("moved")))
+        moved = not doubled.where("moved").isEmpty()
+        pointers = doubled.select(*keys, "e", "near.*")
     best = pointers.join(ends, keys).where(F.col("e") == F.col("first"))
-    scores = rows.select(*keys, F.col("e").alias("to"), "a", "b")
     stopped = F.col("last") - F.col("to") >= patience
-    return best.join(scores, [*keys, "to"]).select(
+    return best.select(
         *keys, F.col("to").alias("best_epoch"), F.col("a").alias("best_first"), F.col("b").alias("best_second"),
         F.when(stopped, F.col("to") + patience).otherwise(F.col("last")).alias("completed_epochs"),
         F.when(stopped, "early_stopping").otherwise("max_epochs").alias("stopped_reason"))
