@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import check
 from checks.views import Tables
 from tilewright.operators import sketch as sk
+from tilewright.operators.scale import spread_for_python
 
 KEY = ["image_id", "y", "x"]
 
@@ -18,7 +19,9 @@ def drawn(tables: Tables):
     length, tail = (9 + k % 8).cast("int"), (2 + k % 6).cast("int")
     stroke = F.transform(F.sequence(F.lit(0), length), lambda i: F.struct(y0.alias("y"), (x0 + i).alias("x")))
     hang = F.transform(F.sequence(F.lit(1), tail), lambda i: F.struct((y0 + i).alias("y"), (x0 + 5).alias("x")))
-    return tables.points().select("image_id", F.explode(F.concat(stroke, hang)).alias("p")).select("image_id", "p.y", "p.x").distinct()
+    # Dealt by image before strokes become pixels: a small file is one task, and the pixels of all its rows would be merged there.
+    points = spread_for_python(tables.points(), "image_id")
+    return points.select("image_id", F.explode(F.concat(stroke, hang)).alias("p")).select("image_id", "p.y", "p.x").distinct()
 
 
 @check("m16_pruned_skeletons")

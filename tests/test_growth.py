@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.q_segments import mask, segments
+from checks.q_sketch import drawn
 from checks.views import Tables
 from tilewright.operators import history, scale
 from tilewright.operators import segments as sg
@@ -184,3 +185,8 @@ def test_pairs_of_scores_are_followed_inside_bins_before_any_pointer_is_doubled(
         out = history.early_stopping_pairs(table, "run", "f", "g", 0.05, 40).collect()
         assert {r["run"]: (r["best_epoch"], r["best_first"], r["best_second"]) for r in out} == expected
         assert most is None or len(cuts) == most
+
+
+def test_strokes_are_dealt_to_all_tasks_before_they_become_pixels(spark):
+    plan = _plan(drawn(Tables(spark, "/root/testdata/sf0.001")))
+    assert "Exchange" in plan[plan.index("Generate"):] and plan.count("Exchange hashpartitioning") == 1
