@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.q_segments import mask, segments
 from checks.q_sketch import drawn
 from checks.views import Tables
-from tilewright.operators import history, scale
+from tilewright.operators import history, illumination, scale
 from tilewright.operators import segments as sg
 from tilewright.operators import sketch as sk
 from tilewright.streaming import jobs
@@ -190,3 +190,30 @@ def test_pairs_of_scores_are_followed_inside_bins_before_any_pointer_is_doubled(
 def test_strokes_are_dealt_to_all_tasks_before_they_become_pixels(spark):
     plan = _plan(drawn(Tables(spark, "/root/testdata/sf0.001")))
     assert "Exchange" in plan[plan.index("Generate"):] and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_edge_aware_means_of_many_images_take_few_calls_and_no_padded_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    images = {n: rng.integers(0, 100, (h, w)).astype(float) for n, (h, w) in enumerate([(1, 1), (1, 6), (3, 4), (9, 14), (9, 14), (30, 11)])}
+    gone = {(3, 2, 5), (5, 0, 0), (5, 20, 10)}
+    rows = [(n, y, x, *a.shape, float(a[y, x])) for n, a in images.items() for y in range(a.shape[0]) for x in range(a.shape[1]) if (n, y, x) not in gone]
+    table = spark.createDataFrame(rows, "image_id long, y int, x int, h int, w int, v double")
+    turned = lambda p, n: 0 if n == 1 else min(p % (2 * (n - 1)), 2 * (n - 1) - p % (2 * (n - 1)))
+    expected = {}
+    for n, y, x, h, w, v in rows:
+        total = weight = 0.0
+        for dy in range(-5, 6):
+            for dx in range(-5, 6):
+                qy, qx = turned(y + dy, h), turned(x + dx, w)
+                if dy * dy + dx * dx <= 25 and (n, qy, qx) not in gone:
+                    q = images[n][qy, qx]
+                    share = np.exp(-(dy * dy + dx * dx) / 50 - (q - v) ** 2 / 800)
+                    total, weight = total + share * q, weight + share
+        expected[n, y, x] = total / weight
+    sent = []
+    kept = illumination.in_groups
+    monkeypatch.setattr(illumination, "in_groups", lambda rows, *a: sent.append(rows.count()) or kept(rows, *a))
+    for chunk in (256, 8):
+        out = {(r["image_id"], r["y"], r["x"]): r["s"] for r in illumination.bilateral(table, "v", 5, 20.0, 5.0, "s", chunk=chunk).collect()}
+        assert out.keys() == expected.keys() and all(abs(out[k] - v) < 1e-9 for k, v in expected.items())
+    assert sent[0] == len(rows)

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.components import CHUNK, drop_small
 from tilewright.operators.morphology import dilate, disk, erode, robust_normalise, sweep
-from tilewright.operators.scale import attach, attach_measured, cut_lineage, image_percentiles, names, spread_for_python
-from tilewright.operators.tiling import reflect_pad
+from tilewright.operators.scale import attach, attach_measured, cut_lineage, image_percentiles, in_groups, names, sorted_join
 
 
 def _design(y: Column, x: Column, h: Column, w: Column) -> list[Column]:
@@ -80,46 +79,70 @@ def bilateral(pixels: DataFrame, value: str, radius: int, sigma_color: float, si
     """Edge-aware mean over a disk with reflected borders.
 
     Pixels go to their own chunk and, as a halo of ``radius``, to its neighbours;
-    one bounded block per task group is filtered with numpy.
+    borders are reflected inside the block, and blocks of one shape are filtered together.
     """
-    side = F.lit(radius)
-    padded = reflect_pad(pixels.select(image, "y", "x", "h", "w", F.col(value).cast("double").alias("v")), side, side, side, side)
-    at = {"y": F.col("y") - radius, "x": F.col("x") - radius}
-    padded = padded.withColumns(at)
+    types = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
 
     def homes(position: str, size: str) -> Column:
-        """Chunks of the image itself whose halo holds the pixel."""
+        """Chunks of the image whose halo holds the pixel; what a border reflects lies inside it too."""
         first = F.greatest(F.floor((F.col(position) - radius) / chunk), F.lit(0))
-        last = F.least(F.floor((F.col(position) + radius) / chunk), F.floor((F.col(size) - 2 * radius - 1) / chunk))
+        last = F.least(F.floor((F.col(position) + radius) / chunk), F.floor((F.col(size) - 1) / chunk))
         return F.when(first <= last, F.sequence(first, last))
 
-    spread = padded.select(image, "y", "x", "v", "w", F.explode(homes("y", "h")).alias("_cy")).select(
-        image, "y", "x", "v", "_cy", F.explode(homes("x", "w")).alias("_cx"))
-    types = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
+    spread = pixels.select(image, "y", "x", "h", "w", F.col(value).cast("double").alias("v"), F.explode(homes("y", "h")).alias("_cy")).select(
+        image, "y", "x", "h", "w", "v", "_cy", F.explode(homes("x", "w")).alias("_cx"))
     offsets = [(dy, dx) for dy, half in disk(radius).items() for dx in range(-half, half + 1)]
 
-    def smooth(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(key[1]) * chunk, int(key[2]) * chunk
-        y = frame["y"].to_numpy() - top + radius
-        x = frame["x"].to_numpy() - left + radius
-        side = min(chunk, int(max(y.max(), x.max())) + 1 - radius)
-        block = np.full((side + 2 * radius, side + 2 * radius), np.nan)
-        held = (y < side + 2 * radius) & (x < side + 2 * radius)
-        frame, y, x = frame[held], y[held], x[held]
-        block[y, x] = frame["v"].to_numpy()
-        core = block[radius:-radius, radius:-radius]
-        total, weight = np.zeros_like(core), np.zeros_like(core)
+    def mirrored(start: int, side: int, size: int) -> np.ndarray:
+        """Place inside the block that each of its positions is read from."""
+        turn = max(2 * (size - 1), 1)
+        at = np.arange(start - radius, start + side + radius) % turn
+        return np.minimum(at, turn - at if size > 1 else 0) - (start - radius)
+
+    def filtered(block: np.ndarray) -> np.ndarray:
+        """The mean at every position inside the rims; NaN where nothing is."""
+        there = np.isfinite(block)
+        whole, held = there.all(), np.where(there, block, 0.0)
+        high, wide = block.shape[1] - 2 * radius, block.shape[2] - 2 * radius
+        core = np.ascontiguousarray(held[:, radius:radius + high, radius:radius + wide])
+        total, weight, w = np.zeros_like(core), np.zeros_like(core), np.empty_like(core)
         for dy, dx in offsets:
-            moved = block[radius + dy:radius + dy + side, radius + dx:radius + dx + side]
-            w = np.exp(-(dy * dy + dx * dx) / (2 * sigma_space**2) - (moved - core) ** 2 / (2 * sigma_color**2))
-            usable = np.isfinite(w)
-            total[usable] += (w * moved)[usable]
-            weight[usable] += w[usable]
-        ys, xs = np.nonzero(np.isfinite(core) & (weight > 0))
-        return pd.DataFrame({image: key[0], "y": (ys + top).astype("int32"), "x": (xs + left).astype("int32"), name: total[ys, xs] / weight[ys, xs]})
-
-    smoothed = spread_for_python(spread, image, "_cy", "_cx").groupBy(image, "_cy", "_cx").applyInPandas(smooth, f"`{image}` {types[image]}, y int, x int, `{name}` double")
-    return pixels.join(smoothed, [image, "y", "x"])
+            part = np.s_[:, radius + dy:radius + dy + high, radius + dx:radius + dx + wide]
+            moved = held[part]
+            np.subtract(moved, core, out=w)
+            w *= w
+            w /= 2 * sigma_color**2
+            np.exp(np.subtract(-(dy * dy + dx * dx) / (2 * sigma_space**2), w, out=w), out=w)
+            if not whole:
+                w *= there[part]
+            weight += w
+            w *= moved
+            total += w
+        usable = there[:, radius:radius + high, radius:radius + wide] & (weight > 0)
+        return np.where(usable, total / np.where(usable, weight, 1.0), np.nan)
+
+    def smooth(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        _, firsts = np.unique(group, return_index=True)
+        kinds, kind = np.unique(frame[["h", "w", "_cy", "_cx"]].to_numpy(dtype=np.int64)[firsts], axis=0, return_inverse=True)
+        kind, ids, out = kind.reshape(-1), frame[image].to_numpy()[firsts], []
+        y, x, v = (frame[c].to_numpy() for c in ("y", "x", "v"))
+        for number, (h, w, cy, cx) in enumerate(kinds.tolist()):
+            top, left = cy * chunk, cx * chunk
+            high, wide = min(chunk, h - top), min(chunk, w - left)
+            members, most = np.flatnonzero(kind == number), max(1, 32768 // (high * wide))
+            for some in np.split(members, range(most, len(members), most)):
+                place = np.full(len(kind), -1)
+                place[some] = np.arange(len(some))
+                mine = np.flatnonzero(place[group] >= 0)
+                block = np.full((len(some), high + 2 * radius, wide + 2 * radius), np.nan)
+                block[place[group[mine]], y[mine] - top + radius, x[mine] - left + radius] = v[mine]
+                mean = filtered(block[:, mirrored(top, high, h)][:, :, mirrored(left, wide, w)])
+                at, ys, xs = np.nonzero(np.isfinite(mean))
+                out.append(pd.DataFrame({image: ids[some][at], "y": (ys + top).astype("int32"), "x": (xs + left).astype("int32"), name: mean[at, ys, xs]}))
+        return pd.concat(out, ignore_index=True)
+
+    smoothed = in_groups(spread, [image, "_cy", "_cx"], smooth, f"`{image}` {types[image]}, y int, x int, `{name}` double")
+    return sorted_join(pixels, smoothed, [image, "y", "x"])
 
 
 def shrink_lab(pixels: DataFrame, scale: float, image: str = "image_id") -> DataFrame:
