@@ -4,10 +4,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from checks.q_raster import lab_pixels
 from checks.q_segments import mask, segments
 from checks.q_sketch import drawn
 from checks.views import Tables
-from tilewright.operators import history, illumination, scale
+from tilewright.operators import history, illumination, scale, tiling
 from tilewright.operators import segments as sg
 from tilewright.operators import sketch as sk
 from tilewright.streaming import jobs
@@ -217,3 +218,9 @@ def test_edge_aware_means_of_many_images_take_few_calls_and_no_padded_rows(spark
         out = {(r["image_id"], r["y"], r["x"]): r["s"] for r in illumination.bilateral(table, "v", 5, 20.0, 5.0, "s", chunk=chunk).collect()}
         assert out.keys() == expected.keys() and all(abs(out[k] - v) < 1e-9 for k, v in expected.items())
     assert sent[0] == len(rows)
+
+
+def test_a_salt_is_not_asked_for_below_the_projections_it_is_made_of(spark):
+    rows = lab_pixels(Tables(spark, "/root/testdata/sf0.001"))
+    plan = _plan(tiling.with_size(rows))
+    assert "xxhash64" in plan and not any("isnotnull" in line and "xxhash64" in line for line in plan.splitlines())
