@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from tilewright.llm import passages
 from tilewright.llm.passages import Repeats
@@ -79,3 +80,24 @@ def test_least_is_the_last_of_equal_hashes(monkeypatch):
     for reach in (1, 2, 5, 28):
         wanted = [i + reach - 1 - int(hashes[i:i + reach][::-1].argmin()) for i in range(len(hashes) - reach + 1)]
         assert passages._least(hashes, reach).tolist() == wanted
+
+
+def test_segments_pass_only_the_phrases_of_their_anchor(monkeypatch):
+    calls = []
+    kept = passages._compiled
+    monkeypatch.setattr(passages, "_compiled", lambda known, size: calls.append(known) or kept(known, size))
+    left = pd.DataFrame({"segment_1": [1, 2, 3], "segment_2": 0, "anchor": [7, 7, 9], "words": ["a b c d", "c d e", "x y z"], "mask": [2, 1, 1]})
+    right = pd.DataFrame({
+        "segment_1": [4, 5, 6, 7, 8], "segment_2": 0, "anchor": [7, 9, 7, 5, 7], "words": ["q b c d e", "w x y z", "b c q", "x y z", "b c d c d e"]})
+    found = passages._streamed(left, right, 3)
+    assert dict(zip(found["segment_1"], found["mask"])) == {4: 6, 5: 2, 6: 0, 8: 9}
+    assert calls == [[["a b c d", 2], ["c d e", 1]], [["x y z", 1]]]
+
+
+def test_words_are_coded_together_and_by_their_bytes_alone(monkeypatch):
+    long = [b"a" * n for n in (1, 63, 64, 65, 66, 5000)]
+    words = [b"a", b"b", b"ab", b"ba", *long, "\u00e4\u00a0x".encode(), b"b", *long, b"\x00", b"\x00\x00"] * 3
+    whole = passages._Codes()(words).tolist()
+    monkeypatch.setattr(passages._Codes, "at_once", 5)
+    assert passages._Codes()(words).tolist() == whole
+    assert len(set(zip(words, whole))) == len(set(words)) == len(set(whole))

@@ -8,9 +8,10 @@ anchor occurs once in all texts cannot recur.  The consecutive windows with one
 Confirmation.  Windows of distinct segments are counted by 128-bit hash, weighted by how often the segment occurs.
 A window counted twice is a phrase, kept once.
 
-Location.  Phrases are dealt to shards by anchor and compiled to Aho-Corasick automata over words; the distinct segments
-of all texts are streamed through the automaton of their shard, which finds every place of every phrase.  A shard with
-too many phrases is cut into several automata, one with too many segments into several streams, by counted sizes.
+Location.  Phrases are dealt to shards by anchor and compiled to Aho-Corasick automata over words, one an anchor; the
+distinct segments of all texts are streamed through the automaton of their anchor, which finds every place of every
+phrase, since equal windows have equal anchors.  A shard with too many phrases is cut into several, one with too many
+segments into several streams, by counted sizes.
 
 Equal texts are worked on once; a text that occurs twice and is long enough goes as a whole.  No step holds pairs of
 texts, and what is gathered a row is bounded by the text itself.
@@ -58,12 +59,33 @@ class Repeats:
         return min(self.size, self.windows)
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        self[word] = code = xxhash.xxh64_intdigest(word, 42)
-        return code
+class _Codes:
+    """A number for each word, by its bytes (by a digest where there are more than ``most``); ``at_once`` words are worked on together."""
+
+    most, at_once = 64, 1 << 13
+    powers = np.multiply.accumulate(np.full(at_once * (most + 1), FACTOR))
+    inverse = np.multiply.accumulate(np.full(at_once * (most + 1), np.uint64(pow(int(FACTOR), -1, 1 << 64))))
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        found = []
+        for first in range(0, len(words), self.at_once):
+            part = words[first:first + self.at_once]
+            data, starts, ends = self._laid(part)
+            if (ends - starts).max() > self.most:
+                data, starts, ends = self._laid([w if len(w) <= self.most else xxhash.xxh3_128_hexdigest(w).encode() for w in part])
+            # The sum of byte times power of its place in the word.
+            sums = np.add.reduceat(self.powers[:len(data)] * data, starts) * self.inverse[starts]
+            found.append((sums ^ (sums >> np.uint64(29))) * FACTOR)
+        return np.concatenate(found)
+
+    @staticmethod
+    def _laid(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of the words with a space after each; where words start and end."""
+        data = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
+        ends = np.flatnonzero(data == 32)
+        starts = np.zeros(len(ends), dtype=np.int64)
+        starts[1:] = ends[:-1] + 1
+        return data, starts, ends
 
 
 def _least(hashes: np.ndarray, reach: int) -> np.ndarray:
@@ -82,11 +104,11 @@ def _least(hashes: np.ndarray, reach: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def anchors(words: list[bytes], how: Repeats, codes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: list[bytes], how: Repeats, codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each anchor, first and last window start that has it, by place."""
     if len(words) < how.size:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    coded = np.fromiter(map(codes.__getitem__, words), dtype=np.uint64, count=len(words))
+    coded = codes(words)
     grams = how.size - how.reach + 1
     n = len(words) - grams + 1
     hashes = np.zeros(n, dtype=np.uint64)
@@ -172,11 +194,16 @@ def phrases(distinct: DataFrame, how: Repeats) -> DataFrame:
     return stored(distinct.join(of, SEGMENT).select(*SEGMENT, "anchor", "words", "mask"))
 
 
-def _compiled(left: pd.DataFrame, size: int):
-    """Automaton of the phrases, and the numbers of their words."""
-    number: dict[str, int] = {}
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        return 0
+
+
+def _compiled(known: list[tuple[str, int]], size: int):
+    """Automaton of the phrases of one anchor (words and mask of segments), and the numbers of their words, 0 for all others."""
+    number = _Numbers()
     found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for words, mask in zip(left["words"], left["mask"]):
+    for words, mask in known:
         ids = tuple(number.setdefault(w, len(number) + 1) for w in words.split(" "))
         for at in range(len(ids) - size + 1):
             if mask >> at & 1:
@@ -185,11 +212,29 @@ def _compiled(left: pd.DataFrame, size: int):
     return found, number
 
 
+def _streamed(left: pd.DataFrame, right: pd.DataFrame, size: int) -> pd.DataFrame:
+    """Keys and mask of the segments ``right`` whose anchor has phrases in ``left``."""
+    known: dict[int, list] = {}
+    for anchor, *one in zip(left["anchor"], left["words"], left["mask"]):
+        known.setdefault(anchor, []).append(one)
+    right = right[right["anchor"].isin(known.keys())].sort_values("anchor")
+    masks, last = [], None
+    for anchor, words in zip(right["anchor"], right["words"]):
+        if anchor != last:
+            (automaton, number), last = _compiled(known[anchor], size), anchor
+        mask = 0
+        for end, _ in automaton.iter(tuple(map(number.__getitem__, words.split(" ")))):
+            mask |= 1 << (end - size + 1)
+        masks.append(mask)
+    return right[SEGMENT].assign(mask=pd.Series(masks, index=right.index, dtype="int64"))
+
+
 def located(known: DataFrame, distinct: DataFrame, how: Repeats) -> DataFrame:
     """Segment keys and mask: the bits of all windows that are phrases, found by the automata."""
     total = known.agg(F.sum(F.bit_count("mask"))).first()[0] or 0
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(1 + total // how.phrases)).alias("shard")
-    left, right = known.select(*SEGMENT, "words", "mask", shard), distinct.select(*SEGMENT, "words", shard)
+    # Half full on average: a shard beyond ``phrases`` is cut, and all its segments are streamed once more.
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(1 + 2 * total // how.phrases)).alias("shard")
+    left, right = known.select(*SEGMENT, "anchor", "words", "mask", shard), distinct.select(*SEGMENT, "anchor", "words", shard)
     parts = left.groupBy("shard").agg(F.ceil(F.sum(F.bit_count("mask")) / how.phrases).alias("automata"))
     streams = right.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / how.segments).alias("streams"))
     sizes = parts.join(streams, "shard")
@@ -199,20 +244,11 @@ def located(known: DataFrame, distinct: DataFrame, how: Repeats) -> DataFrame:
         return spread_for_python(attach(rows, sizes, "shard").select(*rows.columns, mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col(over) - 1)).alias(other)), "shard", "automaton", "stream")
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return right[SEGMENT].head(0).assign(mask=pd.Series(dtype="int64"))
-        automaton, number = _compiled(left, how.size)
-        masks = []
-        for words in right["words"]:
-            mask = 0
-            for end, _ in automaton.iter(tuple(number.get(w, 0) for w in words.split(" "))):
-                mask |= 1 << (end - how.size + 1)
-            masks.append(mask)
-        return right[SEGMENT].assign(mask=masks)
+        return _streamed(left, right, how.size)
 
     keys = ["shard", "automaton", "stream"]
-    left = dealt(left, "automaton", "stream", "automata", "streams").toDF(*SEGMENT, "words", "mask", *keys)
-    right = dealt(right, "stream", "automaton", "streams", "automata").toDF(*SEGMENT, "words", "shard", "stream", "automaton")
+    left = dealt(left, "automaton", "stream", "automata", "streams").toDF(*SEGMENT, "anchor", "words", "mask", *keys)
+    right = dealt(right, "stream", "automaton", "streams", "automata").toDF(*SEGMENT, "anchor", "words", "shard", "stream", "automaton")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, "segment_1 long, segment_2 long, mask long")
     return found.where("mask <> 0").groupBy(*SEGMENT).agg(F.bit_or("mask").alias("mask"))
 
