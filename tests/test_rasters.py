@@ -164,3 +164,29 @@ def test_batch_masks_come_back_at_source_size(spark, mosaics):
     # The way back repeats positions of the work side.
     one = coded[coded["image_id"] == 100].pivot(index="y", columns="x", values="code").to_numpy()
     assert np.array_equal(one[:, 1], one[:, 2]) and np.array_equal(one[1], one[2])
+
+
+def test_images_of_one_chunk_are_worked_on_without_a_shuffle_or_call_each(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    from tilewright.operators.morphology import disk
+
+    pixels = spark.range(4 * 20 * 18).selectExpr("id div 360 as image_id", "int(id % 360 div 18) as y", "int(id % 18) as x", "20 as h", "18 as w", "double((id * 37) % 101) as g").where("x + y <> 9")
+    spread = disk(2)
+
+    def run(chunk):
+        raster = ra.to_chunks(pixels, ["g"], chunk=chunk).settled()
+        grown = raster.stencil(2, "g", lambda b: {"top": ra.swept(b["g"], spread, np.fmax)[b.core]}, "top")
+        beside = raster.halo_table(1, "g", lambda b: {"n": [int(np.isnan(b["g"][1:-1, 2:]).sum())]}, "n long").groupBy("image_id").agg(F.sum("n").alias("n"))
+        masked = ra.without_small(raster.map(lambda b: {"m": np.where(np.isnan(b["g"]), np.nan, b["g"] > 60)}, "m"), "m", 4)
+        return [sorted(map(tuple, rows.collect())) for rows in (grown.pixels("top"), beside, masked.pixels("m"))]
+
+    cut = run(8)
+
+    def refused(*_):
+        raise AssertionError("a shuffle or a call for every image")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", refused)
+    monkeypatch.setattr(ra.Raster, "_with_halo", refused)
+    as_text = lambda found: [[tuple(map(str, r)) for r in rows] for rows in found]
+    assert as_text(run(64)) == as_text(cut)

@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.components import CHUNK, EIGHT, FOUR, connect
-from tilewright.operators.scale import attach, names, spread_for_python, stored
+from tilewright.operators.scale import attach, in_groups, names, spread_for_python, stored
 
 PLACE = ["h", "w", "cy", "cx"]
+ROWS_AT_ONCE = 20_000
 AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
 
 
@@ -43,6 +44,10 @@ class Block:
     def core(self) -> tuple[slice, slice]:
         return slice(self.halo, -self.halo or None), slice(self.halo, -self.halo or None)
 
+    def padded(self, halo: int, inputs) -> Block:
+        """The block of an image that is one chunk, with a halo of absent positions."""
+        return replace(self, halo=halo, channels={c: np.pad(self.channels[c], halo, constant_values=np.nan) for c in names(inputs)})
+
     def reflected(self, name: str) -> np.ndarray:
         """The channel with positions outside the image mirrored at its border pixels."""
         values = self.channels[name]
@@ -83,19 +88,33 @@ def _padded(row: dict, strips: pd.DataFrame, halo: int, inputs, facts, chunk: in
     return replace(block, halo=halo, channels=found)
 
 
+def _together(places: pd.DataFrame, found: list[dict], at: list[np.ndarray]) -> pd.DataFrame:
+    """One frame of the rows of several blocks, after their places."""
+    out = places.iloc[np.concatenate(at)].reset_index(drop=True)
+    for c in found[0]:
+        parts = [f[c] for f in found if len(f[c])]
+        arrays = parts and all(isinstance(p, np.ndarray) and p.ndim == 1 for p in parts)
+        out[c] = np.concatenate(parts) if arrays else pd.Series([v for p in parts for v in p], dtype=object if parts and not np.isscalar(parts[0][0]) else None, index=out.index)
+    return out
+
+
 Work = Callable[[Block], dict[str, np.ndarray]]
 TableWork = Callable[[Block], dict[str, np.ndarray | list]]
 
 
 @dataclass(frozen=True)
 class Raster:
-    """Chunks of images: columns ``by``, h, w, cy, cx, one binary column per channel, and facts of the image."""
+    """Chunks of images: columns ``by``, h, w, cy, cx, one binary column per channel, and facts of the image.
+
+    ``lone`` is set where every image is known to be one chunk: no step needs a neighbour then, so none shuffles for one.
+    """
 
     frame: DataFrame
     by: tuple[str, ...]
     channels: tuple[str, ...]
     facts: tuple[str, ...] = ()
     chunk: int = CHUNK
+    lone: bool = False
 
     @property
     def keys(self) -> list[str]:
@@ -106,7 +125,8 @@ class Raster:
         return ", ".join(f"`{c}` {types[c]}" for c in columns)
 
     def settled(self) -> Raster:
-        return replace(self, frame=stored(self.frame))
+        frame = stored(self.frame)
+        return replace(self, frame=frame, lone=self.lone or frame.where((F.col("h") > self.chunk) | (F.col("w") > self.chunk)).isEmpty())
 
     def pick(self, *channels: str) -> Raster:
         return replace(self, frame=self.frame.select(*self.keys, *channels, *self.facts), channels=channels)
@@ -150,11 +170,15 @@ class Raster:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for row in frame.to_dict("records"):
-                    out = pd.DataFrame(work(_block(row, channels, facts, chunk)))
-                    for i, c in enumerate(own):
-                        out.insert(i, c, row[c])
-                    yield out
+                found, at = [], []
+                for i, row in enumerate(frame.to_dict("records")):
+                    found.append(work(_block(row, channels, facts, chunk)))
+                    at.append(np.full(len(next(iter(found[-1].values()))), i))
+                    if sum(map(len, at)) >= ROWS_AT_ONCE:
+                        yield _together(frame[own], found, at)
+                        found, at = [], []
+                if found:
+                    yield _together(frame[own], found, at)
 
         return self.frame.mapInPandas(run, f"{self._types(own)}, {schema}")
 
@@ -199,6 +223,8 @@ class Raster:
     def stencil(self, halo: int, inputs, work: Work, outputs, keep=None) -> Raster:
         """As :meth:`map`, with blocks of ``inputs`` that reach ``halo`` positions over their borders; outputs have a block's own size."""
         outputs = names(outputs)
+        if self.lone:
+            return self.map(lambda block: work(block.padded(halo, inputs)), outputs, keep)
         kept = [c for c in (self.channels if keep is None else keep) if c not in outputs]
         columns = [*self.keys, *kept, *self.facts]
 
@@ -212,6 +238,8 @@ class Raster:
     def halo_table(self, halo: int, inputs, work: TableWork, schema: str) -> DataFrame:
         """As :meth:`table`, with blocks of ``inputs`` that reach ``halo`` positions over their borders."""
         by = self.by
+        if self.lone:
+            return self.table(lambda block: work(block.padded(halo, inputs)), schema)
 
         def finish(row, block: Block) -> pd.DataFrame:
             out = pd.DataFrame(work(block))
@@ -243,19 +271,21 @@ def to_chunks(pixels: DataFrame, channels, by="image_id", chunk: int = CHUNK) ->
         *by, F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), F.floor(F.col("y") / chunk).cast("int").alias("cy"), F.floor(F.col("x") / chunk).cast("int").alias("cx"),
         (F.col("y") % chunk).cast("int").alias("y"), (F.col("x") % chunk).cast("int").alias("x"), *[F.col(c).cast("double").alias(c) for c in channels])
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[0]
-        shape = min(chunk, int(first["h"]) - int(first["cy"]) * chunk), min(chunk, int(first["w"]) - int(first["cx"]) * chunk)
-        out = frame[columns].head(1).copy()
-        for c in channels:
-            block = np.full(shape, np.nan)
-            block[frame["y"].to_numpy(), frame["x"].to_numpy()] = frame[c].to_numpy()
-            out[c] = [block.tobytes()]
-        return out
+    def pack(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        out = frame[columns].iloc[cuts].reset_index(drop=True)
+        sides = [[_side(int(size), int(at), chunk) for size, at in zip(out[size], out[at])] for size, at in (("h", "cy"), ("w", "cx"))]
+        y, x, values = frame["y"].to_numpy(), frame["x"].to_numpy(), {c: frame[c].to_numpy() for c in channels}
+        packed = {c: [] for c in channels}
+        for h, w, a, b in zip(*sides, cuts, [*cuts[1:], len(frame)]):
+            for c in channels:
+                block = np.full((h, w), np.nan)
+                block[y[a:b], x[a:b]] = values[c][a:b]
+                packed[c].append(block.tobytes())
+        return out.assign(**packed)
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in by) + ", h int, w int, cy int, cx int" + "".join(f", `{c}` binary" for c in channels)
-    grouped = spread_for_python(cells, *by, "cy", "cx").groupBy(*columns)
-    return Raster(grouped.applyInPandas(pack, schema), tuple(by), tuple(channels), (), chunk)
+    return Raster(in_groups(cells, columns, pack, schema), tuple(by), tuple(channels), (), chunk)
 
 
 def swept(values: np.ndarray, footprint: dict[int, int], pick) -> np.ndarray:
@@ -310,6 +340,8 @@ def labelled(raster: Raster, value: str, name: str, diagonal: bool = True) -> Ra
         return {name: local_labels(block[value], block.top * block.w + block.left, block.w, diagonal)}
 
     rows = raster.map(inside, name).settled()
+    if rows.lone:
+        return rows
 
     def meeting(block: Block) -> dict:
         of, label = block[value], block[name]
@@ -358,6 +390,13 @@ def without_small(raster: Raster, mask: str, minimum: int) -> Raster:
     """Unsets (0) set positions (1) of ``mask`` in 4-connected parts of fewer than ``minimum``."""
     if minimum <= 1:
         return raster
+    if raster.lone:
+        def left(block: Block) -> dict:
+            part = local_labels(np.where(block[mask] == 1, 1.0, np.nan), 0, block.w, False)
+            label, n = np.unique(part[~np.isnan(part)], return_counts=True)
+            return {mask: np.where(np.isin(part, label[n < minimum]), 0.0, block[mask])}
+
+        return raster.map(left, mask)
     rows = labelled(raster.map(lambda b: {"_set": np.where(b[mask] == 1, 1.0, np.nan)}, "_set"), "_set", "_part", diagonal=False)
     by = list(raster.by)
 
@@ -479,4 +518,4 @@ def _resampled(raster: Raster, height: str | None, width: str | None, kind: str)
     data = "".join(f", `{c}` binary" for c in channels)
     made = raster.frame.mapInPandas(shares, f"{kept}, y int, x int, n int{data}")
     grouped = spread_for_python(made, *by, "cy", "cx").groupBy(*by, "cy", "cx")
-    return replace(raster, frame=grouped.applyInPandas(added, f"{kept}{data}"))
+    return replace(raster, frame=grouped.applyInPandas(added, f"{kept}{data}"), lone=False)

@@ -339,10 +339,10 @@ def flooded(raster: Raster, seed: str, weight: str, mask: str, name: str) -> Ras
         return {c: v for c, v in settle(padded, ("cost", "age", "label")).items() if c != "_moved"}
 
     rows = raster.map(start, channels)
-    single = (F.col("h") <= raster.chunk) & (F.col("w") <= raster.chunk)
+    single = F.lit(True) if raster.lone else (F.col("h") <= raster.chunk) & (F.col("w") <= raster.chunk)
     small = replace(rows, frame=rows.frame.where(single)).map(alone, ["_cost", "_age", "_label"])
-    state = replace(rows, frame=rows.frame.where(~single)).settled()
-    if not state.frame.isEmpty():
+    state = rows if raster.lone else replace(rows, frame=rows.frame.where(~single)).settled()
+    if not (raster.lone or state.frame.isEmpty()):
         for phase in ("cost", "age", "label"):
             while True:
                 state = state.stencil(1, channels, lambda b, phase=phase: settle(b, (phase,)), ["_cost", "_age", "_label", "_moved"])
@@ -422,8 +422,6 @@ def region_facts(raster: Raster, settings) -> DataFrame:
 def refined(raster: Raster, settings) -> Raster:
     """Sharp, high-contrast dark regions become damage, soft ones grow to their flood basin; images without gradient keep their codes."""
     keep = raster.channels
-    if settings.edge_refinement_strength <= 0:
-        return raster
     rows = raster.map(lambda b: {"_large": np.where(np.isnan(b["code"]), np.nan, b["code"] == 3), "matrix": 1.0 - b["is_ore"]}, ["_large", "matrix"])
     rows = without_small(rows, "_large", settings.edge_min_region_area)
     step, wide = max(1, settings.edge_gradient_radius), settings.edge_transition_radius
@@ -502,4 +500,4 @@ def at_source_size(raster: Raster) -> Raster:
     if raster.frame.where(~same).isEmpty():
         return raster
     back = resampled(replace(raster, frame=raster.frame.where(~same)), "source_h", "source_w", "nearest")
-    return replace(raster, frame=raster.frame.where(same).unionByName(back.frame))
+    return replace(raster, frame=raster.frame.where(same).unionByName(back.frame), lone=False)
