@@ -190,3 +190,17 @@ def test_images_of_one_chunk_are_worked_on_without_a_shuffle_or_call_each(spark,
     monkeypatch.setattr(ra.Raster, "_with_halo", refused)
     as_text = lambda found: [[tuple(map(str, r)) for r in rows] for rows in found]
     assert as_text(run(64)) == as_text(cut)
+
+
+def test_edges_are_refined_on_chunks_and_other_columns_pass(mosaics, spark, monkeypatch):
+    from tilewright.operators.edges import refine_edges
+
+    def refused(*_, **__):
+        raise AssertionError("a step on pixel rows")
+
+    monkeypatch.setattr(relax, "spread_labels", refused)
+    monkeypatch.setattr(components, "label_components", refused)
+    rows = lab_pixels(Tables(spark, SF)).where("image_id = 1").select(*KEY, *LAB, "code", (F.col("code") == 1).alias("is_ore"), F.concat_ws("/", "y", "x").alias("at"))
+    found = refine_edges(rows, SMALL)
+    assert found.columns == [*KEY, *LAB, "is_ore", "at", "code"] and found.schema["code"].dataType == rows.schema["code"].dataType
+    assert found.where(F.col("at") == F.concat_ws("/", "y", "x")).count() == rows.count() > 0
