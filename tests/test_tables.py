@@ -146,3 +146,34 @@ def test_perfect_parameter_set_stops_the_search(spark):
     columns = "image_id int, sweep_order int, supplemental_count long, outside_selected long, selected_count long, required long, selected_clusters long"
     rows = [(1, 0, 1, 0, 3, 3, 3), (1, 1, 0, 0, 3, 3, 1), (1, 2, 0, 0, 3, 3, 3)]
     assert sg.best_parameters(spark.createDataFrame(rows, columns)).first()["sweep_order"] == 1
+
+
+def _tied_tiles(spark):
+    """Tiles of 300 images in seven partitions; in each image one lies at half of the mean, as far as the order of additions lets it."""
+    rng = random.Random(4)
+    images = []
+    while len(images) < 300:
+        shares = [rng.randrange(15, 35), *(rng.randrange(100) for _ in range(22))]
+        last = 48 * shares[0] - sum(shares)
+        if 0 <= last < 100:
+            images.append(rng.sample([*shares, last], 24))
+    rows = [(i, t * 300 + i, k / 100.0, (t % 10) / 10.0, True) for i, shares in enumerate(images) for t, k in enumerate(shares)]
+    table = spark.createDataFrame(rows, "image_id long, tile_id long, ore_ratio double, prob double, centre_inside boolean")
+    wanted = {}
+    for i, shares in enumerate(images):
+        total = 0.0
+        for k in shares:
+            total += k / 100.0
+        wanted[i] = total / len(shares)
+    return rows, table.repartition(7, "tile_id"), wanted
+
+
+def test_the_mean_tiles_are_held_against_is_added_in_tile_order(spark):
+    from tilewright.operators import blending as b
+
+    rows, tiles, wanted = _tied_tiles(spark)
+    shares = b.ore_shares(tiles)
+    assert {r["image_id"]: r["ore_share"] for r in shares.collect()} == wanted
+    chosen = {r["tile_id"] for r in b.accepted_tiles(tiles, shares, 2.0).collect()}
+    assert chosen == {t for i, t, ratio, _, _ in rows if ratio >= wanted[i] / 2.0}
+    assert b.ore_shares(spark.createDataFrame([(1, 2, None), (1, 3, 0.5), (2, 1, None)], "image_id long, tile_id long, ore_ratio double")).orderBy("image_id").collect() == [(1, 0.5), (2, None)]

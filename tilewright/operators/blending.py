@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import verdict
-from tilewright.operators.scale import attach, names
+from tilewright.operators.scale import attach, names, with_mean_in_order
 
 CLASS_COUNT, ORE_INDEX, TALC_INDEX = 4, 0, 2
 CLASS_COLUMNS = [f"p{i}" for i in range(CLASS_COUNT)]
@@ -46,6 +46,12 @@ def class_share(pixels: DataFrame, by, condition: Column, name: str) -> DataFram
     return pixels.groupBy(*names(by)).agg(F.avg(condition.cast("double")).alias(name))
 
 
+def ore_shares(tiles: DataFrame, *facts: Column, order="tile_id", image: str = "image_id") -> DataFrame:
+    """``ore_share`` per image, the mean of its tiles' ore_ratio added in ``order``, and further aggregates ``facts``."""
+    running = with_mean_in_order(tiles, image, "ore_ratio", order, "_share")
+    return running.groupBy(image).agg(F.max_by("_share", "_nth").alias("ore_share"), *facts)
+
+
 def accepted_tiles(tiles: DataFrame, images: DataFrame, factor: float, image: str = "image_id") -> DataFrame:
     """Tiles with ore_ratio >= global ratio / factor; without ore or factor no tile is accepted.
 
