@@ -177,3 +177,15 @@ def test_the_mean_tiles_are_held_against_is_added_in_tile_order(spark):
     chosen = {r["tile_id"] for r in b.accepted_tiles(tiles, shares, 2.0).collect()}
     assert chosen == {t for i, t, ratio, _, _ in rows if ratio >= wanted[i] / 2.0}
     assert b.ore_shares(spark.createDataFrame([(1, 2, None), (1, 3, 0.5), (2, 1, None)], "image_id long, tile_id long, ore_ratio double")).orderBy("image_id").collect() == [(1, 0.5), (2, None)]
+
+
+def test_difficulty_and_verdicts_take_the_tiles_accepted_in_that_order(spark):
+    from tilewright.plans import inference
+
+    rows, tiles, wanted = _tied_tiles(spark)
+    probs = {}
+    for i, _, ratio, prob, _ in rows:
+        if ratio >= wanted[i] / 2.0:
+            probs.setdefault(i, []).append(prob)
+    found = {r["image_id"]: r["difficulty"] for r in inference.verdicts_from_tiles(tiles, 2.0).collect()}
+    assert found.keys() == wanted.keys() and all(abs(found[i] - sum(p) / len(p)) < 1e-12 for i, p in probs.items())

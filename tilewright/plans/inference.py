@@ -63,7 +63,5 @@ def verdicts_from_tiles(tiles: DataFrame, factor: float, talc_from: str = "ore_r
     The image's ore share and talc share are tile means; tiles filter against the
     ore share, then the accepted ones decide.
     """
-    images = tiles.groupBy("image_id").agg(
-        F.avg("ore_ratio").alias("ore_share"), F.avg((F.col(talc_from) < 0.05).cast("double")).alias("talc_ratio"),
-        F.count(F.lit(1)).alias("n_tiles"))
+    images = b.ore_shares(tiles, F.avg((F.col(talc_from) < 0.05).cast("double")).alias("talc_ratio"), F.count(F.lit(1)).alias("n_tiles"))
     return b.image_verdicts(images, b.accepted_tiles(tiles, images, factor))
