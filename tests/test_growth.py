@@ -8,7 +8,7 @@ from checks.q_raster import lab_pixels
 from checks.q_segments import mask, segments
 from checks.q_sketch import drawn
 from checks.views import Tables
-from tilewright.operators import history, illumination, scale, tiling
+from tilewright.operators import history, illumination, raster, scale, tiling
 from tilewright.operators import segments as sg
 from tilewright.operators import sketch as sk
 from tilewright.streaming import jobs
@@ -224,3 +224,38 @@ def test_a_salt_is_not_asked_for_below_the_projections_it_is_made_of(spark):
     rows = lab_pixels(Tables(spark, "/root/testdata/sf0.001"))
     plan = _plan(tiling.with_size(rows))
     assert "xxhash64" in plan and not any("isnotnull" in line and "xxhash64" in line for line in plan.splitlines())
+
+
+def test_what_a_worker_holds_of_a_stored_table_is_bounded_by_bytes(spark):
+    import pyarrow.parquet as pq
+
+    def sizes(frames):
+        for frame in frames:
+            yield pd.DataFrame({"rows": [len(frame)], "data": [b"".join(frame["data"])]})
+
+    def noise(frames):
+        for frame in frames:
+            for i in frame["id"]:
+                yield pd.DataFrame({"id": [i], "data": [np.random.default_rng(i).bytes(512 << 10)]})
+
+    wide = spark.range(64).coalesce(1).mapInPandas(noise, "id long, data binary")
+    before = [spark.conf.get(name) for name in (scale.BATCH, scale.READ)]
+    batches = scale.stored(wide.mapInPandas(sizes, "rows long, data binary"))
+    assert batches.agg(F.sum("rows")).first()[0] == 64 and batches.agg(F.max("rows")).first()[0] * (512 << 10) <= 2 * scale.BYTES_AT_ONCE
+    assert [spark.conf.get(name) for name in (scale.BATCH, scale.READ)] == before
+    files = [pq.ParquetFile(f.replace("file://", "")) for f in scale.stored(wide).inputFiles()]
+    assert max(f.metadata.row_group(i).total_byte_size for f in files for i in range(f.metadata.num_row_groups)) <= 2 * scale.BYTES_AT_ONCE
+
+
+def test_maps_and_a_table_after_one_another_are_one_python_stage(spark):
+    pixels = spark.range(40).selectExpr("id % 2 as image_id", "int(id div 8) as y", "int(id div 2 % 4) as x", "5 as h", "4 as w", "double(id) as v")
+    start = raster.to_chunks(pixels, ["v"]).settled()
+    doubled = start.map(lambda b: {"u": b["v"] * 2}, "u")
+    both = doubled.map(lambda b: {"v": b["v"] + b["u"]}, "v", keep=["u"])
+    other = doubled.map(lambda b: {"v": -b["u"]}, "v")
+    assert _plan(both.frame).count("MapInPandas") == 1 and _plan(both.table(lambda b: {"s": [b["v"].sum()]}, "s double")).count("MapInPandas") == 1
+    found = {(r["image_id"], r["y"], r["x"]): (r["v"], r["u"]) for r in both.pixels("v", "u").collect()}
+    assert len(found) == 40 and all(v == u * 1.5 and u == 2.0 * (i + 8 * y + 2 * x) for (i, y, x), (v, u) in found.items())
+    assert {r["v"] + r["u"] for r in other.pixels("v", "u").collect()} == {0.0}
+    narrowed = both.pick("v").map(lambda b: {"n": b["v"] * 0 + len(b.channels)}, "n")
+    assert narrowed.channels == ("v", "n") and {r["n"] for r in narrowed.pixels("n").collect()} == {1.0}

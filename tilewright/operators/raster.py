@@ -107,6 +107,8 @@ class Raster:
     """Chunks of images: columns ``by``, h, w, cy, cx, one binary column per channel, and facts of the image.
 
     ``lone`` is set where every image is known to be one chunk: no step needs a neighbour then, so none shuffles for one.
+    ``made`` tells how maps made ``frame`` (that frame, the raster before them, their work as one), so that maps and a table
+    after one another run in one Python worker.
     """
 
     frame: DataFrame
@@ -115,6 +117,7 @@ class Raster:
     facts: tuple[str, ...] = ()
     chunk: int = CHUNK
     lone: bool = False
+    made: tuple[DataFrame, Raster, Callable[[Block], Block]] | None = None
 
     @property
     def keys(self) -> list[str]:
@@ -143,36 +146,49 @@ class Raster:
         return replace(self, frame=frame, facts=(*[f for f in self.facts if f not in new], *new))
 
     def without_facts(self) -> Raster:
-        return replace(self, frame=self.frame.drop(*self.facts), facts=())
+        return replace(self, frame=self.frame.drop(*self.facts), facts=()) if self.facts else self
 
     def map(self, work: Work, outputs, keep=None) -> Raster:
         """Adds or replaces ``outputs``, computed block by block; other channels pass through."""
         outputs = names(outputs)
         kept = [c for c in (self.channels if keep is None else keep) if c not in outputs]
-        columns = [*self.keys, *kept, *self.facts]
-        schema = self._types(columns) + "".join(f", `{c}` binary" for c in outputs)
-        channels, facts, chunk = self.channels, self.facts, self.chunk
+        columns = [*self.keys, *kept, *self.facts, *outputs]
+        schema = self._types(columns[:len(columns) - len(outputs)]) + "".join(f", `{c}` binary" for c in outputs)
+        source, before = self._source()
+        given, facts, chunk, own, channels = source.channels, self.facts, self.chunk, [*self.keys, *self.facts], [*kept, *outputs]
+
+        def whole(block: Block) -> Block:
+            block = before(block)
+            found = work(block)
+            return replace(block, channels={**{c: block[c] for c in kept}, **{c: np.ascontiguousarray(found[c], dtype=np.float64) for c in outputs}})
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                found = [work(_block(row, channels, facts, chunk)) for row in frame.to_dict("records")]
-                out = frame[columns].copy()
-                for c in outputs:
-                    out[c] = [np.ascontiguousarray(f[c], dtype=np.float64).tobytes() for f in found]
-                yield out
+                packed = {c: [] for c in channels}
+                for row in frame.to_dict("records"):
+                    block = whole(_block(row, given, facts, chunk))
+                    for c in channels:
+                        packed[c].append(block[c].tobytes())
+                yield frame[own].assign(**packed)[columns]
+
+        frame = source.frame.mapInPandas(run, schema)
+        return replace(self, frame=frame, channels=(*kept, *outputs), made=(frame, source, whole))
 
-        return replace(self, frame=self.frame.mapInPandas(run, schema), channels=(*kept, *outputs))
+    def _source(self) -> tuple[Raster, Callable[[Block], Block]]:
+        """The raster whose blocks a step reads, and what maps before it make of them: nothing, unless they made this very frame."""
+        return self.made[1:] if self.made is not None and self.made[0] is self.frame else (self, lambda block: block)
 
     def table(self, work: TableWork, schema: str, place: bool = False) -> DataFrame:
         """Rows made from each block: ``by`` (with ``place`` also h, w, cy, cx) and the columns of ``schema``."""
         own = self.keys if place else list(self.by)
-        channels, facts, chunk = self.channels, self.facts, self.chunk
+        source, before = self._source()
+        channels, facts, chunk = source.channels, self.facts, self.chunk
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 found, at = [], []
                 for i, row in enumerate(frame.to_dict("records")):
-                    found.append(work(_block(row, channels, facts, chunk)))
+                    found.append(work(before(_block(row, channels, facts, chunk))))
                     at.append(np.full(len(next(iter(found[-1].values()))), i))
                     if sum(map(len, at)) >= ROWS_AT_ONCE:
                         yield _together(frame[own], found, at)
@@ -180,7 +196,7 @@ class Raster:
                 if found:
                     yield _together(frame[own], found, at)
 
-        return self.frame.mapInPandas(run, f"{self._types(own)}, {schema}")
+        return source.frame.mapInPandas(run, f"{self._types(own)}, {schema}")
 
     def _strips(self, halo: int, inputs) -> DataFrame:
         """What each chunk gives to those around it."""
