@@ -24,6 +24,7 @@ from tilewright.sources.images import check_uploads
 # Seconds between progress saves, job timeout and result lifetime.
 NO_TIME = np.iinfo(np.int64).min  # of a missing timestamp, in nanoseconds
 SAVE_INTERVAL, JOB_TIMEOUT, RESULT_LIFETIME = 0.5, 1800, 86400
+JOB_BITS = 8  # jobs in one state: a call and a stored state cost about the same for one as for hundreds
 
 
 def gpu_windows(samples: DataFrame, length: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -85,33 +86,93 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> list[tuple[int, int, str]]:
     return sorted(rows, key=lambda r: (r[0] == NO_TIME, r[0], r[1]))
 
 
-def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timeout: int, lifetime: int) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        status, since, seq = state.get
-        if status == "started":
-            deadline = state.getCurrentWatermarkMs()
-            state.update(("failed", since, seq))
-            state.setTimeoutTimestamp(max(deadline, int((since + timeout) * 1000)) + lifetime * 1000)
-            yield _changes([(key[0], "failed", since + timeout, "timeout")])
-        else:
-            state.remove()
-            yield _changes([(key[0], "expired", since + lifetime, "lifetime")])
-        return
-    status, since, seq = state.get if state.exists else (None, None, None)
-    out = []
-    for moment, number, found in _in_order(batches):
+def _advanced(job: int, rows: list[tuple[int, int, str]], known: tuple, timeout: int, out: list[tuple]) -> tuple:
+    """(status, since, seq) of a job after ``rows`` in order, from ``known``; its changes are added to ``out``."""
+    status, since, seq = known
+    for moment, number, found in rows:
         now = moment / 1e9
         if status is not None and (now, number) <= (since, seq):  # older than what an earlier batch brought
             continue
         if status == "started" and now - since > timeout and found != "started":
-            out.append((key[0], "failed", since + timeout, "timeout"))
+            out.append((job, "failed", since + timeout, "timeout"))
             status, since, seq = "failed", since + timeout, number
             continue
         status, since, seq = found, now, number
-        out.append((key[0], status, now, None))
-    state.update((status, since, seq))
-    wait = timeout if status == "started" else lifetime
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int((since + wait) * 1000)))
+        out.append((job, status, now, None))
+    return status, since, seq
+
+
+def _timer(status: str, since: float, timeout: int, lifetime: int, watermark: int) -> int:
+    return max(watermark + 1, int((since + (timeout if status == "started" else lifetime)) * 1000))
+
+
+def _timed_out(job: int, known: tuple, timeout: int, lifetime: int, watermark: int, out: list[tuple]) -> tuple | None:
+    """A job's state and next timer after its timer ran out; nothing if its result expired."""
+    status, since, seq = known
+    if status != "started":
+        out.append((job, "expired", since + lifetime, "lifetime"))
+        return None
+    out.append((job, "failed", since + timeout, "timeout"))
+    return "failed", since, seq, max(watermark, int((since + timeout) * 1000)) + lifetime * 1000
+
+
+def _lifecycle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timeout: int, lifetime: int) -> Iterator[pd.DataFrame]:
+    """One job a state; :func:`_lifecycles` is the same for many."""
+    out: list[tuple] = []
+    watermark = state.getCurrentWatermarkMs()
+    if state.hasTimedOut:
+        left = _timed_out(key[0], state.get, timeout, lifetime, watermark, out)
+        if left is None:
+            state.remove()
+        else:
+            state.update(left[:3])
+            state.setTimeoutTimestamp(left[3])
+    else:
+        known = _advanced(key[0], _in_order(batches), state.get if state.exists else (None, None, None), timeout, out)
+        state.update(known)
+        state.setTimeoutTimestamp(_timer(*known[:2], timeout, lifetime, watermark))
+    yield _changes(out)
+
+
+def _by_job(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[int, int, str]]]]:
+    """Each job of a group's rows, with its rows as :func:`_in_order` gives them."""
+    frames = [f for f in batches if len(f)]
+    if not frames:
+        return
+    job, seq = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("job_id", "seq"))
+    moment = np.concatenate([f["ts"].to_numpy().astype("datetime64[ns]").astype("int64") for f in frames])
+    status = np.concatenate([f["status"].to_numpy(dtype=object) for f in frames])
+    order = np.lexsort((seq, moment, moment == NO_TIME, job))
+    job = job[order]
+    cuts = [*np.flatnonzero(np.diff(job, prepend=job[0] - 1)).tolist(), len(job)]
+    rows = list(zip(moment[order].tolist(), seq[order].tolist(), status[order].tolist()))
+    names = job.tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        yield names[a], rows[a:b]
+
+
+def _lifecycles(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timeout: int, lifetime: int) -> Iterator[pd.DataFrame]:
+    """As :func:`_lifecycle` for the jobs of one state, each with a timer of its own; the state's timer is the earliest of them."""
+    out: list[tuple] = []
+    watermark = state.getCurrentWatermarkMs()
+    jobs = {job: tuple(known) for job, *known in zip(*state.get)} if state.exists else {}
+    met = set()
+    if not state.hasTimedOut:
+        for job, rows in _by_job(batches):
+            known = _advanced(job, rows, jobs[job][:3] if job in jobs else (None, None, None), timeout, out)
+            jobs[job] = (*known, _timer(*known[:2], timeout, lifetime, watermark))
+            met.add(job)
+    for job in [j for j, known in jobs.items() if known[3] < watermark and j not in met]:
+        left = _timed_out(job, jobs[job][:3], timeout, lifetime, watermark, out)
+        if left is None:
+            del jobs[job]
+        else:
+            jobs[job] = left
+    if jobs:
+        state.update((list(jobs), *map(list, zip(*jobs.values()))))
+        state.setTimeoutTimestamp(max(watermark + 1, min(known[3] for known in jobs.values())))
+    elif state.exists:
+        state.remove()
     yield _changes(out)
 
 
@@ -119,11 +180,13 @@ def job_lifecycle(events: DataFrame, delay: str = "1 minute", timeout: int = JOB
     """Status changes per job; started jobs fail after ``timeout`` and results expire after ``lifetime`` seconds.
 
     ``events``: job_id, seq, ts, status.  Timers run on event time.  The state keeps
-    the newest (ts, seq), so an older row of a later batch changes nothing.
+    the newest (ts, seq), so an older row of a later batch changes nothing.  Up to
+    ``2 ** JOB_BITS`` jobs of neighbouring numbers share a state and a Python call.
     """
-    return events.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(
-        partial(_lifecycle, timeout=timeout, lifetime=lifetime), "job_id long, status string, since timestamp, reason string", "status string, since double, seq long",
-        "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = events.withColumn("_jobs", F.shiftright("job_id", JOB_BITS)).withWatermark("ts", delay).groupBy("_jobs")
+    return grouped.applyInPandasWithState(
+        partial(_lifecycles, timeout=timeout, lifetime=lifetime), "job_id long, status string, since timestamp, reason string",
+        "job array<long>, status array<string>, since array<double>, seq array<long>, timer array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_status(changes: DataFrame) -> DataFrame:
