@@ -106,3 +106,28 @@ def test_artifacts_load_by_key_and_settings(spark, tmp_path):
     tb.save_artifacts(rows, str(tmp_path / "a"))
     wanted = spark.createDataFrame([("k1", "s"), ("k2", "t")], "key string, settings_json string")
     assert [r["code"] for r in tb.load_artifacts(spark, str(tmp_path / "a"), wanted).collect()] == [1]
+
+
+def test_files_larger_than_one_value_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    rng = np.random.default_rng(6)
+    noise = rng.bytes(9000)
+    contents = {
+        "a.png": noise, "b c%41.png": noise + b"\n", "d.png": b"\n" + noise + b"\r\n\n\n", "deep/e.png": noise.replace(b"\n", b"."), "f.png": b"\xef\xbb\xbf" + noise,
+        "g.png": b"\xef\xbb\xbf" + noise + b"\n", "h.png": b"\xef\xbb\xbf" + noise.replace(b"\n", b"\r"), "i.png": b"\n" * 7000, "k.png": noise[:1500], "l.txt": noise, "m.png": noise[:4000] + b"\0" * 4000}
+    (tmp_path / "deep").mkdir()
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(im, "WHOLE_BYTES", 1500)
+    monkeypatch.setattr(im, "PIECE_BYTES", 700)
+    settings = {"spark.sql.sources.binaryFile.maxLength": "1500", "spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "100", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = im.discover_images(spark, {"ordinary": [str(tmp_path)]}).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["source_path"].split(f"{tmp_path}/")[1]: r["sha256"] for r in found} == {n: hashlib.sha256(d).hexdigest() for n, d in contents.items() if n.endswith(".png")}
