@@ -276,3 +276,12 @@ def test_two_step_classes_are_made_on_chunks_with_the_counts_of_the_pixel_rows(s
         monkeypatch.setattr(cluster, name, None)
     found = entry.queries()["c03_two_step_classes"](spark, str(tmp_path)).collect()
     assert sorted((r["image_id"], r["code"], r["n"]) for r in found) == wanted and wanted
+
+
+def test_a_flood_of_images_of_one_chunk_is_one_python_stage(spark):
+    from tilewright.operators import raster_classes as rc
+
+    pixels = spark.range(40).selectExpr("id % 2 as image_id", "int(id div 8) as y", "int(id div 2 % 4) as x", "5 as h", "4 as w", "if(id < 4, double(id), null) as s", "double(id % 3) as g", "1.0D as m")
+    flood = rc.flooded(raster.to_chunks(pixels, ["s", "g", "m"]).settled(), "s", "g", "m", "basin")
+    assert _plan(flood.frame).count("MapInPandas") == 1
+    assert flood.pixels("basin").where("basin is null").isEmpty() and flood.pixels("basin").count() == 40

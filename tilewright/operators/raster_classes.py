@@ -339,8 +339,8 @@ def flooded(raster: Raster, seed: str, weight: str, mask: str, name: str) -> Ras
         return {c: v for c, v in settle(padded, ("cost", "age", "label")).items() if c != "_moved"}
 
     rows = raster.map(start, channels)
-    single = F.lit(True) if raster.lone else (F.col("h") <= raster.chunk) & (F.col("w") <= raster.chunk)
-    small = replace(rows, frame=rows.frame.where(single)).map(alone, ["_cost", "_age", "_label"])
+    single = (F.col("h") <= raster.chunk) & (F.col("w") <= raster.chunk)
+    small = (rows if raster.lone else replace(rows, frame=rows.frame.where(single))).map(alone, ["_cost", "_age", "_label"])
     state = rows if raster.lone else replace(rows, frame=rows.frame.where(~single)).settled()
     if not (raster.lone or state.frame.isEmpty()):
         for phase in ("cost", "age", "label"):
